@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import jaccard_join, sharding, substring_dedup
+from loomstone.llm import decontamination, embedding_dedup, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,51 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(_table(spark, sf_dir, "documents"), 16)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors at a cosine of 0.9 over all embeddings."""
+    return embedding_dedup.links(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a 10-word window of a benchmark item."""
+    found = decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
+    return decontamination.report(found)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths with prefix and suffix sums at each length."""
+    return token_counts.limits(token_counts.histogram(_table(spark, sf_dir, "documents")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents mixed to equal byte shares of all sources, as many bytes as before."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_join.classes(_table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op8_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_embedding_dedup, op4_decontamination, op5_language_id, op6_toxicity, op7_token_counts, op8_jaccard_join, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
