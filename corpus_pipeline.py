@@ -1,19 +1,79 @@
-"""Corpus pipeline over `documents`: each stage calls one training-data operator; see STAGES."""
+"""Corpus pipeline over `documents`: STAGES in order, each by one training-data operator, each on all that the one before kept.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and reads it again.
+Rows whose doc_id is null cannot be named by a decision: the near-duplicate stage keeps them, the others judge their text.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstone.llm import decontamination, jaccard_join, mixing, sharding, toxicity
+from loomstone.llm._runtime import shared_dir, write_table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Most rejected ids (8 bytes each) that are broadcast; beyond it documents and ids are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but those whose doc_id is in `rejected` (a single column of that name); null equals null."""
+    bad, _ = write_table(rejected.select(F.col("doc_id").alias("_bad")).distinct())
+    side = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores below 0.5."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (that of the smallest doc_id) of each group linked by five-word shingles at a similarity of 0.8."""
+    found = jaccard_join.classes(docs, k=5, num=8, den=10)
+    kept = _without(docs, found.where("component_id != doc_id"))
+    # Rows that repeat a doc_id are copies of each other as well: the first text of each id stays.
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again.select("doc_id"), "doc_id", "left_anti")
+    repeated = kept.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated)
 
-STAGES: list = []
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a 10-word window of a benchmark item."""
+    found = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+    return _without(docs, found.where("n_hit > 0"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that all sources have equal shares of the bytes."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard of 16, by doc_id."""
+    return sharding.assign(docs, [1.0] * 16)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", shard),
+]
+#: Trained models and similarity joins are not expressible in SQL: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all STAGES to documents, each result written as Parquet to the shared folder and read again."""
-    from loomstone.llm._runtime import shared_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
