@@ -26,6 +26,8 @@ from loomstone.llm._runtime import components, drop_table, ship, write_table
 
 SLICE = 1 << 19
 _PIECES = 256
+#: Most ids (24 bytes each) of documents whose set is another's that are broadcast; beyond it they are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 
 def _sets(b: pa.RecordBatch, k: int, kind: str, pick=None) -> Iterator[tuple[int, np.ndarray]]:
@@ -207,12 +209,12 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
     rows, rows_at = write_table(src.mapInArrow(_prefix_rows(sketch, k, kind, num, den, sketch_bits), "doc_id long, n long, d1 long, d2 long, sig binary, prefix array<long>"))
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     heads = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    # One row per class: the row of its smallest doc_id (a repeated id keeps one of its rows, whose sets are equal).
-    reps = (
-        full.join(heads.withColumnRenamed("d1", "e1").withColumnRenamed("d2", "e2"), (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-        .select(F.col("doc_id").alias("id"), "n", "sig", "prefix", "d1", "d2")
-        .dropDuplicates(["id", "d1", "d2"])
-    )
+    # One row per class, that of its smallest doc_id: the others are few as a rule, and go by their ids alone.
+    others = full.select("doc_id", "d1", "d2").join(heads, ["d1", "d2"]).where("doc_id != rep").select("doc_id", "d1", "d2").distinct()
+    others, others_at = write_table(others)
+    if others.count() <= BROADCAST_IDS:
+        others = F.broadcast(others)
+    reps = full.join(others, ["doc_id", "d1", "d2"], "left_anti").select(F.col("doc_id").alias("id"), "n", "sig", "prefix")
     posts = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("lead")).where("df > 1")
     posts, posts_at = write_table(posts.join(shared.select("token"), "token"))
@@ -229,10 +231,7 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
         p = p.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
         return p.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_far(num, den), "a long, b long")
 
-    want = spark.sparkContext.broadcast(_bitmap(posts, "id"))
-    tokens, tokens_at = write_table(_set_rows(src, k, kind, want))
-
-    comp, made = None, [rows_at, posts_at, tokens_at]
+    comp = None
     for rnd in range(stars + 1):
         tagged = posts.withColumn("component", F.col("id")) if comp is None else posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if rnd < stars:
@@ -246,11 +245,20 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
             y = tagged.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
             p = x.join(y, "token").where("a < b AND ca != cb")
             p = p.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        found, at = write_table(_links(fits(p), tokens, num, den))
-        made.append(at)
+        pairs, pairs_at = write_table(fits(p))
+        if pairs.isEmpty():
+            continue
+        # Only the documents of these pairs are read for their whole sets.
+        want = spark.sparkContext.broadcast(_bitmap(pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))), "a"))
+        tokens, tokens_at = write_table(_set_rows(src, k, kind, want))
+        found, _ = write_table(_links(pairs, tokens, num, den))
+        drop_table(spark, tokens_at)
+        drop_table(spark, pairs_at)
         if not found.isEmpty():
             known = found if comp is None else found.unionAll(comp.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
             comp = components(known)
+    drop_table(spark, posts_at)
+    drop_table(spark, others_at)
     if comp is None:
         comp = spark.createDataFrame([], "id long, component long")
     out = rows.join(heads, ["d1", "d2"], "left").join(comp, F.col("rep") == F.col("id"), "left")
