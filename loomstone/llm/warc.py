@@ -45,30 +45,44 @@ def _rows(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
-        F.monotonically_increasing_id().alias("uid"), F.octet_length(html).cast("long").alias("bytes"), F.sha1(html.cast("binary")).alias("sha"),
+        F.octet_length(html).cast("long").alias("bytes"), F.sha1(html.cast("binary")).alias("sha"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key"),
     )
 
 
+def _is_copy():
+    return F.coalesce(F.col("again") & ~F.col("tied"), F.lit(False))
+
+
 def write(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = 32 << 20) -> None:
     """Write the archives of pages into folder path: part-*.txt files of concatenated WARC records of about archive_bytes each."""
     rows = _rows(pages)
-    narrow = rows.select("sha", "bytes", "uid", F.col("page_id").isNull().alias("no_id"), "page_id")
-    groups = narrow.where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("no_id", "page_id", "uid")).alias("first"))
-    copies = groups.where("n > 1").select("sha", "bytes", F.col("first.uid").alias("first_uid"), F.col("first.page_id").alias("first_id"))
-    again = narrow.join(copies, ["sha", "bytes"]).where("uid != first_uid").select("uid", "first_id", F.lit(True).alias("is_copy"))
+    narrow = rows.select("sha", "bytes", "key", F.col("page_id").isNull().alias("no_id"), "page_id")
+    stats = narrow.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+    per_file = max(1, int(archive_bytes / (700 + (stats["b"] or 0) / max(1, stats["n"]))))
+    same = narrow.where(F.col("bytes") >= least).groupBy("sha", "bytes", "key", "no_id", "page_id").agg(F.count("*").alias("n"))
+    groups = same.groupBy("sha", "bytes").agg(F.sum("n").alias("all"), F.min(F.struct("no_id", "page_id", "key")).alias("first")).where("all > 1")
+    again = same.join(groups.select("sha", "bytes", "first"), ["sha", "bytes"]).where("key != first.key OR n > 1")
+    again = again.select("sha", "key", F.col("first.page_id").alias("first_id"), (F.col("key") == F.col("first.key")).alias("tied"), F.lit(True).alias("again"))
     again, again_at = write_table(again)
-    stats = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("b")).first() if least <= 0 else narrow.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
-    per_file = max(1, int(archive_bytes / (700 + (stats["b"] or 0) / max(1, stats["n"] or 0))))
-    if again.count() <= BROADCAST_REVISITS:
-        again = F.broadcast(again)
-    x = rows.join(again, "uid", "left")
+    side = F.broadcast(again) if again.count() <= BROADCAST_REVISITS else again
+    x = rows.join(side, ["sha", "key"], "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
+    done = [again_at]
+    if again.where("tied").isEmpty():
+        x = x.withColumn("is_copy", _is_copy())
+    else:
+        # Rows alike in page_id and payload: one of them is the response. Which one is settled in a table of their own.
+        tied, tied_at = write_table(x.where("tied").withColumn("uid", F.monotonically_increasing_id()))
+        done.append(tied_at)
+        one = tied.groupBy("sha", "key").agg(F.min("uid").alias("one"))
+        tied = tied.join(one, ["sha", "key"]).withColumn("is_copy", F.col("uid") != F.col("one")).drop("uid", "one")
+        x = x.where("NOT tied").withColumn("is_copy", _is_copy()).unionByName(tied)
     rev = F.coalesce(F.col("is_copy"), F.lit(False))
     line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit("\r\n")), F.lit(""))
     clean = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     header = F.concat(
         F.lit(MAGIC.decode()),
         line("WARC-Type", F.when(rev, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("uid").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("sha"), F.lit(">"))),
         line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _base32(F.col("sha")))),
@@ -80,12 +94,13 @@ def write(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = 32 <
     record = F.concat(header, F.when(rev, F.lit("")).otherwise(F.col("html")))
     # Each record ends with two line ends; the text writer puts what ends a row there.
     x.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
-    drop_table(pages.sparkSession, again_at)
+    for at in done:
+        drop_table(pages.sparkSession, at)
 
 
 _HEAD = re.compile(rb"(?:[^\r\n:]+:[^\r\n]*\r\n)*\r\n")
 _FIELD = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
-_ID = re.compile(rb"<urn:page:(-?\d*)(?::\d+)?>")
+_ID = re.compile(rb"<urn:page:(-?\d*)(?::[0-9a-f]+)?>")
 CANDIDATE = "file string, at long, next long, size long, page_id long, record_type string, refers_to long, stated string, payload_bytes long, payload_digest string"
 
 
