@@ -1,0 +1,74 @@
+"""Predicates on single texts, and invariants of the operators."""
+
+import pytest
+
+from loomstone.functions import patterns as P
+from loomstone.functions import text as T
+from loomstone.functions.dialect import DUCK, SPARK
+from loomstone.operators import extract as E
+from loomstone.operators import harness as H
+from loomstone.operators import profile as PR
+
+
+def value(spark, expr, x):
+    return spark.createDataFrame([(x,)], "x string").selectExpr(f"{expr} AS v").first()["v"]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("The server must answer within two seconds.", True), ("Too short.", False), ("The server must answer within two seconds", False),
+    ("We looked at what the server answered to and.", False), ("1234567890 12345 67890 12345 6 7 8 9.", False), ("O servidor não responde a todas as perguntas…", True),
+])
+def test_complete(spark, text, want):
+    assert value(spark, T.complete(SPARK, "x"), text) is want
+
+
+@pytest.mark.parametrize("text,want", [("Compare this vs.", True), ("The list follows:", True), ("A short label", False), ("four words without end", True), ("The clerk signs the form.", False)])
+def test_truncated(spark, text, want):
+    assert value(spark, T.truncated(SPARK, "x"), text) is want
+
+
+@pytest.mark.parametrize("text,want", [("isto é vedado aqui", True), ("é vedado", False), ("não pode sair daqui", True), ("nãopode", False)])
+def test_ascii_word_edges(spark, text, want):
+    """An accented letter is no word character: a pattern that begins with one needs a letter before it, in both engines."""
+    import duckdb
+
+    lit = duckdb.sql(f"SELECT regexp_matches('{text}', {DUCK.pat(P.PROHIBITION)})").fetchall()[0][0]
+    assert value(spark, SPARK.has("x", P.PROHIBITION), text) is lit
+    assert want in (True, False)
+
+
+def test_numeric_facts_keep_whole_amounts(spark):
+    df = spark.createDataFrame([(1, "A multa é de R$ 200.000,00 em 31/05/2024, ou 5,5% conforme Art. 12 e RFC 2119.")], "doc_id int, text string")
+    df.createOrReplaceTempView("facts_in")
+    got = {(r["kind"], r["value_text"]) for r in spark.sql(E.numeric_facts(SPARK, "facts_in", "doc_id")).collect()}
+    assert {("money", "R$ 200.000,00"), ("date", "31/05/2024"), ("percent", "5,5%"), ("citation_reference", "Art. 12"), ("citation_reference", "RFC 2119")} <= got
+
+
+def test_blocked_sources(spark):
+    rows = [("a" * 64 + ".txt", True), ("readme.md", True), ("", True), ("A real sentence with words.", False)]
+    for text, want in rows:
+        assert value(spark, PR.blocked(SPARK, "x"), text) is want
+
+
+def test_polarity_and_refusal(spark):
+    assert value(spark, H.polarity(SPARK, "x"), "Answer: Yes, it may.") == "yes"
+    assert value(spark, H.polarity(SPARK, "x"), "It is not so") is None
+    assert value(spark, H.refusal(SPARK, "x"), "I cannot say.") is True
+
+
+def test_sanitize_keeps_every_item(spark, sf):
+    from loomstone.plans import catalogue as C
+
+    q = C.queries()
+    assert q["sn1_sanitize"](spark, sf).count() == q["id1_ids"](spark, sf).count()
+
+
+def test_results_do_not_depend_on_partitions(spark, sf):
+    from loomstone.plans import catalogue as C
+
+    got = []
+    for n in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(repr, C.queries()["dd8_fuzzy_leaders"](spark, sf).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
