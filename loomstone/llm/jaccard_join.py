@@ -26,6 +26,8 @@ from loomstone.llm._runtime import components, drop_table, ship, write_table
 
 SLICE = 1 << 19
 _PIECES = 256
+#: Hash ranges whose token counts the suffix filter compares, and classes of a token that one task compares with as many.
+RANGES, CELL = 256, 1024
 #: Most ids (24 bytes each) of documents whose set is another's that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -92,7 +94,7 @@ def _prefix_rows(sketch, k: int, kind: str, num: int, den: int, bits: int):
         import xxhash
 
         order = sketch.value
-        bounds = (np.arange(1, 32, dtype=np.uint64) << np.uint64(59)).astype(np.uint64)
+        bounds = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(56)
         for b in batches:
             ids = b.column("doc_id")
             rows, ns, d1, d2, sigs, prefixes = [], [], [], [], [], []
@@ -112,7 +114,7 @@ def _prefix_rows(sketch, k: int, kind: str, num: int, den: int, bits: int):
                     d1.append(int(h[0]))
                     d2.append(int(h[1]))
                     cut = np.searchsorted(u, bounds)
-                    sigs.append(np.minimum(np.diff(np.concatenate([[0], cut, [n]])), 65535).astype("<u2").tobytes())
+                    sigs.append(np.minimum(np.diff(np.concatenate([[0], cut, [n]])), 255).astype(np.uint8).tobytes())
                     need = -(-n * num // den)  # an equal or larger set shares so many at least
                     seen = order[(u >> np.uint64(64 - bits)).astype(np.int64)]
                     prefixes.append(X.signed(u[np.argsort(seen, kind="stable")[: n - need + 1]]))
@@ -174,22 +176,59 @@ def _verify(num: int, den: int):
     return run
 
 
-def _far(num: int, den: int):
-    """Suffix filter on the token counts of 32 hash ranges: their differences bound the sets' difference from below."""
+def _close(x: np.ndarray, y: np.ndarray, total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Suffix filter: the token counts of RANGES hash ranges differ by no more than two similar sets of `total` tokens can.
+
+    A range that holds 255 tokens or more counts as 255: that only lowers the difference, so no similar pair is lost."""
+    # |x ^ y| = total - 2 both, and both * (den + num) >= num * total
+    most = total - 2 * (-(-num * total // (den + num)))
+    return np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(1) <= most
+
 
+def _far(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (da, oa), (db, ob) = X.buffers(b.column("sa")), X.buffers(b.column("sb"))
-            x, y = (np.frombuffer(np.ascontiguousarray(d).tobytes(), "<u2").reshape(-1, 32).astype(np.int64) for d in (da, db))
+            x, y = (np.frombuffer(np.ascontiguousarray(X.buffers(b.column(c))[0]).tobytes(), np.uint8).reshape(-1, RANGES) for c in ("sa", "sb"))
             total = b.column("na").to_numpy(zero_copy_only=False) + b.column("nb").to_numpy(zero_copy_only=False)
-            # |x ^ y| = total - 2 both, and both * (den + num) >= num * total
-            most = total - 2 * (-(-num * total // (den + num)))
-            ok = (np.abs(x - y).sum(1) <= most) | (x.max(1) == 65535) | (y.max(1) == 65535)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            yield b.select(["a", "b"]).filter(pa.array(_close(x, y, total, num, den)))
 
     return run
 
 
+def _cells(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of classes that share a token, lie in different components and pass the filters.
+
+    posts: (token, id, n, pos, component, sig, df). A token's classes are cut into blocks of CELL at most and compared block by
+    block on the executors; only what passes all filters is emitted, so no list of all pairs is ever made."""
+    nb = F.ceil(F.col("df") / CELL).cast("int")
+    x = posts.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    x = x.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "pos", "component", "sig")
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("own", "id", "n", "pos", "component")}
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, RANGES)
+        left, right = np.flatnonzero(col["own"] == key[1].as_py()), np.flatnonzero(col["own"] == key[2].as_py())
+        out = []
+        for lo in range(0, len(left), 64):
+            a, b = (v.ravel() for v in np.meshgrid(left[lo : lo + 64], right, indexing="ij"))
+            na, nb_ = col["n"][a], col["n"][b]
+            total = na + nb_
+            ok = (col["component"][a] != col["component"][b]) & (np.minimum(na, nb_) * den >= np.maximum(na, nb_) * num)
+            ok &= np.minimum(na - col["pos"][a], nb_ - col["pos"][b]) >= -(-num * total // (den + num))
+            if key[1] == key[2]:
+                ok &= col["id"][a] < col["id"][b]
+            a, b, total = a[ok], b[ok], total[ok]
+            for at in range(0, len(a), 1 << 15):
+                p, q = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+                near = _close(sig[p], sig[q], total[at : at + (1 << 15)], num, den)
+                p, q = col["id"][p[near]], col["id"][q[near]]
+                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return x.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _links(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. The side with few pairs for each set goes first."""
     left = pairs.join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -197,7 +236,7 @@ def _links(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(_verify(num, den), "a long, b long")
 
 
-def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind: str = "nonspace", sketch_bits: int = 20, stars: int = 2) -> DataFrame:
+def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind: str = "nonspace", sketch_bits: int = 20, stars: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id.
 
     Two documents link when den * |intersection| >= num * |union| of their k-word shingle sets.
@@ -216,8 +255,12 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
         others = F.broadcast(others)
     reps = full.join(others, ["doc_id", "d1", "d2"], "left_anti").select(F.col("doc_id").alias("id"), "n", "sig", "prefix")
     posts = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("lead")).where("df > 1")
-    posts, posts_at = write_table(posts.join(shared.select("token"), "token"))
+    half = lambda salt: F.sum(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 32)))
+    shared = posts.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("id", "pos")).alias("lead"), half(1).alias("h1"), half(2).alias("h2")).where("df > 1")
+    # Tokens with the same classes say the same: of them the first in the common order stays, whose places bound the overlap.
+    shared = shared.groupBy("df", F.col("lead.id").alias("lead"), "h1", "h2").agg(F.min_by("token", "lead.pos").alias("token"))
+    shared, shared_at = write_table(shared.select("token", "df"))
+    posts, posts_at = write_table(posts.join(shared, "token"))
     sigs = reps.select("id", "sig")
 
     def fits(p: DataFrame) -> DataFrame:
@@ -241,11 +284,10 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
             p = tagged.join(lead, "token").where("component != l.component")
             p = p.select(F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.pos").alias("pa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
         else:
-            x = tagged.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-            y = tagged.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-            p = x.join(y, "token").where("a < b AND ca != cb")
-            p = p.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        pairs, pairs_at = write_table(fits(p))
+            # Only tokens whose classes are in several components still.
+            open_ = tagged.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+            p = tagged.join(open_, "token").join(sigs, "id")
+        pairs, pairs_at = write_table(fits(p) if rnd < stars else _cells(p, num, den))
         if pairs.isEmpty():
             continue
         # Only the documents of these pairs are read for their whole sets.
@@ -257,7 +299,8 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
         if not found.isEmpty():
             known = found if comp is None else found.unionAll(comp.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
             comp = components(known)
-    drop_table(spark, posts_at)
+    for at in (posts_at, shared_at):
+        drop_table(spark, at)
     drop_table(spark, others_at)
     if comp is None:
         comp = spark.createDataFrame([], "id long, component long")
