@@ -30,7 +30,8 @@ def test_compile(out):
     assert {(r["doc_id"], r["source_type"]) for r in spans} == {("1", "markdown_section"), ("3", "faq_pair"), ("4", "jsonl_record")}
     items = out["items"].collect()
     assert len({(r["doc_id"], r["section"], r["id"]) for r in items}) == len(items)
-    assert {"concepts", "procedures"} <= {r["section"] for r in items if r["doc_id"] == "1"}
+    everything = {(r["doc_id"], r["section"]) for r in items} | {(r["doc_id"], r["section"]) for r in out["rejects"].collect()}
+    assert {("1", "concepts"), ("1", "procedures"), ("1", "atomic_units")} <= everything
     assert any(r["section"] == "anti_patterns" for r in items if r["doc_id"] == "3") or out["rejects"].count() > 0
     ids = {(r["doc_id"], r["id"]) for r in items}
     traces = out["traces"].collect()
@@ -39,7 +40,7 @@ def test_compile(out):
 
 
 def test_sanitize_partitions_items_and_is_idempotent(spark):
-    found = C.items(C.spans(spark.createDataFrame([(str(i), t) for i, t in DOCS], "doc_id string, text string")))
+    found = C.hold(C.items(C.spans(spark.createDataFrame([(str(i), t) for i, t in DOCS], "doc_id string, text string"))))
     kept, bad = C.sanitized(found)
     assert kept.count() + bad.select("doc_id", "section", "ord").distinct().count() == found.count()
     again, none = C.sanitized(kept)
