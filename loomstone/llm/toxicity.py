@@ -219,7 +219,7 @@ class Model:
         return np.where(np.isfinite(z), _sigmoid(self.slope * np.where(np.isfinite(z), z, 0) + self.level), self.nothing)
 
 
-def highest(network: Network, w: Words, inputs: np.ndarray, z: np.ndarray, start=None) -> np.ndarray:
+def highest(network: Network, w: Words, inputs: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Put each document's highest window score into z; returns all windows' scores."""
     start, length, doc = windows(w.first)
     if not len(start):
@@ -239,14 +239,17 @@ def train(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mo
     for value in (0, 1):  # alike shares in all folds
         own = np.flatnonzero(toxic == value)
         fold[own] = np.arange(len(own)) % FOLDS
-    parts = []
     counts_w = np.zeros((FOLDS, 2, 1 << WORD_BITS), np.int32)
     counts_g = np.zeros((FOLDS, 2, 1 << GRAM_BITS), np.int32)
     docs = np.zeros((FOLDS, 2))
-    step = 200
-    for lo in range(0, len(texts), step):
-        w = Words(*X.buffers(pa.array(texts[lo : lo + step], pa.string())))
-        parts.append(w)
+    step = 100
+
+    def parts():
+        """The words of the texts, some texts at a time: what is kept between passes does not grow with the sample's bytes."""
+        for lo in range(0, len(texts), step):
+            yield lo, Words(*X.buffers(pa.array(texts[lo : lo + step], pa.string())))
+
+    for lo, w in parts():
         gram_word = np.searchsorted(w.gram_first, np.arange(len(w.gram)), "right") - 1
         gram_doc = np.searchsorted(w.first, gram_word, "right") - 1
         g_first = np.searchsorted(gram_doc, np.arange(len(w.first)))
@@ -256,16 +259,21 @@ def train(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mo
             counts_g[f, y, np.unique(w.gram[g_first[i] : g_first[i + 1]])] += 1
             docs[f, y] += 1
     final = Tables(counts_w.sum(0), counts_g.sum(0), docs.sum(0))
-    xs, starts, lens, ys, base, per_fold = [], [], [], [], 0, []
     rng = np.random.default_rng(3)
+    per_fold = []
     for f in range(FOLDS):
         others = [k for k in range(FOLDS) if k != f]
         per_fold.append(Tables(counts_w[others].sum(0), counts_g[others].sum(0), docs[others].sum(0)))
     stacked = Tables.stack(per_fold)
-    for k, w in enumerate(parts):
-        lo = k * step
+    del counts_w, counts_g, per_fold
+
+    def fitted(lo: int, w: Words) -> np.ndarray:
         word_doc = np.searchsorted(w.first, np.arange(len(w.starts)), "right") - 1
-        fit = w.fit = w.inputs(stacked, fold[lo + word_doc])
+        return w.inputs(stacked, fold[lo + word_doc])
+
+    xs, lens, ys = [], [], []
+    for lo, w in parts():
+        fit = fitted(lo, w)
         s, n, doc = windows(w.first)
         if not len(s):
             continue
@@ -276,18 +284,17 @@ def train(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mo
         other = rng.integers(0, len(s), len(firsts))
         other = other[toxic[lo + doc[other]] == 0]
         pick = np.concatenate([firsts, other])
-        xs.append(fit)
-        starts.append(s[pick] + base)
+        xs.append(fit[np.minimum(s[pick, None] + np.arange(WINDOW), len(fit) - 1)].reshape(-1, INPUTS))
         lens.append(n[pick])
         ys.append(toxic[lo + doc[pick]])
-        base += len(fit)
     net = Network()
-    net.fit(np.concatenate(xs), np.concatenate(starts), np.concatenate(lens), np.concatenate(ys).astype(np.float32))
+    y = np.concatenate(ys).astype(np.float32)
+    net.fit(np.concatenate(xs), np.arange(len(y)) * WINDOW, np.concatenate(lens), y)
     z = np.full(len(texts), -np.inf)
-    for k, w in enumerate(parts):
+    for lo, w in parts():
         part = np.full(len(w.first) - 1, -np.inf)
-        highest(net, w, w.fit, part)
-        z[k * step : k * step + len(part)] = part
+        highest(net, w, fitted(lo, w), part)
+        z[lo : lo + len(part)] = part
     ok = np.isfinite(z)
     slope, level = _calibrate(z[ok], toxic[ok].astype(float), share)
     low = np.median(z[ok & (toxic == 0)]) if (ok & (toxic == 0)).any() else 0.0
@@ -307,7 +314,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float
     return float(b[0]), float(b[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 4000, sample_bytes: int = 20_000) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_clean: int = 3500, sample_bytes: int = 20_000) -> Model:
     """Train on a bounded sample of documents whose label is known and which are not held out (crc32 of doc_id modulo 5 not 0)."""
     ship(documents.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).select("doc_id", "toxic")
