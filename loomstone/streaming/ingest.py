@@ -27,12 +27,12 @@ def profiles(stream: DataFrame) -> DataFrame:
 
 def unique_sources(stream: DataFrame, time: str = "ts", within: str = "1 hour") -> DataFrame:
     """Drops a text that was delivered before, by its digest, as long as the watermark keeps it in state."""
-    return stream.withColumn("digest", F.sha2("text", 256)).withWatermark(time, within).dropDuplicatesWithinWatermark(["digest"])
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withColumn("digest", F.sha2("text", 256)).withWatermark(time, within).dropDuplicatesWithinWatermark(["digest"])
 
 
 def event_counts(stream: DataFrame, time: str = "ts", length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per event type in tumbling windows; late events count until the watermark passes."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def merge_into(table: str):
