@@ -137,5 +137,27 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, out_first
 
 
+def release() -> None:
+    """Give memory that was freed back to the system: an idle worker keeps it else, beside those of the tasks that follow."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """run over a partition's batches, and release() when they are done."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

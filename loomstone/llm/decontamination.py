@@ -106,7 +106,7 @@ def build_index(documents: DataFrame, vocabulary) -> DataFrame:
                 )
 
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, INDEX_SCHEMA).withColumn("block_id", F.monotonically_increasing_id())
+    return src.mapInArrow(X.tidy(run), INDEX_SCHEMA).withColumn("block_id", F.monotonically_increasing_id())
 
 
 def term_totals(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def term_totals(index: DataFrame, n_terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(n_terms, np.int64)
-    for r in index.select("terms", "term_first").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in index.select("terms", "term_first").mapInArrow(X.tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]  # a row for each term of this part of the benchmark at most
     return out
 
@@ -201,7 +201,7 @@ def match(index: DataFrame, windows, slop: int) -> DataFrame:
                     ["block_id", "row", "doc_id", "n_words", "spans", "items", "near"],
                 )
 
-    return index.mapInArrow(run, MATCH_SCHEMA)
+    return index.mapInArrow(X.tidy(run), MATCH_SCHEMA)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
         for f in found[1:]:
             both = both.unionAll(f)
         merged = both.groupBy("block_id", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"), F.collect_list("near").alias("near")).drop("block_id", "row")
-    return merged.mapInArrow(_merge, "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<start:long,end:long>>")
+    return merged.mapInArrow(X.tidy(_merge), "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def _search(reps: DataFrame, cosine: float, sample: int, margin: float, probes:
                     ["list", "query", "id", "copies", "unit", "codes", "err"],
                 )
 
-    rows = reps.select("id", "copies", "unit").mapInArrow(spread, "list int, query boolean, id long, copies long, unit binary, codes binary, err double")
+    rows = reps.select("id", "copies", "unit").mapInArrow(X.tidy(spread), "list int, query boolean, id long, copies long, unit binary, codes binary, err double")
     rows, _ = write_table(rows)
     sizes = {}
     for r in rows.groupBy("list", "query").count().collect():  # two rows a list
@@ -218,7 +218,7 @@ def links(embeddings: DataFrame, cosine: float = 0.9, sample: int = 16_384, marg
     spark = embeddings.sparkSession
     ship(spark)
     src = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows, _ = write_table(src.mapInArrow(_prepare, ROW))
+    rows, _ = write_table(src.mapInArrow(X.tidy(_prepare), ROW))
     valid = rows.where("key IS NOT NULL AND vec_id IS NOT NULL")
     groups = valid.groupBy("dim", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     reps = valid.join(groups.select("dim", "key", F.col("id").alias("vec_id"), "copies"), ["dim", "key", "vec_id"]).groupBy("dim", F.col("vec_id").alias("id")).agg(F.max("copies").alias("copies"), F.max("unit").alias("unit"))

@@ -15,6 +15,7 @@ with their set size and component null, and link with nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def frequency_sketch(docs: DataFrame, k: int, kind: str, bits: int) -> np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.astype("<u2").tobytes()], pa.binary())], ["piece", "counts"])
 
     out = np.zeros(size, np.uint16)
-    parts = docs.select("text").mapInArrow(count, "piece int, counts binary").repartition("piece").mapInArrow(add, "piece int, counts binary")
+    parts = docs.select("text").mapInArrow(X.tidy(count), "piece int, counts binary").repartition("piece").mapInArrow(X.tidy(add), "piece int, counts binary")
     for r in parts.collect():  # a table of fixed size: 2 bytes times 2**bits
         out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], "<u2")
     return out
@@ -153,12 +154,10 @@ def _set_rows(docs: DataFrame, k: int, kind: str, bitmap) -> DataFrame:
             b = b.filter(pa.array((raw[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
             if not b.num_rows:
                 continue
-            got = list(_sets(b, k, kind))
-            for at in range(0, len(got), 500):
-                part = got[at : at + 500]
+            for part in batched(_sets(b, k, kind), 200):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([i for i, _ in part], pa.int64())), pa.array([u.tobytes() for _, u in part], pa.binary())], ["doc_id", "tokens"])
 
-    return docs.where("doc_id IS NOT NULL").withColumn("pos", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23))).mapInArrow(run, "doc_id long, tokens binary")
+    return docs.where("doc_id IS NOT NULL").withColumn("pos", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23))).mapInArrow(X.tidy(run), "doc_id long, tokens binary")
 
 
 def _verify(num: int, den: int):
@@ -224,6 +223,8 @@ def _cells(posts: DataFrame, num: int, den: int) -> DataFrame:
                 p, q = col["id"][p[near]], col["id"][q[near]]
                 out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
         pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        if len(sig) > 512:
+            X.release()
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     return x.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -233,7 +234,7 @@ def _links(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame
     """The pairs (a, b) whose whole sets are similar enough. The side with few pairs for each set goes first."""
     left = pairs.join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = left.join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(num, den), "a long, b long")
+    return both.mapInArrow(X.tidy(_verify(num, den)), "a long, b long")
 
 
 def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind: str = "nonspace", sketch_bits: int = 20, stars: int = 1) -> DataFrame:
@@ -245,7 +246,7 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
     ship(spark)
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(frequency_sketch(src, k, kind, sketch_bits))
-    rows, rows_at = write_table(src.mapInArrow(_prefix_rows(sketch, k, kind, num, den, sketch_bits), "doc_id long, n long, d1 long, d2 long, sig binary, prefix array<long>"))
+    rows, rows_at = write_table(src.mapInArrow(X.tidy(_prefix_rows(sketch, k, kind, num, den, sketch_bits)), "doc_id long, n long, d1 long, d2 long, sig binary, prefix array<long>"))
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     heads = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     # One row per class, that of its smallest doc_id: the others are few as a rule, and go by their ids alone.
@@ -272,7 +273,7 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
         p = p.where(small * den >= large * num)
         p = p.groupBy("a", "b").agg(F.max(bound).alias("bound"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("bound") >= need)
         p = p.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-        return p.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_far(num, den), "a long, b long")
+        return p.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(X.tidy(_far(num, den)), "a long, b long")
 
     comp = None
     for rnd in range(stars + 1):

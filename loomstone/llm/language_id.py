@@ -143,4 +143,4 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"),
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
     )
-    return src.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return src.mapInArrow(X.tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -88,7 +88,7 @@ def chunks(documents: DataFrame, bits: int = 5, min_chunk: int = 16, max_chunk:
     """One row per chunk: doc_id, start and length in UTF-8 bytes, and the 128-bit digest as two longs."""
     ship(documents.sparkSession)
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_chunk_batches(bits, min_chunk, max_chunk), CHUNK_SCHEMA)
+    return src.mapInArrow(X.tidy(_chunk_batches(bits, min_chunk, max_chunk)), CHUNK_SCHEMA)
 
 
 def spans(documents: DataFrame, min_run: int = 96, across_documents: bool = True, **chunking) -> DataFrame:

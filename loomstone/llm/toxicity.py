@@ -348,4 +348,4 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return src.mapInArrow(X.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
