@@ -257,11 +257,15 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
     reps = full.join(others, ["doc_id", "d1", "d2"], "left_anti").select(F.col("doc_id").alias("id"), "n", "sig", "prefix")
     posts = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     half = lambda salt: F.sum(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 32)))
-    shared = posts.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("id", "pos")).alias("lead"), half(1).alias("h1"), half(2).alias("h2")).where("df > 1")
+    # Narrow rows find the tokens of several classes; only those classes' rows go on, and stay where their token is.
+    several = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    posts, several_at = write_table(posts.join(several, "token"))
+    shared = posts.groupBy("token").agg(F.max("df").alias("df"), F.min(F.struct("id", "pos")).alias("lead"), half(1).alias("h1"), half(2).alias("h2"))
     # Tokens with the same classes say the same: of them the first in the common order stays, whose places bound the overlap.
     shared = shared.groupBy("df", F.col("lead.id").alias("lead"), "h1", "h2").agg(F.min_by("token", "lead.pos").alias("token"))
     shared, shared_at = write_table(shared.select("token", "df"))
-    posts, posts_at = write_table(posts.join(shared, "token"))
+    posts, posts_at = write_table(posts.join(shared.select("token"), "token"))
+    drop_table(spark, several_at)
     sigs = reps.select("id", "sig")
 
     def fits(p: DataFrame) -> DataFrame:
