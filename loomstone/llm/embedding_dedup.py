@@ -2,13 +2,15 @@
 
 A bounded sample (`sample` vectors, chosen by a hash of vec_id) trains the coarse centroids and, on the residuals, one small
 codebook per subspace. Every vector is stored in the list of its nearest centroid as codes of its residual. As a query it
-probes the lists that a vector within the search radius can lie in: those whose boundary with its own list is no farther
-than `margin` of the radius, up to `probes` lists, nearest first. In a list, distances to the codes come from tables of
-the query's subspace distances; what may lie within the radius, given each code's own error, is compared exactly (cosine in
-double precision).
+probes all lists that a vector within the search radius can lie in: those whose boundary with its own list is no farther
+than `margin` of the radius (1 is exact, less loses links across boundaries). In a list, distances to the codes come from
+tables of the query's subspace distances; what may lie within the radius, given each code's own error, is compared exactly
+(cosine in double precision).
 
-Equal vectors are one row with a count, so copies cost nothing. A list is cut into cells of at most `cell` stored vectors by
-`cell` queries, and a cell emits counts and a spanning forest of its links, never its pairs.
+Equal vectors are one row with a count, so copies cost nothing. Lists are packed into tiles of at most `cell` vectors (a
+larger list is cut into several), and a vector is shipped once to each pair of its own tile with one that it probes. A link
+is found once, in the pair of its ends' tiles, and counts for both ends; a pair emits counts and a spanning forest of its
+links, never the links. Where vectors do not cluster nearly every tile is probed and the work grows with the square of n.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
 different lengths never link (each length is searched by itself); rows that repeat a vec_id count as vectors of their own
@@ -73,19 +75,14 @@ class Index:
             err += ((part - book[codes[:, s]]) ** 2).sum(1)
         return own, codes, np.sqrt(err)
 
-    def probe(self, x: np.ndarray, radius: float, margin: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists to probe: distance to the boundary with the own list at most margin * radius."""
-        d2 = (x * x).sum(1)[:, None] - 2 * x @ self.coarse.T + (self.coarse * self.coarse).sum(1)
+    def probe(self, x: np.ndarray, radius: float, margin: float) -> np.ndarray:
+        """Mask (row, list) of the lists to probe: distance to the boundary with the own list at most margin * radius."""
+        norms = (self.coarse * self.coarse).sum(1)
+        d2 = norms - 2 * x @ self.coarse.T
         own = d2.argmin(1)
-        between = np.sqrt(np.maximum(((self.coarse[:, None, :] - self.coarse[None]) ** 2).sum(2), 1e-12)) if len(self.coarse) <= 256 else None
         gap = d2 - d2[np.arange(len(x)), own][:, None]
-        apart = between[own] if between is not None else np.sqrt(np.maximum(np.stack([((self.coarse - self.coarse[o]) ** 2).sum(1) for o in own]), 1e-12))
-        ok = gap / (2 * apart) <= margin * radius
-        ok[np.arange(len(x)), own] = True
-        if ok.shape[1] > most:
-            far = np.argpartition(np.where(ok, d2, np.inf), most, axis=1)[:, most:]
-            np.put_along_axis(ok, far, False, 1)
-        return np.nonzero(ok)
+        apart = np.sqrt(np.maximum(norms[own][:, None] + norms - 2 * self.coarse[own] @ self.coarse.T, 0))
+        return gap <= 2 * apart * margin * radius + 1e-6  # more than rounding can take away
 
     def near(self, q: np.ndarray, lst: int, codes: np.ndarray, err: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, stored) pairs of a list that may lie within radius, by table lookups."""
@@ -141,8 +138,21 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "dim", "key", "unit"])
 
 
-def _search(reps: DataFrame, cosine: float, sample: int, margin: float, probes: int, cell: int, per_list: int) -> DataFrame:
-    """(id, n, low) parts: found neighbours (weighted by copies) of id in a cell, and the forest's edge to low if any."""
+def _tiles(sizes: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first tile, number of tiles) of each list: small lists share a tile, larger ones are cut into several."""
+    pieces = np.maximum(1, -(-sizes // cell))
+    first, tile, filled = np.zeros(len(sizes), np.int64), 0, 0
+    for k, n in enumerate(sizes):
+        if filled and filled + n > cell:
+            tile, filled = tile + 1, 0
+        first[k], filled = tile, filled + n
+        if pieces[k] > 1:
+            tile, filled = tile + pieces[k], 0
+    return first, pieces
+
+
+def _search(reps: DataFrame, cosine: float, sample: int, margin: float, cell: int, per_list: int) -> DataFrame:
+    """(id, n, low) parts: found neighbours (weighted by copies) of id in a pair of tiles, and the forest's edge to low if any."""
     spark = reps.sparkSession
     radius = float(np.sqrt(2 - 2 * cosine))
     n = reps.count()
@@ -152,68 +162,88 @@ def _search(reps: DataFrame, cosine: float, sample: int, margin: float, probes:
     index = Index(_unit([r["unit"] for r in picked]), max(1, min(n // per_list, 1024, len(picked) // 8)))
     shared = spark.sparkContext.broadcast(index)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                x = _unit(part.column("unit").to_pylist())
-                own, codes, err = ix.encode(x)
-                row, lst = ix.probe(x, radius, margin, probes)
-                at = pa.array(np.concatenate([np.arange(len(x)), row]))
+                own, codes, err = ix.encode(_unit(part.column("unit").to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([own, lst]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(x), bool), np.ones(len(row), bool)])), part.column("id").take(at), part.column("copies").take(at), part.column("unit").take(at),
-                     pa.array([c.tobytes() for c in codes] + [None] * len(row), pa.binary()), pa.array(np.concatenate([err, np.zeros(len(row))]))],
-                    ["list", "query", "id", "copies", "unit", "codes", "err"],
-                )
-
-    rows = reps.select("id", "copies", "unit").mapInArrow(X.tidy(spread), "list int, query boolean, id long, copies long, unit binary, codes binary, err double")
-    rows, _ = write_table(rows)
-    sizes = {}
-    for r in rows.groupBy("list", "query").count().collect():  # two rows a list
-        sizes[r["list"], r["query"]] = -(-r["count"] // cell)
-    grid = [(k, sizes.get((k, False), 1), sizes.get((k, True), 1)) for k in sorted({k for k, _ in sizes})]
-    grid = F.broadcast(spark.createDataFrame(grid, "list int, nd int, nq int"))
-    placed = rows.join(grid, "list")
-    h = F.xxhash64("id")
-    stored = placed.where("NOT query").withColumn("d", F.pmod(h, "nd").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    asked = placed.where("query").withColumn("q", F.pmod(h, "nq").cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)))
-    cols = ["list", "d", "q", "query", "id", "copies", "unit", "codes", "err"]
-
-    def cell_links(key: tuple, t: pa.Table) -> pa.Table:
-        ix = shared.value
-        is_q = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        out = {"id": [], "n": [], "low": []}
-        if is_q.any() and not is_q.all():
-            qs, db = t.filter(pa.array(is_q)), t.filter(pa.array(~is_q))
-            xq, xd = _unit(qs.column("unit").to_pylist()), _unit(db.column("unit").to_pylist())
-            iq, idb = qs.column("id").to_numpy(), db.column("id").to_numpy()
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in db.column("codes").to_pylist()])
-            a, b = ix.near(xq, key[0].as_py(), codes, db.column("err").to_numpy(), radius)
-            keep = np.zeros(len(a), bool)
-            for lo in range(0, len(a), 1 << 16):
-                i = slice(lo, lo + (1 << 16))
-                keep[i] = np.einsum("ij,ij->i", xq[a[i]], xd[b[i]]) >= cosine
-            keep &= iq[a] != idb[b]
-            a, b = a[keep], b[keep]
-            if len(a):
-                n = np.zeros(len(iq), np.int64)
-                np.add.at(n, a, db.column("copies").to_numpy()[b])
-                low = dict(_forest(iq[a], idb[b]))
-                hit = np.flatnonzero(n)
-                out["id"] += iq[hit].tolist()
-                out["n"] += n[hit].tolist()
-                out["low"] += [low.pop(int(v), None) for v in iq[hit]]
-                for v, m in low.items():
-                    out["id"].append(v)
-                    out["n"].append(0)
-                    out["low"].append(m)
+                    [pa.array(own.astype(np.int32)), part.column("id"), part.column("copies"), part.column("unit"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err)],
+                    ["list", "id", "copies", "unit", "codes", "err"],
+                )
+
+    row = "list int, id long, copies long, unit binary, codes binary, err double"
+    rows, _ = write_table(reps.select("id", "copies", "unit").mapInArrow(X.tidy(encode), row))
+    sizes = np.zeros(len(index.coarse), np.int64)
+    for r in rows.groupBy("list").count().collect():  # a row a list
+        sizes[r["list"]] = r["count"]
+    # At least 16 tiles where n allows it, so that the pairs spread over the tasks.
+    placed = spark.sparkContext.broadcast(_tiles(sizes, min(cell, max(1024, n // 16))))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, (first, pieces) = shared.value, placed.value
+        n_tiles = int((first + pieces).max())
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                own = part.column("list").to_numpy().astype(np.int64)
+                tile = first[own] + (X.mix(part.column("id").to_numpy().astype(np.uint64)) % pieces[own].astype(np.uint64)).astype(np.int64)
+                ok = ix.probe(_unit(part.column("unit").to_pylist()), radius, margin)
+                ok[np.arange(len(own)), own] = True
+                to = np.zeros((len(own), n_tiles), bool)
+                for k in range(len(first)):
+                    to[:, first[k] : first[k] + pieces[k]] |= ok[:, k : k + 1]
+                at, other = np.nonzero(to)
+                mine = tile[at]
+                more = part.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array(mine.astype(np.int32)), *more.columns],
+                    ["s", "t", "tile", *more.schema.names],
+                )
+
+    def pair_links(key: tuple, t: pa.Table) -> pa.Table:
+        ix, (s, o) = shared.value, (key[0].as_py(), key[1].as_py())
+        tile, lst, ids, copies, err = (t.column(c).to_numpy() for c in ("tile", "list", "id", "copies", "err"))
+        left, right = np.flatnonzero(tile == s), np.flatnonzero(tile == o)
+        n_links, edges = np.zeros(len(ids), np.int64), []
+        if len(left) and len(right):
+            x = _unit(t.column("unit").to_pylist())
+            codes = np.stack([np.frombuffer(c, np.uint8) for c in t.column("codes").to_pylist()])
+            right = right[np.argsort(lst[right], kind="stable")]
+            lists, at = np.unique(lst[right], return_index=True)
+            for q in (left[lo : lo + 1024] for lo in range(0, len(left), 1024)):
+                ok = ix.probe(x[q], radius, margin)
+                ok[np.arange(len(q)), lst[q]] = True
+                for k, of_list in zip(lists.tolist(), np.split(right, at[1:]), strict=True):
+                    asks = q[ok[:, k]]
+                    for db in (of_list[lo : lo + 1024] for lo in range(0, len(of_list), 1024)):
+                        if not len(asks):
+                            break
+                        a, b = ix.near(x[asks], k, codes[db], err[db], radius)
+                        a, b = asks[a], db[b]
+                        # Within one tile each link shows from both ends.
+                        sel = ids[a] < ids[b] if s == o else ids[a] != ids[b]
+                        a, b = a[sel], b[sel]
+                        keep = np.zeros(len(a), bool)
+                        for lo in range(0, len(a), 1 << 16):
+                            i = slice(lo, lo + (1 << 16))
+                            keep[i] = np.einsum("ij,ij->i", x[a[i]], x[b[i]]) >= cosine
+                        a, b = a[keep], b[keep]
+                        if len(a):
+                            np.add.at(n_links, a, copies[b])
+                            np.add.at(n_links, b, copies[a])
+                            edges += _forest(ids[a], ids[b])
+        low = dict(_forest(*np.array(edges, np.int64).T)) if edges else {}
+        hit = np.flatnonzero(n_links)
+        out = {"id": ids[hit], "n": n_links[hit], "low": [low.get(int(v)) for v in ids[hit]]}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    return stored.select(*cols).unionAll(asked.select(*cols)).groupBy("list", "d", "q").applyInArrow(cell_links, "id long, n long, low long")
+    shipped = rows.mapInArrow(X.tidy(spread), f"s int, t int, tile int, {row}")
+    return shipped.groupBy("s", "t").applyInArrow(pair_links, "id long, n long, low long")
 
 
-def links(embeddings: DataFrame, cosine: float = 0.9, sample: int = 16_384, margin: float = 0.75, probes: int = 16, cell: int = 1024, per_list: int = 400) -> DataFrame:
+def links(embeddings: DataFrame, cosine: float = 0.9, sample: int = 16_384, margin: float = 1.0, cell: int = 8192, per_list: int = 400) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors at the given cosine or more), component_id, kept."""
     spark = embeddings.sparkSession
     ship(spark)
@@ -224,7 +254,7 @@ def links(embeddings: DataFrame, cosine: float = 0.9, sample: int = 16_384, marg
     reps = valid.join(groups.select("dim", "key", F.col("id").alias("vec_id"), "copies"), ["dim", "key", "vec_id"]).groupBy("dim", F.col("vec_id").alias("id")).agg(F.max("copies").alias("copies"), F.max("unit").alias("unit"))
     found = None
     for r in groups.select("dim").distinct().collect():
-        part = _search(reps.where(F.col("dim") == r["dim"]), cosine, sample, margin, probes, cell, per_list)
+        part = _search(reps.where(F.col("dim") == r["dim"]), cosine, sample, margin, cell, per_list)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], "id long, n long, low long")

@@ -118,6 +118,24 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.links(df.where("false")).count() == 0
 
 
+def test_embedding_dedup_finds_links_across_many_lists(spark):
+    """All links, counted at both ends, where a query has to probe far more than 16 lists."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(700, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    vecs = np.concatenate([base] + [base + 0.4 * u / np.linalg.norm(u, axis=1, keepdims=True) for u in r.normal(size=(2, 700, 24))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    x = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    want = components(spark.createDataFrame([(int(a), int(b)) for a, b in np.argwhere(link)], "a long, b long")).collect()
+    want = {i: i for i in range(len(vecs))} | {v["id"]: v["component"] for v in want}
+    for cell in (100, 8192):
+        got = {v["vec_id"]: v for v in embedding_dedup.links(df, cell=cell, per_list=10).collect()}
+        assert [got[i]["n_links"] for i in range(len(vecs))] == link.sum(1).tolist()
+        assert {i: v["component_id"] for i, v in got.items()} == want
+
+
 # ---- 4 ----
 def brute_matches(docs, items, size):
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
