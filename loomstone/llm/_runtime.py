@@ -46,6 +46,11 @@ def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df with a row_key (long, unique), written as a table so that every later reading sees the same keys."""
+    return write_table(df.withColumn("row_key", F.monotonically_increasing_id()))[0]
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that write_table() made and that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of chunks that occur in two documents or more, with the document and place of the first copy."""
-    return substring_dedup.spans(_table(spark, sf_dir, "documents"))
+    return substring_dedup.spans(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

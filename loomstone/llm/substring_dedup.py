@@ -2,9 +2,12 @@
 
 A position is a cut where the top bits of the gear hash of the last 32 bytes are zero and no other such position lies in
 the `min_chunk` bytes before it; a longer gap is cut every `max_chunk` bytes. Both rules look at nearby bytes only, so cuts
-move along with text that is inserted before them. A chunk is repeated when its digest occurs in two documents or more
+move along with text that is inserted before them. A chunk is repeated when its digest occurs in two rows or more
 (or anywhere twice, with across_documents=False); runs of adjacent repeated chunks of `min_run` bytes or more count.
 
+A document is a row, whatever its doc_id: rows are told apart by `row_key`, a column of _runtime.keyed() tables, or else a number
+that spans() gives and stores with the chunks.
+
 Defined results: a null or empty text has no chunks; equal rows repeat each other; an empty table gives an empty result;
 extra columns are ignored by spans() and kept by remove(). A null doc_id takes part under null and sorts first.
 """
@@ -19,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import _text as X
-from loomstone.llm._runtime import ship
+from loomstone.llm._runtime import ship, write_table
 
 _GEAR = (X.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-CHUNK_SCHEMA = "doc_id long, start int, length int, d1 long, d2 long"
+CHUNK_SCHEMA = "row_key long, doc_id long, start int, length int, d1 long, d2 long"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -65,7 +68,7 @@ def _chunk_batches(bits: int, min_chunk: int, max_chunk: int):
 
         for b in batches:
             data, offs = X.buffers(b.column("text"))
-            ids = b.column("doc_id")
+            keys, ids = b.column("row_key"), b.column("doc_id")
             for lo, hi in X.slices(offs, 1 << 20):
                 d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 e = cuts(d, o, bits, min_chunk, max_chunk)
@@ -77,43 +80,46 @@ def _chunk_batches(bits: int, min_chunk: int, max_chunk: int):
                 digest = b"".join([xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)])
                 parts = np.frombuffer(digest, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row + lo)), pa.array((s - o[row]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(np.ascontiguousarray(parts[:, 0])), pa.array(np.ascontiguousarray(parts[:, 1]))],
-                    ["doc_id", "start", "length", "d1", "d2"],
+                    [keys.take(pa.array(row + lo)), ids.take(pa.array(row + lo)), pa.array((s - o[row]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(np.ascontiguousarray(parts[:, 0])), pa.array(np.ascontiguousarray(parts[:, 1]))],
+                    ["row_key", "doc_id", "start", "length", "d1", "d2"],
                 )
 
     return run
 
 
 def chunks(documents: DataFrame, bits: int = 5, min_chunk: int = 16, max_chunk: int = 128) -> DataFrame:
-    """One row per chunk: doc_id, start and length in UTF-8 bytes, and the 128-bit digest as two longs."""
+    """One row per chunk: row_key, doc_id, start and length in UTF-8 bytes, and the 128-bit digest as two longs."""
     ship(documents.sparkSession)
-    src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    key = F.col("row_key") if "row_key" in documents.columns else F.monotonically_increasing_id()
+    src = documents.select(key.cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(X.tidy(_chunk_batches(bits, min_chunk, max_chunk)), CHUNK_SCHEMA)
 
 
 def spans(documents: DataFrame, min_run: int = 96, across_documents: bool = True, **chunking) -> DataFrame:
-    """One row per run of repeated chunks: doc_id, start, end (UTF-8 bytes), n_chunks, dup_bytes (bytes whose first
+    """One row per run of repeated chunks: row_key, doc_id, start, end (UTF-8 bytes), n_chunks, dup_bytes (bytes whose first
     occurrence is elsewhere, which dedup removes), first_doc_id (where the run's earliest copy lies), n_copies.
 
     The grouped side of the join has one row per digest, so a digest that holds a large part of all chunks leaves a join
-    that Spark can split; the grouping itself combines before it shuffles.
+    that Spark can split; the grouping itself combines before it shuffles. Chunks are stored, as both sides of the join
+    must see the same row keys.
     """
-    c = chunks(documents, **chunking)
+    c, _ = write_table(chunks(documents, **chunking))
     seen = c.groupBy("d1", "d2").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "start")).alias("first"), F.min("row_key").alias("low"), F.max("row_key").alias("high")
     )
-    repeated = seen.where((F.col("n") > 1) & (F.col("first.doc_id") < F.col("last_doc")) if across_documents else F.col("n") > 1)
+    repeated = seen.where((F.col("n") > 1) & (F.col("low") < F.col("high")) if across_documents else F.col("n") > 1)
     hit = c.join(repeated.select("d1", "d2", "n", "first"), ["d1", "d2"])
     hit = hit.select(
-        "doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "n",
+        "row_key", "doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "n",
         F.col("first.doc_id").alias("first_doc"),
-        F.when(~((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.start") == F.col("start"))), F.col("length")).otherwise(0).alias("dup"),
+        F.when(~((F.col("first.row_key") == F.col("row_key")) & (F.col("first.start") == F.col("start"))), F.col("length")).otherwise(0).alias("dup"),
     )
-    w = Window.partitionBy("doc_id").orderBy("start", "end")
+    w = Window.partitionBy("row_key").orderBy("start", "end")
     fresh = F.coalesce((F.lag("end").over(w) != F.col("start")).cast("int"), F.lit(1))
-    runs = hit.withColumn("run", F.sum(fresh).over(w)).groupBy("doc_id", "run").agg(
+    runs = hit.withColumn("run", F.sum(fresh).over(w)).groupBy("row_key", "run").agg(
+        F.first("doc_id").alias("doc_id"),
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"),
-        F.sum("dup").alias("dup_bytes"), F.min("first_doc").alias("first_doc_id"), F.max("n").alias("n_copies"),
+        F.sum("dup").alias("dup_bytes"), F.when(F.count("first_doc") == F.count("*"), F.min("first_doc")).alias("first_doc_id"), F.max("n").alias("n_copies"),
     )
     return runs.where(F.col("end") - F.col("start") >= min_run).drop("run")
 
@@ -121,11 +127,15 @@ def spans(documents: DataFrame, min_run: int = 96, across_documents: bool = True
 def remove(documents: DataFrame, found: DataFrame) -> DataFrame:
     """documents with the text of every run cut out but for its first copy: a run is cut where all of it is repeated from elsewhere.
 
-    Null texts and documents without such runs stay as they are.
+    Null texts and documents without such runs stay as they are. Where documents are a keyed() table, found being its
+    spans, rows are cut by row_key; otherwise by doc_id, and rows whose doc_id is null or not theirs alone stay whole.
     """
+    key = "row_key" if "row_key" in documents.columns else "doc_id"
+    if key == "doc_id":
+        found = found.join(documents.groupBy("doc_id").count().where("count = 1").select("doc_id"), "doc_id", "left_semi")
     cut = (
         found.where("dup_bytes = `end` - `start`")
-        .groupBy("doc_id")
+        .groupBy(key)
         .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
     )
 
@@ -145,4 +155,4 @@ def remove(documents: DataFrame, found: DataFrame) -> DataFrame:
             out.append((b"".join(kept) + raw[at:]).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    return documents.join(cut, "doc_id", "left").withColumn("text", without("text", "_cuts")).drop("_cuts")
+    return documents.join(cut, key, "left").withColumn("text", without("text", "_cuts")).select(*documents.columns)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.llm import decontamination, embedding_dedup, jaccard_join, language_id, mixing, queries, sharding, substring_dedup, token_counts, toxicity, warc
-from loomstone.llm._runtime import components
+from loomstone.llm._runtime import components, keyed
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 rnd = random.Random(4)
@@ -69,6 +69,32 @@ def test_substring_dedup(spark, odd, empty):
     assert substring_dedup.spans(empty).count() == 0
 
 
+def test_substring_dedup_tells_rows_apart(spark):
+    """Rows without an id and rows that share one are documents of their own: a shared passage is found in each."""
+    shared = prose(60, 9)
+    text = {k: f"{prose(40, 20 + k)} {shared} {prose(30, 40 + k)}" for k in range(6)}
+    rows = [(10, text[0], "a"), (11, text[1], "a"), (None, text[2], "a"), (None, text[3], "a"), (12, text[4], "a"), (12, text[4], "a"), (13, text[5], "a"), (13, prose(90, 60), "a")]
+    docs = keyed(frame(spark, rows))
+    found = substring_dedup.spans(docs)
+    by = defaultdict(list)
+    for r in found.collect():
+        by[r["row_key"]].append(r)
+    keys = {r["row_key"]: (r["doc_id"], r["text"]) for r in docs.collect()}
+    assert set(by) == {k for k, (i, t) in keys.items() if t != rows[7][1]}
+    for k, v in by.items():  # runs are whole: they hold most of the shared passage
+        assert sum(r["end"] - r["start"] for r in v) >= 0.7 * len(shared) and all(r["doc_id"] == keys[k][0] for r in v)
+    assert {r["first_doc_id"] for v in by.values() for r in v if shared[150:200] in keys[r["row_key"]][1][r["start"] : r["end"]]} == {None}
+    cut = substring_dedup.remove(docs, found)
+    left = [r["text"] for r in cut.collect()]
+    # It stays in its first row and, as part of a run that is a first copy elsewhere, in the first of the rows with id 12.
+    assert cut.columns == docs.columns and len(left) == 8 and sum(shared[150:200] in t for t in left) == 2
+    assert rows[7][1] in left and sum(prose(40, 24)[100:150] in t for t in left) == 1
+    pair = frame(spark, [(1, text[4], "a"), (1, text[4], "a")])
+    alone = substring_dedup.spans(pair)
+    assert sum(r["end"] - r["start"] for r in alone.collect()) == 2 * len(text[4])
+    assert [r["text"] for r in substring_dedup.remove(pair, alone).collect()] == [text[4]] * 2
+
+
 def test_chunks_cover_texts_and_resist_shifts(spark):
     text = prose(2000, 12)
     d = spark.createDataFrame([(1, text), (2, "An insertion. " + text)], "doc_id long, text string")
