@@ -1,7 +1,8 @@
 """Corpus pipeline over `documents`: STAGES in order, each by one training-data operator, each on all that the one before kept.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and reads it again.
-Rows whose doc_id is null cannot be named by a decision: the near-duplicate stage keeps them, the others judge their text.
+A document is a row: stages that drop rows write their input with a row key first and decide by that key, so rows without a
+doc_id or with a shared one are judged by their own text. Only the shard is by doc_id, which drops nothing.
 """
 
 from __future__ import annotations
@@ -12,48 +13,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from loomstone.llm._runtime import shared_dir, write_table
+from loomstone.llm._runtime import keyed, shared_dir, write_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Most rejected ids (8 bytes each) that are broadcast; beyond it documents and ids are joined by shuffle.
+#: Most row keys (8 bytes each) that are broadcast; beyond it documents and keys are joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in `rejected` (a single column of that name); null equals null."""
-    bad, _ = write_table(rejected.select(F.col("doc_id").alias("_bad")).distinct())
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def _by_row(rows: DataFrame) -> DataFrame:
+    """Keyed rows as the operators read them: under their row key instead of their doc_id."""
+    return rows.select(F.col("row_key").alias("doc_id"), "text")
+
+
+def _marked(keys: DataFrame) -> DataFrame:
+    """The single column `_key` of distinct row keys, written, and broadcast where they are few."""
+    few, _ = write_table(keys)
+    return F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+
+
+def _without(rows: DataFrame, rejected: DataFrame, columns: list[str]) -> DataFrame:
+    """Keyed rows but those whose row key is in `rejected` (under the name doc_id), without the key."""
+    bad = _marked(rejected.select(F.col("doc_id").alias("_key")))
+    return rows.join(bad, F.col("row_key") == F.col("_key"), "left_anti").select(*columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.5."""
+    rows = keyed(docs)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+    return _without(rows, toxicity.score(_by_row(rows), model).where("predicted = 1"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (that of the smallest doc_id) of each group linked by five-word shingles at a similarity of 0.8."""
-    found = jaccard_join.classes(docs, k=5, num=8, den=10)
-    kept = _without(docs, found.where("component_id != doc_id"))
-    # Rows that repeat a doc_id are copies of each other as well: the first text of each id stays.
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    single = kept.join(again.select("doc_id"), "doc_id", "left_anti")
-    repeated = kept.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    """One document of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id, one
+    without a doc_id only if none has it, and of several rows with that doc_id the first."""
+    rows = keyed(docs)
+    found, _ = write_table(jaccard_join.classes(_by_row(rows), k=5, num=8, den=10).select(F.col("doc_id").alias("row_key"), "component_id"))
+    named = found.join(rows.select("row_key", "doc_id"), "row_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
+    rejected = found.join(first.select(F.col("first.row_key").alias("row_key")), "row_key", "left_anti")
+    return _without(rows, rejected.select(F.col("row_key").alias("doc_id")), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a 10-word window of a benchmark item."""
-    found = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
-    return _without(docs, found.where("n_hit > 0"))
+    rows = keyed(docs)
+    found = decontamination.matches(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+    return _without(rows, found.where("n_hit > 0"), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that all sources have equal shares of the bytes."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents repeated so that all sources have equal shares of the bytes. The first row of a doc_id draws its count by
+    the doc_id, others and those without one by their row key as well: one draw never decides on several documents."""
+    rows = keyed(docs)
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high")
+    again = rows.select("doc_id", "row_key").join(ids.select("doc_id", "low"), "doc_id").where("row_key > low")
+    drawn = rows.join(_marked(again.select(F.col("row_key").alias("_key"))), F.col("row_key") == F.col("_key"), "left")
+    own = F.when(F.col("doc_id").isNotNull() & F.col("_key").isNull(), F.col("doc_id").cast("string")).otherwise(F.concat_ws("|", "doc_id", F.lit("row"), "row_key"))
+    return mixing.mix(drawn.withColumn("_id", F.col("doc_id")).withColumn("doc_id", own)).withColumn("doc_id", F.col("_id")).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -429,3 +429,33 @@ def test_pipeline_stages_on_odd_rows(spark, sf):
     for name, stage in C.STAGES:
         for d in (docs, docs.where("false")):
             stage(spark, d, sf).count()
+
+
+def test_pipeline_decides_by_row(spark, sf):
+    """Rows without an id or with a shared one are judged by their own text, and only that."""
+    import corpus_pipeline as C
+
+    item = next(t for (t,) in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect() if t and len(t.split()) > 12)
+    a, b, c, d = (prose(40, 70 + k) for k in range(4))
+
+    def stage(k, rows):
+        docs = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], DOC)
+        return sorted(((r["doc_id"], r["text"]) for r in C.STAGES[k][1](spark, docs, sf).collect()), key=repr)
+
+    leaks = [(None, a, "a"), (None, f"{b} {item}", "a"), (1, b, "a"), (1, f"{c} {item}", "a"), (2, d, "a")]
+    assert stage(2, leaks) == sorted([(None, a), (1, b), (2, d)], key=repr)
+    near = [(None, a, "a"), (None, a, "a"), (None, b, "a"), (7, b, "a"), (3, c, "a"), (3, d, "a"), (4, d, "a"), (5, None, "a"), (5, "", "a")]
+    assert stage(1, near) == sorted([(None, a), (7, b), (3, c), (3, d), (5, None), (5, "")], key=repr)
+    many = [(None if k % 2 else 9, f"{a} {k}", "a") for k in range(200)]
+    mixed = {t for _, t in stage(3, many)}
+    assert all(40 <= sum(f"{a} {k}" in mixed for k in range(z, 200, 2)) <= 85 for z in (0, 1))
+
+
+def test_pipeline_rejects_toxic_rows_alone(spark, sf, monkeypatch):
+    import corpus_pipeline as C
+
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(toxicity, "score", lambda docs, model: docs.select("doc_id", F.col("text").contains("vilk").cast("int").alias("predicted")))
+    rows = [(None, "clean"), (None, "vilk one"), (1, "clean too"), (1, "vilk two"), (2, "vilk three"), (3, None)]
+    out = C.reject_toxic(spark, spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], DOC), sf).collect()
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in out if r["text"]) == [("1", "clean too"), ("None", "clean")] and len(out) == 3
