@@ -101,3 +101,18 @@ def test_event_windows_count_every_event(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("ev").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_bullet_forms_of_patterns_principles_and_if_then(spark):
+    from loomstone.functions.dialect import SPARK
+    from loomstone.sources import markup
+
+    want = {
+        "principles": [("Measure first", ("Measure first", "", ""))],
+        "patterns": [("**Drift** — load rises", ("Drift", "load rises", "")), ("plain", ("plain", "", ""))],
+        "if_then_rules": [("IF a THEN b THEN c _(d)_", ("a", "b THEN c", "d")), ("if x then y", ("x", "y", ""))],
+    }
+    for section, cases in want.items():
+        spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, bullet string").createOrReplaceTempView("bullets_of_forms")
+        got = spark.sql(markup.parsed_bullet(SPARK, "bullets_of_forms", "k", section)).orderBy("k").collect()
+        assert [(r["part1"], r["part2"], r["part3"]) for r in got] == [w for _, w in cases]
