@@ -11,7 +11,7 @@ The test items are collected in parts of bounded size (`part_bytes`); each part
 the passes are merged per document. So the broadcast stays bounded however large the benchmark is.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no windows; items that repeat an
-item_id count once; repeated documents are matched each on its own; an empty benchmark or table gives zeros or no rows;
+item_id count once, and so do all items whose item_id is null (a null last in the lists, not in the digest); repeated documents are matched each on its own; an empty benchmark or table gives zeros or no rows;
 extra columns are ignored.
 """
 
@@ -39,6 +39,10 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return X.range_hashes(d, s, e), first
 
 
+def _sorted(ids: set[str | None]) -> list[str | None]:
+    return sorted(ids, key=lambda i: (i is None, i or ""))
+
+
 class Windows:
     """The windows of a part of the benchmark: `size` consecutive item words each, or all words of a shorter item."""
 
@@ -194,7 +198,7 @@ def match(index: DataFrame, windows, slop: int) -> DataFrame:
                 out = [[], [], [], []]
                 for i in range(n_docs):
                     x = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[i] : first[i + 1]].astype(np.int8), [0]]))) if exact_items[i] else np.zeros(0)
-                    for col, v in zip(out, (int(first[i + 1] - first[i]), x.astype("<u4").tobytes(), sorted(exact_items[i]), sorted(near_items[i])), strict=True):
+                    for col, v in zip(out, (int(first[i + 1] - first[i]), x.astype("<u4").tobytes(), _sorted(exact_items[i]), _sorted(near_items[i])), strict=True):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["block_id"]] * n_docs, pa.int64()), pa.array(range(n_docs), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.string()))],
@@ -217,8 +221,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append([a, z])
             spans.append([{"start": a, "end": z} for a, z in out])
             hits.append(sum(z - a for a, z in out))
-        names = [sorted(set().union(*x)) for x in b.column("items").to_pylist()]
-        near = [sorted(set().union(*x)) for x in b.column("near").to_pylist()]
+        names = [_sorted(set().union(*x)) for x in b.column("items").to_pylist()]
+        near = [_sorted(set().union(*x)) for x in b.column("near").to_pylist()]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("n_words"), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string())), pa.array(spans, kind)],
@@ -231,7 +235,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
     sorted; near ones include the exact), spans (start and end in words)."""
     spark = documents.sparkSession
     ship(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     passes = []

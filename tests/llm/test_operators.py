@@ -198,6 +198,16 @@ def test_decontamination(spark, small, sf, odd, empty):
     assert decontamination.report(decontamination.matches(odd, more.where("false"))).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta epsilon"), (7, "alpha beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma y delta epsilon"), (2, "delta epsilon"), (3, "zeta")], "doc_id long, text string")
+    for part in (1 << 20, 20):
+        got = decontamination.report(decontamination.matches(docs, items, part_bytes=part)).collect()
+        assert {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got} == {
+            1: (5, 2, decontamination.digest(["7"]), True), 2: (2, 1, decontamination.digest([]), True), 3: (0, 0, decontamination.digest([]), False),
+        }
+
+
 def test_proximity(spark):
     item = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
     docs = [(1, "x alpha beta gamma delta WORD epsilon zeta eta theta iota kappa y"), (2, "alpha beta gamma")]
