@@ -11,12 +11,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow batches go by bytes as well as by rows, so that long texts do not make a batch as large as they are many.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Most files (a path and a number each) whose numbers are broadcast; beyond it a table with keys is written.
+BROADCAST_FILES = 50_000
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable by the Python workers, wherever the driver found it. Once per context."""
     sc = spark.sparkContext
+    if not spark.conf.get(BATCH).rstrip("b").isdigit() or int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))  # what a task holds of its input on either side
     if getattr(sc, "_loomstone_shipped", False):
         return
     out = os.path.join(tempfile.mkdtemp(prefix="loomstone-"), "loomstone_pkg.zip")
@@ -47,10 +53,25 @@ def write_table(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """df with a row_key (long, unique), written as a table so that every later reading sees the same keys."""
+    """df with a row_key (long, unique), the same at every reading and on every executor.
+
+    Rows of a Parquet table have one already: their file and their place in it. Anything else is written as a table first."""
+    spark = df.sparkSession
+    if "row_key" not in df.columns and type_of(df) == "LogicalRelation":
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        names = sorted(r[0] for r in placed.select("_file").distinct().limit(BROADCAST_FILES + 1).collect())
+        if 0 < len(names) <= BROADCAST_FILES and not {"_file", "_row", "_nth"} & set(df.columns):
+            numbers = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "_file string, _nth long"))
+            return placed.join(numbers, "_file").select(*df.columns, F.shiftleft("_nth", 36).bitwiseOR(F.col("_row")).alias("row_key"))
     return write_table(df.withColumn("row_key", F.monotonically_increasing_id()))[0]
 
 
+def type_of(df: DataFrame) -> str:
+    """What df's analysed plan is at its top: LogicalRelation for a Parquet table as it was read."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() if plan.toString().strip().endswith("parquet") else ""
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that write_table() made and that nothing reads any more."""
     jvm = spark.sparkContext._jvm

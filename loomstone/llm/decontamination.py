@@ -7,8 +7,9 @@ window of test words from its rarest term over the whole corpus, shifts that ter
 intersects them with the next rarer terms' lists in turn; what is left are exact phrases. With a slop above 0 each term may
 lie so many words off its place relative to the rarest, which gives the proximity matches.
 
-The test items are collected in parts of bounded size (`part_bytes`); each part is one pass over the stored index, and
-the passes are merged per document. So the broadcast stays bounded however large the benchmark is.
+The test items are collected in parts of bounded size (`part_bytes`); each part has an index of its own terms, and the
+passes are merged per document. So the broadcast stays bounded however large the benchmark is. Words are compared by a 64-bit
+hash of their bytes. Index and broadcasts are deleted once the matches are written.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no windows; items that repeat an
 item_id count once, and so do all items whose item_id is null (a null last in the lists, not in the digest); repeated documents are matched each on its own; an empty benchmark or table gives zeros or no rows;
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import _text as X
-from loomstone.llm._runtime import ship, write_table
+from loomstone.llm._runtime import drop_table, ship, write_table
 
 BLOCK = 1 << 20
 INDEX_SCHEMA = "doc_ids array<long>, doc_first binary, terms binary, term_first binary, positions binary"
@@ -50,21 +51,19 @@ class Windows:
         h, first = _hashes(pa.array([t for _, t in items], pa.string()))
         self.vocabulary = np.unique(h)
         term = np.searchsorted(self.vocabulary, h)
-        starts, lens, item = [], [], []
-        for i in range(len(items)):
-            n = int(first[i + 1] - first[i])
-            for j in range(max(1, n - size + 1) if n else 0):
-                starts.append(int(first[i]) + j)
-                lens.append(min(n, size))
-                item.append(i)
+        words = np.diff(first)
+        many = np.where(words > 0, np.maximum(words - size + 1, 1), 0)
         self.ids = [x for x, _ in items]
-        self.item, self.length = np.array(item, np.int64), np.array(lens, np.int64)
-        width = int(self.length.max()) if len(lens) else 0
-        self.terms = np.full((len(lens), width), -1, np.int64)
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), many)
+        nth = np.arange(len(self.item)) - np.repeat(np.cumsum(many) - many, many)
+        start = first[:-1][self.item] + nth
+        self.length = np.minimum(words, size)[self.item].astype(np.int32)
+        width = int(self.length.max()) if len(start) else 0
+        self.terms = np.full((len(start), width), -1, np.int32)
         for j in range(width):
             on = self.length > j
-            self.terms[on, j] = term[np.array(starts, np.int64)[on] + j]
-        self.offsets = np.tile(np.arange(width), (len(lens), 1))
+            self.terms[on, j] = term[start[on] + j]
+        self.offsets = np.tile(np.arange(width, dtype=np.int32), (len(start), 1))
 
     def rarest_first(self, counts: np.ndarray) -> Windows:
         """Each window's terms in order of their totals over the corpus; places beyond a window's length last."""
@@ -130,7 +129,7 @@ def term_totals(index: DataFrame, n_terms: int) -> np.ndarray:
     return out
 
 
-def _block_matches(w: Windows, keys, terms, t_first, doc_first, slop: int, most: int = 1 << 21):
+def _block_matches(w: Windows, keys, terms, t_first, doc_first, slop: int, most: int = 1 << 18):
     """(window, start, exact) of the matches in a block. keys: term << 32 | position, sorted."""
     if not len(w.item) or not len(keys):
         return
@@ -153,7 +152,7 @@ def _block_matches(w: Windows, keys, terms, t_first, doc_first, slop: int, most:
             ok = (start + w.length[win] + slop > low) & (start - slop < high)
             win, start, low, high = win[ok], start[ok], low[ok], high[ok]
             for j in range(1, w.terms.shape[1]):
-                t = w.terms[win, j]
+                t = w.terms[win, j].astype(np.int64)
                 here = start + w.offsets[win, j]
                 a, z = np.maximum(here - slop, low), np.minimum(here + slop, high - 1)
                 i = np.searchsorted(keys, (t << 32) | np.maximum(a, 0))
@@ -164,7 +163,7 @@ def _block_matches(w: Windows, keys, terms, t_first, doc_first, slop: int, most:
                     break
             exact = (start >= low) & (start + w.length[win] <= high)
             for j in range(1, w.terms.shape[1]):
-                t = w.terms[win, j]
+                t = w.terms[win, j].astype(np.int64)
                 key = (t << 32) | np.maximum(start + w.offsets[win, j], 0)
                 i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 exact &= (t < 0) | (keys[i] == key)
@@ -230,7 +229,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 2, part_bytes: int = 32 << 20) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 2, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside exact matches), items and near_items (item_ids as strings,
     sorted; near ones include the exact), spans (start and end in words)."""
     spark = documents.sparkSession
@@ -238,13 +237,17 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    passes = []
+    passes, done, sent = [], [], []
     for p in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         w = Windows([(r[0], r[1]) for r in part.collect()], size)
-        index, _ = write_table(build_index(documents, spark.sparkContext.broadcast(w.vocabulary)))
+        vocabulary = spark.sparkContext.broadcast(w.vocabulary)
+        index, at = write_table(build_index(documents, vocabulary))
+        vocabulary.destroy()
         w.rarest_first(term_totals(index, len(w.vocabulary)))
         passes.append((index, spark.sparkContext.broadcast(w)))
+        done.append(at)
+        sent.append(passes[-1][1])
     found = [match(i, w, slop) for i, w in passes]
     if parts == 1:
         merged = found[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"), F.array("near").alias("near"))
@@ -254,7 +257,13 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
         for f in found[1:]:
             both = both.unionAll(f)
         merged = both.groupBy("block_id", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"), F.collect_list("near").alias("near")).drop("block_id", "row")
-    return merged.mapInArrow(X.tidy(_merge), "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<start:long,end:long>>")
+    # Written before the index goes: a row per document that is small beside its text.
+    out, _ = write_table(merged.mapInArrow(X.tidy(_merge), "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<start:long,end:long>>"))
+    for at in done:
+        drop_table(spark, at)
+    for b in sent:
+        b.destroy()
+    return out
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ corpus-wide frequency sketch, rarest first, ties by hash; any order common to al
 that share a prefix token are compared through that token's smallest class first, and what those links join already needs
 no further comparison: only pairs that are still in different components are enumerated. So a group of thousands of near
 copies gives a star of pairs, not all pairs, and the components are those of the full relation. Each pair passes the length,
-positional and suffix filters and is verified once against the whole sets.
+positional and suffix filters (the last by histograms over hash ranges) and is verified once against the whole sets of
+64-bit shingle hashes. Scratch tables and broadcasts are deleted before the result is returned.
 
 Defined results: a document without words or text (or null) has the empty set and links with nothing; ties and repeated
 rows share a class; an empty table gives an empty result; extra columns are ignored. Rows with a null doc_id are returned
@@ -19,6 +20,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ _PIECES = 256
 RANGES, CELL = 256, 1024
 #: Most ids (24 bytes each) of documents whose set is another's that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Most candidate documents that are looked for by a bitmap.
+MAP_IDS = 1 << 24
+#: A set with more than 1 / HOT_SHARE of all documents (and HOT_ROWS) is joined by broadcast: there are HOT_SHARE at most.
+HOT_SHARE, HOT_ROWS = 20_000, 1000
 
 
 def _sets(b: pa.RecordBatch, k: int, kind: str, pick=None) -> Iterator[tuple[int, np.ndarray]]:
@@ -49,10 +55,11 @@ def _sets(b: pa.RecordBatch, k: int, kind: str, pick=None) -> Iterator[tuple[int
 
 
 def frequency_sketch(docs: DataFrame, k: int, kind: str, bits: int) -> np.ndarray:
-    """Occurrences of shingles over the whole corpus by the top `bits` bits of their hash, saturating at 65535.
+    """Occurrences of shingles over the whole corpus by the top `bits` bits of their hash, on a scale of sixths of a power of two.
 
-    Its size is fixed by `bits` alone: tasks emit it in pieces, which are summed on the executors. It decides only the order
-    of tokens, never a result."""
+    Its size is fixed by `bits` alone: tasks emit it in pieces (65535 of a counter at most from a task), which are summed on the
+    executors without a bound. It decides only the order of tokens, never a result: a shingle far more frequent than the
+    average counter keeps its late place however large the corpus is."""
     size = 1 << bits
     piece = max(1, size // _PIECES)
 
@@ -76,15 +83,16 @@ def frequency_sketch(docs: DataFrame, k: int, kind: str, bits: int) -> np.ndarra
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, "<u2").astype(np.uint32)
-                sums[p] = np.minimum(sums[p] + x, 65535) if p in sums else x
+                x = np.frombuffer(raw, "<u2").astype(np.uint64)
+                sums[p] = sums[p] + x if p in sums else x
         for p, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.astype("<u2").tobytes()], pa.binary())], ["piece", "counts"])
+            scale = np.minimum(np.log2(x.astype(np.float64) + 1) * 6, 255).astype(np.uint8)  # 255 is above 2**42
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([scale.tobytes()], pa.binary())], ["piece", "counts"])
 
-    out = np.zeros(size, np.uint16)
+    out = np.zeros(size, np.uint8)
     parts = docs.select("text").mapInArrow(X.tidy(count), "piece int, counts binary").repartition("piece").mapInArrow(X.tidy(add), "piece int, counts binary")
-    for r in parts.collect():  # a table of fixed size: 2 bytes times 2**bits
-        out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], "<u2")
+    for r in parts.collect():  # a table of fixed size: 2**bits bytes
+        out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -133,31 +141,41 @@ def _prefix_rows(sketch, k: int, kind: str, num: int, den: int, bits: int):
     return run
 
 
-def _bitmap(ids: DataFrame, col: str, bits: int = 23) -> bytes:
-    """A bitmap of fixed size (1 MB) over hashed ids, made on the executors: which documents may be needed."""
+def _bitmap(ids: DataFrame, col: str, bits: int) -> bytes:
+    """A bitmap of 2**bits bits over hashed ids, made on the executors: which documents may be needed."""
     h = F.pmod(F.xxhash64(col), F.lit(1 << bits))
     parts = ids.groupBy(F.bitmap_bucket_number(h + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h + 1)).alias("m"))
     out = bytearray((1 << bits) // 8)
-    for r in parts.collect():  # at most 2**23 bits
+    for r in parts.collect():  # at most 2**bits bits
         at = (r["b"] - 1) * 4096
         out[at : at + 4096] = r["m"]
     return bytes(out)
 
 
-def _set_rows(docs: DataFrame, k: int, kind: str, bitmap) -> DataFrame:
-    """(doc_id, tokens) of the documents whose `pos` is set in the broadcast bitmap; the others' texts are not worked on."""
+def _set_rows(docs: DataFrame, k: int, kind: str, ids: DataFrame, n: int) -> tuple[DataFrame, Broadcast | None]:
+    """(doc_id, tokens) of the documents that may be among the n ids (column a), and the broadcast that this reads.
+
+    Up to MAP_IDS ids a bitmap of 16 bits an id (1 to 32 MB) says which texts to work on; beyond it the documents are
+    joined with the ids."""
+    spark = docs.sparkSession
+    bits = max(23, (16 * n - 1).bit_length())
+    sent = None if n > MAP_IDS else spark.sparkContext.broadcast(_bitmap(ids, "a", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = np.frombuffer(bitmap.value, np.uint8)
+        raw = None if sent is None else np.frombuffer(sent.value, np.uint8)
         for b in batches:
-            p = b.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-            b = b.filter(pa.array((raw[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+            if raw is not None:
+                p = b.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+                b = b.filter(pa.array((raw[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
             if not b.num_rows:
                 continue
             for part in batched(_sets(b, k, kind), 200):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([i for i, _ in part], pa.int64())), pa.array([u.tobytes() for _, u in part], pa.binary())], ["doc_id", "tokens"])
 
-    return docs.where("doc_id IS NOT NULL").withColumn("pos", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23))).mapInArrow(X.tidy(run), "doc_id long, tokens binary")
+    some = docs.where("doc_id IS NOT NULL")
+    if sent is None:
+        some = some.join(ids.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return some.withColumn("pos", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).mapInArrow(X.tidy(run), "doc_id long, tokens binary"), sent
 
 
 def _verify(num: int, den: int):
@@ -237,6 +255,17 @@ def _links(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(X.tidy(_verify(num, den)), "a long, b long")
 
 
+def _headed(rows: DataFrame, heads: DataFrame, hot: int) -> DataFrame:
+    """rows with what heads has of their set (d1, d2), null without a head. Sets of more than `hot` documents, few by that
+    bound, are joined by broadcast, so that no task has the copies of one set; only the other rows are shuffled."""
+    key = ["d1", "d2"]
+    more = [c for c in heads.columns if c not in (*key, "copies")]
+    large = heads.where(F.col("copies") > hot).drop("copies").withColumn("is_hot", F.lit(True))
+    met = rows.join(F.broadcast(large), key, "left")
+    cold = met.where("is_hot IS NULL").select(*rows.columns).join(heads.where(F.col("copies") <= hot).drop("copies"), key, "left")
+    return met.where("is_hot").select(*rows.columns, *more).unionByName(cold.select(*rows.columns, *more))
+
+
 def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind: str = "nonspace", sketch_bits: int = 20, stars: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id.
 
@@ -248,9 +277,12 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
     sketch = spark.sparkContext.broadcast(frequency_sketch(src, k, kind, sketch_bits))
     rows, rows_at = write_table(src.mapInArrow(X.tidy(_prefix_rows(sketch, k, kind, num, den, sketch_bits)), "doc_id long, n long, d1 long, d2 long, sig binary, prefix array<long>"))
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
-    heads = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Sets of one document need no head: it is its own.
+    heads, heads_at = write_table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    hot = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    headed = _headed(full.select("doc_id", "d1", "d2"), heads, hot)
     # One row per class, that of its smallest doc_id: the others are few as a rule, and go by their ids alone.
-    others = full.select("doc_id", "d1", "d2").join(heads, ["d1", "d2"]).where("doc_id != rep").select("doc_id", "d1", "d2").distinct()
+    others = headed.where("doc_id != rep").select("doc_id", "d1", "d2").distinct()
     others, others_at = write_table(others)
     if others.count() <= BROADCAST_IDS:
         others = F.broadcast(others)
@@ -279,7 +311,7 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
         p = p.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
         return p.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(X.tidy(_far(num, den)), "a long, b long")
 
-    comp = None
+    comp, tried, scratch = None, None, [posts_at, shared_at, others_at, heads_at, rows_at]
     for rnd in range(stars + 1):
         tagged = posts.withColumn("component", F.col("id")) if comp is None else posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if rnd < stars:
@@ -292,27 +324,38 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
             # Only tokens whose classes are in several components still.
             open_ = tagged.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
             p = tagged.join(open_, "token").join(sigs, "id")
-        pairs, pairs_at = write_table(fits(p) if rnd < stars else _cells(p, num, den))
-        if pairs.isEmpty():
+        p = (fits(p) if rnd < stars else _cells(p, num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        # What an earlier round verified is not verified again.
+        pairs, pairs_at = write_table(p if tried is None else p.join(tried, ["a", "b"], "left_anti"))
+        scratch.append(pairs_at)
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        ids = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a")))
+        n_ids = ids.agg(F.approx_count_distinct("a")).first()[0]
+        if not n_ids:
             continue
         # Only the documents of these pairs are read for their whole sets.
-        want = spark.sparkContext.broadcast(_bitmap(pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))), "a"))
-        tokens, tokens_at = write_table(_set_rows(src, k, kind, want))
-        found, _ = write_table(_links(pairs, tokens, num, den))
+        sets, sent = _set_rows(src, k, kind, ids, n_ids)
+        tokens, tokens_at = write_table(sets)
+        found, found_at = write_table(_links(pairs, tokens, num, den))
+        scratch.append(found_at)
         drop_table(spark, tokens_at)
-        drop_table(spark, pairs_at)
+        if sent is not None:
+            sent.destroy()
         if not found.isEmpty():
             known = found if comp is None else found.unionAll(comp.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-            comp = components(known)
-    for at in (posts_at, shared_at):
-        drop_table(spark, at)
-    drop_table(spark, others_at)
+            comp, comp_at = write_table(components(known))
+            scratch.append(comp_at)
     if comp is None:
         comp = spark.createDataFrame([], "id long, component long")
-    out = rows.join(heads, ["d1", "d2"], "left").join(comp, F.col("rep") == F.col("id"), "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    # A class of many copies takes its component from its head; only documents without copies are looked up one by one.
+    heads = heads.join(comp, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
+    headed = _headed(rows.select("doc_id", "n", "d1", "d2").where("n > 0 AND doc_id IS NOT NULL"), heads, hot)
+    named = headed.where("rep IS NOT NULL").select("doc_id", "n", F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
+    alone = headed.where("rep IS NULL").select("doc_id", "n").join(comp, F.col("doc_id") == F.col("id"), "left")
+    named = named.unionByName(alone.select("doc_id", "n", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id")))
+    rest = rows.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    out, _ = write_table(named.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id"))
+    for at in scratch:
+        drop_table(spark, at)
+    sketch.destroy()
+    return out
