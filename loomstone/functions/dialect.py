@@ -6,10 +6,13 @@ word boundary as `\\b` and with `(?i)` for case-insensitive matching; Spark gets
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 #: Java's \b takes accented letters as word characters, other engines' does not: both sides spelt out.
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: Around words that begin and end in ASCII word characters the boundary is one look to either side.
+_WHOLE, _OPEN, _CLOSE = re.compile(r"\\b\(\?:([^()\[\]\\?*+]*)\)\\b"), "(?<![A-Za-z0-9_])(?:", ")(?![A-Za-z0-9_])"
 
 
 class Dialect:
@@ -26,6 +29,10 @@ class Dialect:
         """An array literal of strings."""
         raise NotImplementedError
 
+    def let(self, value: str, f: Callable[[str], str], v: str = "v") -> str:
+        """f over a name for value, which is then evaluated once however often f mentions it."""
+        return self.at(self.each(self.array(value), f, v), 1)
+
 
 class Spark(Dialect):
     name = "spark"
@@ -34,6 +41,7 @@ class Spark(Dialect):
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
     def pat(self, p):
+        p = _WHOLE.sub(lambda m: _OPEN + m[1] + _CLOSE if all(re.fullmatch("[A-Za-z0-9_](?:.*[A-Za-z0-9_])?", w) for w in m[1].split("|")) else m[0], p)
         return self.lit(p.replace(r"\b", _EDGE).replace("(?i)", "(?iu)").replace("(?im)", "(?ium)").replace("(?is)", "(?ius)"))
 
     def has(self, x, p):
@@ -91,6 +99,10 @@ class Spark(Dialect):
     def take(self, a, n):
         return f"slice({a}, 1, {n})"
 
+    def top(self, a):
+        """(largest item, its first 1-based place)"""
+        return f"array_max({a})", f"array_position({a}, array_max({a}))"
+
     def distinct(self, a):
         return f"array_distinct({a})"
 
@@ -203,8 +215,6 @@ class Duck(Dialect):
         return f"regexp_extract({x}, {self.pat(p)}, {group})"
 
     def sub(self, x, p, to=""):
-        import re
-
         return f"regexp_replace({x}, {self.pat(p)}, {self.lit(re.sub(r'[$](\d)', r'\\\1', to))}, 'g')"
 
     def split(self, x, p):
@@ -247,6 +257,9 @@ class Duck(Dialect):
     def take(self, a, n):
         return f"({a})[1:{n}]"
 
+    def top(self, a):
+        return f"list_max({a})", f"list_position({a}, list_max({a}))"
+
     def distinct(self, a):
         return f"list_distinct({a})"
 

@@ -71,20 +71,30 @@ def english_hits(d: Dialect, x: str) -> str:
 
 def profile_language(d: Dialect, x: str) -> str:
     """The language with most function words in x, null below 30 characters or without any; ties by code. Stands in for an n-gram detector."""
-    scores = {k: d.count(f"lower({x})", any_word(v)) for k, v in sorted(P.PROFILE_WORDS.items())}
-    best = f"greatest({', '.join(scores.values())})"
-    cases = " ".join(f"WHEN {v} = {best} THEN '{k}'" for k, v in scores.items())
-    return f"CASE WHEN length({x}) < 30 OR {best} = 0 THEN NULL {cases} END"
+    langs = sorted(P.PROFILE_WORDS)
+    every = any_word(sorted({w for words in P.PROFILE_WORDS.values() for w in words})).removeprefix("(?i)")
+    # One pass finds the words of all languages; how many are whose is counted among them.
+    own = lambda k: lambda hits: d.size(d.keep(hits, lambda h: d.has_item(d.words(P.PROFILE_WORDS[k]), h), "h"))
+    scores = d.let(d.all(f"lower({x})", every), lambda hits: d.array(*(own(k)(hits) for k in langs)), "hits")
+
+    def best(sc):
+        most, place = d.top(sc)
+        return f"CASE WHEN {most} > 0 THEN {d.at(d.words(langs), place)} END"
+
+    return f"CASE WHEN length({x}) >= 30 THEN {d.let(scores, best, 'sc')} END"
 
 
 def wrong_language(d: Dialect, x: str, lang: str) -> str:
     """Whether a short text shows the other language's signals only. lang: SQL text, English and Portuguese packages."""
-    t = trim(d, x)
     en, pt = f"(lower({lang}) = 'en' OR lower({lang}) LIKE 'en-%')", f"(lower({lang}) IN ('pt', 'por') OR lower({lang}) LIKE 'pt-%')"
-    return (
-        f"CASE WHEN {lang} IS NULL OR length({t}) < 12 THEN false"
-        f" WHEN {en} THEN {d.has(t, P.PT_ACCENT)} OR ({portuguese_signals(d, t)} AND NOT {english_signals(d, t)})"
-        f" WHEN {pt} THEN {english_signals(d, t)} AND NOT {portuguese_signals(d, t)} ELSE false END"
+    return d.let(
+        trim(d, x),
+        lambda t: (
+            f"CASE WHEN {lang} IS NULL OR length({t}) < 12 THEN false"
+            f" WHEN {en} THEN {d.has(t, P.PT_ACCENT)} OR ({portuguese_signals(d, t)} AND NOT {english_signals(d, t)})"
+            f" WHEN {pt} THEN {english_signals(d, t)} AND NOT {portuguese_signals(d, t)} ELSE false END"
+        ),
+        "lang_t",
     )
 
 
@@ -94,21 +104,27 @@ def last_word(d: Dialect, t: str) -> str:
 
 def complete(d: Dialect, x: str) -> str:
     """Whether x reads as a whole proposition."""
-    t = trim(d, x)
-    return (
-        f"(length({t}) >= 20 AND {d.has(t, P.OPENING)} AND {d.has(t, P.TERMINAL)} AND {d.size(d.split(t, r'\s+'))} >= 4"
-        f" AND NOT {d.has_item(d.words(P.DANGLING_WORDS), last_word(d, t))}"
-        f" AND {d.real('length(' + d.sub(t, r'[^\p{L}]') + ')')} / length({t}) >= 0.6)"
+    return d.let(
+        trim(d, x),
+        lambda t: (
+            f"(length({t}) >= 20 AND {d.has(t, P.OPENING)} AND {d.has(t, P.TERMINAL)} AND {d.size(d.split(t, r'\s+'))} >= 4"
+            f" AND NOT {d.has_item(d.words(P.DANGLING_WORDS), last_word(d, t))}"
+            f" AND {d.real('length(' + d.sub(t, r'[^\p{L}]') + ')')} / length({t}) >= 0.6)"
+        ),
+        "whole_t",
     )
 
 
 def truncated(d: Dialect, x: str) -> str:
     """Whether x looks cut off."""
-    t = trim(d, x)
-    return (
-        f"(length({t}) < 12 OR {d.has(t, P.TRAILING_ABBREVIATION)} OR {d.has(t, P.TRAILING_MARK)}"
-        f" OR (NOT {d.has(t, P.TERMINAL)} AND {d.size(d.split(t, r'\s+'))} > 3)"
-        f" OR {d.has_item(d.words(P.DANGLING_WORDS), last_word(d, t))})"
+    return d.let(
+        trim(d, x),
+        lambda t: (
+            f"(length({t}) < 12 OR {d.has(t, P.TRAILING_ABBREVIATION)} OR {d.has(t, P.TRAILING_MARK)}"
+            f" OR (NOT {d.has(t, P.TERMINAL)} AND {d.size(d.split(t, r'\s+'))} > 3)"
+            f" OR {d.has_item(d.words(P.DANGLING_WORDS), last_word(d, t))})"
+        ),
+        "cut_t",
     )
 
 
@@ -119,11 +135,14 @@ def sentences(d: Dialect, x: str, mark: str = "\x1f") -> str:
 
 def reject_reason(d: Dialect, x: str, role: str, lang: str) -> str:
     """Why the sanitizer rejects a field's text in a role, or null."""
-    t = trim(d, x)
-    consistent = f"({lang} IS NULL OR length({t}) < 50 OR coalesce({profile_language(d, t)}, lower({lang})) = lower({lang}))"
-    return (
-        f"CASE WHEN {t} = '' THEN NULL"
-        f" WHEN {wrong_language(d, t, lang)} OR NOT {consistent} THEN 'language_mismatch'"
-        f" WHEN {role} IN ('label', 'name', 'title', 'tag') THEN CASE WHEN {d.has(t, P.TRAILING_MARK_LABEL)} OR {d.has(t, P.TRAILING_ABBREVIATION)} THEN 'truncated' END"
-        f" WHEN {role} = 'substantive' THEN CASE WHEN {truncated(d, t)} THEN 'truncated' WHEN length({t}) > 20 AND NOT {complete(d, t)} THEN 'incomplete_proposition' END END"
-    )
+
+    def reason(t):
+        consistent = f"({lang} IS NULL OR length({t}) < 50 OR coalesce({profile_language(d, t)}, lower({lang})) = lower({lang}))"
+        return (
+            f"CASE WHEN {t} = '' THEN NULL"
+            f" WHEN {wrong_language(d, t, lang)} OR NOT {consistent} THEN 'language_mismatch'"
+            f" WHEN {role} IN ('label', 'name', 'title', 'tag') THEN CASE WHEN {d.has(t, P.TRAILING_MARK_LABEL)} OR {d.has(t, P.TRAILING_ABBREVIATION)} THEN 'truncated' END"
+            f" WHEN {role} = 'substantive' THEN CASE WHEN {truncated(d, t)} THEN 'truncated' WHEN length({t}) > 20 AND NOT {complete(d, t)} THEN 'incomplete_proposition' END END"
+        )
+
+    return d.let(trim(d, x), reason, "field_t")

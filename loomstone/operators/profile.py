@@ -15,10 +15,13 @@ def blocked(d: Dialect, x: str) -> str:
 
 def language(d: Dialect, sample: str, pt: str, en: str) -> str:
     """pt-BR, en, es or unknown. sample: the first 4,000 characters; pt, en: hit counts over it."""
-    own = T.profile_language(d, sample)
-    return (
-        f"CASE WHEN {pt} >= 3 AND {pt} > {en} THEN 'pt-BR' WHEN {own} = 'pt' THEN 'pt-BR' WHEN {own} IN ('en', 'es') THEN {own}"
-        f" WHEN {pt} > {en} AND {pt} >= 1 THEN 'pt-BR' WHEN {en} > 0 THEN 'en' ELSE 'unknown' END"
+    return d.let(
+        T.profile_language(d, sample),
+        lambda own: (
+            f"CASE WHEN {pt} >= 3 AND {pt} > {en} THEN 'pt-BR' WHEN {own} = 'pt' THEN 'pt-BR' WHEN {own} IN ('en', 'es') THEN {own}"
+            f" WHEN {pt} > {en} AND {pt} >= 1 THEN 'pt-BR' WHEN {en} > 0 THEN 'en' ELSE 'unknown' END"
+        ),
+        "own",
     )
 
 
@@ -29,15 +32,15 @@ def profile(d: Dialect, rel: str, key: str = "doc_id", x: str = "text", filename
     stem = d.sub(filename, r"\.[^.]+\z")
     return f"""
     SELECT key AS {key}, chars AS source_char_count, words AS source_word_count, blocked,
-        CASE WHEN blocked THEN 'unknown' ELSE {language(d, 'sample', 'pt', 'en')} END AS detected_language,
+        CASE WHEN blocked THEN 'unknown' ELSE found_language END AS detected_language,
         CASE WHEN blocked THEN 0 ELSE greatest(1, cast(ceil(chars / {d.real(str(P.CHUNK_CHARS))}) AS int)) END AS estimated_chunks,
         NOT blocked AND words >= 20 AS extraction_looks_valid,
         CASE WHEN blocked THEN 1 ELSE CASE WHEN words < 50 THEN 1 ELSE 0 END + CASE WHEN words < 200 AND hash_name THEN 1 ELSE 0 END
-            + CASE WHEN words > 100 AND {language(d, 'sample', 'pt', 'en')} = 'unknown' THEN 1 ELSE 0 END END AS n_warnings
-    FROM (SELECT *, {T.portuguese_hits(d, 'sample')} AS pt, {T.english_hits(d, 'sample')} AS en
+            + CASE WHEN words > 100 AND found_language = 'unknown' THEN 1 ELSE 0 END END AS n_warnings
+    FROM (SELECT *, {language(d, 'sample', 'pt', 'en')} AS found_language FROM (SELECT *, {T.portuguese_hits(d, 'sample')} AS pt, {T.english_hits(d, 'sample')} AS en
           FROM (SELECT {key} AS key, coalesce(length({x}), 0) AS chars, {T.word_count(d, f"coalesce({x}, '')")} AS words,
                 {blocked(d, f"coalesce({x}, '')")} AS blocked, coalesce(substr({x}, 1, 4000), '') AS sample,
-                coalesce({d.has(stem, P.HASH_ONLY)}, false) AS hash_name FROM {rel}) p) q"""
+                coalesce({d.has(stem, P.HASH_ONLY)}, false) AS hash_name FROM {rel}) p) q) r"""
 
 
 def language_hits(d: Dialect, rel: str, key: str = "doc_id", x: str = "text", more: str = "") -> str:
