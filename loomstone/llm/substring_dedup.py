@@ -2,14 +2,15 @@
 
 A position is a cut where the top bits of the gear hash of the last 32 bytes are zero and no other such position lies in
 the `min_chunk` bytes before it; a longer gap is cut every `max_chunk` bytes. Both rules look at nearby bytes only, so cuts
-move along with text that is inserted before them. A chunk is repeated when its digest occurs in two rows or more
+move along with text that is inserted before them; a cut within a character moves to its end. A chunk is repeated when its digest occurs in two rows or more
 (or anywhere twice, with across_documents=False); runs of adjacent repeated chunks of `min_run` bytes or more count.
 
 A document is a row, whatever its doc_id: rows are told apart by `row_key`, a column of _runtime.keyed() tables, or else a number
 that spans() gives and stores with the chunks.
 
 Defined results: a null or empty text has no chunks; equal rows repeat each other; an empty table gives an empty result;
-extra columns are ignored by spans() and kept by remove(). A null doc_id takes part under null and sorts first.
+extra columns are ignored by spans() and kept by remove(). A null doc_id takes part under null and sorts first. Very long texts
+are chunked whole, one at a time where they exceed a slice of 1 MB.
 """
 
 from __future__ import annotations
@@ -59,7 +60,13 @@ def cuts(data: np.ndarray, offsets: np.ndarray, bits: int, min_chunk: int, max_c
         base = np.repeat(ends - gaps, more)
         step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
         ends = np.sort(np.concatenate([ends, base + step * max_chunk]))
-    return ends
+    # A cut inside a character moves to its end: again a local rule, and no text is ever cut within a character.
+    for _ in range(3):
+        inside = (ends < n) & ((data[np.minimum(ends, n - 1)] & 0xC0) == 0x80)
+        if not inside.any():
+            break
+        ends = ends + inside
+    return np.unique(ends)
 
 
 def _chunk_batches(bits: int, min_chunk: int, max_chunk: int):
@@ -152,7 +159,7 @@ def remove(documents: DataFrame, found: DataFrame) -> DataFrame:
             for x in s:
                 kept.append(raw[at : x["start"]])
                 at = x["end"]
-            out.append((b"".join(kept) + raw[at:]).decode("utf-8", "ignore"))
+            out.append((b"".join(kept) + raw[at:]).decode())
         return pd.Series(out, dtype=object)
 
     return documents.join(cut, key, "left").withColumn("text", without("text", "_cuts")).select(*documents.columns)
