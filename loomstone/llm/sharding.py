@@ -4,7 +4,9 @@ Each (key, shard) pair has a hash-seeded uniform u; the shard with the largest w
 shard therefore only takes records into itself, and each shard's share follows its weight.
 
 Defined results: a null doc_id is a key of its own; a null text has size 1 and checksum 0; repeated rows get slots of their
-own; ties in a shard's order fall back to checksum and size; an empty table gives an empty result; extra columns are kept.
+own, and are numbered in buckets by their place in the table, so that no task has all rows of one key; an empty table gives an
+empty result; very long texts are only measured and summed; extra columns are kept by assign(), whose `shard` replaces a column
+of that name, and left out of manifest().
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.llm._runtime import keyed
+
 
 def uniform(*parts: Column) -> Column:
     """A uniform double in (0, 1) from the md5 of the parts; null parts count as text of their own. 52 bits, never 0 or 1."""
@@ -21,12 +25,16 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def rendezvous(key: Column, weights: Sequence[float], salt: str = "shard") -> Column:
-    """The number of the shard that takes a key, for shards 0, 1, ... of the given weights above 0."""
+def scores(key: Column, weights: Sequence[float], salt: str = "shard") -> Column:
+    """An array of (score, shard) of a key, for shards 0, 1, ... of the given weights above 0."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be above 0, one at least")
-    scores = [F.struct((F.lit(float(w)) / -F.log(uniform(F.lit(salt), key, F.lit(i)))).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)]
-    return F.array_max(F.array(*scores))["i"]
+    return F.array(*[F.struct((F.lit(float(w)) / -F.log(uniform(F.lit(salt), key, F.lit(i)))).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)])
+
+
+def rendezvous(key: Column, weights: Sequence[float], salt: str = "shard") -> Column:
+    """The number of the shard that takes a key."""
+    return F.array_max(scores(key, weights, salt))["i"]
 
 
 def with_slots(df: DataFrame, shard: str, order: Sequence[str], bucket_key: Column, rows_per_bucket: int = 100_000) -> DataFrame:
@@ -50,13 +58,16 @@ def assign(documents: DataFrame, weights: Sequence[float], salt: str = "shard")
 def manifest(documents: DataFrame, shards: int = 16, salt: str = "shard") -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot, grown_shard (with one shard more)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(
+    rows = keyed(documents).select(
         F.col("doc_id"),
+        F.col("row_key"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(F.col("doc_id"), [1.0] * shards, salt).cast("int").alias("shard"),
-        rendezvous(F.col("doc_id"), [1.0] * (shards + 1), salt).cast("int").alias("grown_shard"),
+        scores(F.col("doc_id"), [1.0] * (shards + 1), salt).alias("scores"),
     )
-    out = with_slots(rows, "shard", ["doc_id", "text_crc32", "size"], F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
+    # One set of scores answers for both numbers of shards: the new shard only adds its own.
+    best = lambda a: F.array_max(a)["i"].cast("int")
+    rows = rows.withColumn("shard", best(F.slice("scores", 1, shards))).withColumn("grown_shard", best(F.col("scores"))).drop("scores")
+    out = with_slots(rows, "shard", ["doc_id", "text_crc32", "size", "row_key"], F.xxhash64("row_key"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
