@@ -128,9 +128,10 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if e.is_valid and len(e) and e.values.null_count == 0:
                 v = e.values.to_numpy(zero_copy_only=False)
                 y = v.astype(np.float64)
-                n = np.sqrt((y * y).sum())
-                if np.isfinite(n) and n > 0:
-                    x = y / n
+                most = np.abs(y).max()
+                if np.isfinite(most) and most > 0:  # by the largest component first: squares neither overflow nor vanish
+                    y = y / most if most > 1e-300 else y * 1e300 / (most * 1e300)
+                    x = y / np.sqrt((y * y).sum())
             ids.append(vid)
             dims.append(0 if x is None else len(x))
             keys.append(None if x is None else xxhash.xxh3_128_digest(np.ascontiguousarray(v)))
