@@ -9,7 +9,8 @@ Sample bounds: `per_language` rows a language (whole texts, chosen by a hash of
 (text, lang) of rows outside the held-out part are learned from; a prediction sees nothing but the text.
 
 Defined results: a null text or one without a letter is `und` with score 0, as is every text when nothing can be learned;
-repeated rows are predicted alike; a row with a null doc_id is not held out and not learned from; extra columns are ignored.
+of languages that score alike the first by name is predicted; repeated rows are predicted alike; very long texts are read whole,
+one at a time; an empty table gives an empty result; a row with a null doc_id is not held out and not learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from loomstone.llm import _text as X
 from loomstone.llm._runtime import ship
 
 ORDERS = 3
-SLICE = 1 << 19
+#: A slice is bounded by the bytes of its texts and, as each becomes a row of `dims` places, by their number.
+SLICE, ROWS = 1 << 19, 256
 _SALT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -129,7 +131,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             _, offs = X.buffers(b.column("text"))
-            for lo, hi in X.slices(offs, SLICE):
+            for lo, hi in X.slices(offs, SLICE, ROWS):
                 part = b.slice(lo, hi - lo)
                 ok = part.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
                 names, scores = np.full(len(ok), "und", object), np.zeros(len(ok))
