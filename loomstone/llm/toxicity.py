@@ -1,17 +1,20 @@
 """Operator 6, toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A word's inputs come from two hashed tables: its own class log-odds, and the log-odds of its character 4-grams (largest and
-mean), and how often the word was seen; the tables and the network are fitted on a bounded sample of labelled documents, in
-numpy, on the driver. The network reads windows of `WINDOW` words, `STRIDE` apart so that they overlap and cover every
-word of a text; a document's score is the calibrated score of its highest window.
+A word's inputs are a learned embedding of the word, the mean of learned embeddings of its character 4-grams (both hashed), and
+its evidence: class log-odds of the word and of its 4-grams (largest and mean) from hashed tables, and how often it was seen.
+Network and embeddings are trained together, tables are counted, on a bounded sample of labelled documents, in numpy, on the
+driver. The network reads windows of `WINDOW` words, `STRIDE` apart so that they overlap and cover every word of a text; a
+document's score is the calibrated score of its highest window.
 
 Sample bounds: `most_toxic` and `most_clean` labelled documents (chosen by a hash of doc_id, whole texts of at most
 `sample_bytes` bytes). Held-out rows are never learned from. Out-of-fold tables feed the network in training, so that it
-learns how far to trust a word that the tables know from other documents.
+learns how far to trust a word that the tables know from other documents; one fold is kept from the network, which is
+calibrated on it.
 
 Defined results: a null or empty text, or one without words, has the score of a text without any evidence; repeated rows
-score alike; a null doc_id is scored, not held out and not learned from; with no labels of both kinds every score is the
-share of toxic labels (0 without labels); extra columns are ignored.
+score alike; very long texts are scored whole, one at a time; a null doc_id is scored, not held out and not learned from; with no
+labels of both kinds every score is the share of toxic labels (0 without labels); an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from loomstone.llm import _text as X
 from loomstone.llm._runtime import ship
 from loomstone.llm.language_id import held_out
 
-WINDOW, STRIDE, HIDDEN, FOLDS = 24, 16, 4, 4
-WORD_BITS, GRAM_BITS, INPUTS = 18, 17, 4
+WINDOW, STRIDE, HIDDEN, FOLDS = 24, 16, 8, 5
+#: Places of the evidence tables and of the embeddings, numbers of evidence and of each embedding.
+WORD_BITS, GRAM_BITS, SLOT_BITS, EVIDENCE, DIM = 18, 17, 14, 4, 8
+INPUTS = EVIDENCE + 2 * DIM
 PRIOR = 3.0
 SLICE = 1 << 19
 _TABLE = X.word_bytes("alnum")
@@ -48,6 +53,7 @@ class Words:
         self.starts, self.ends, self.first = X.words(low, offs, _TABLE)
         h = X.range_hashes(low, self.starts, self.ends, lower=False)
         self.place = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        self.slot = (h & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
         m = _TABLE[low]
         whole = m[:-3] & m[1:-2] & m[2:-1] & m[3:]
         b = low.astype(np.uint32)
@@ -61,15 +67,22 @@ class Words:
         self.gram = gram[self.gram_at]
         self.gram_first = np.searchsorted(self.gram_at, self.starts)
 
-    def inputs(self, t: Tables, fold: np.ndarray | None = None) -> np.ndarray:
-        """The inputs of every word; fold: per word, which of the stacked tables to use."""
+    def grams(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gram slots, first of each) of the words at the given places."""
+        ends = np.append(self.gram_first[1:], len(self.gram))
+        n = (ends - self.gram_first)[at]
+        first = np.cumsum(n) - n
+        return self.gram[np.repeat(self.gram_first[at] - first, n) + np.arange(n.sum())] & ((1 << SLOT_BITS) - 1), first
+
+    def evidence(self, t: Tables, fold: np.ndarray | None = None) -> np.ndarray:
+        """The evidence of every word; fold: per word, which of the stacked tables to use."""
         if not len(self.starts):
-            return np.zeros((0, INPUTS), np.float32)
+            return np.zeros((0, EVIDENCE), np.float32)
         word = self.place if fold is None else self.place + (fold << WORD_BITS)
         n = np.diff(np.append(self.gram_first, len(self.gram)))
         gram = self.gram if fold is None else self.gram + np.repeat(fold << GRAM_BITS, n)
         v = t.gram[gram]
-        out = np.empty((len(self.starts), INPUTS), np.float32)
+        out = np.empty((len(self.starts), EVIDENCE), np.float32)
         out[:, 0] = t.word[word]
         out[:, 1] = np.maximum.reduceat(v, self.gram_first)
         out[:, 2] = np.add.reduceat(v, self.gram_first) / n
@@ -118,9 +131,18 @@ class Network:
         self.p = {}
         for s in "fb":
             self.p |= {f"W{s}": r.normal(0, 0.4, (d, 3 * h)), f"U{s}": r.normal(0, 0.4, (h, 3 * h)), f"c{s}": np.zeros(3 * h)}
+        # Embeddings begin at zero, so that a word which training never met adds nothing.
+        self.e = {k: np.zeros((1 << SLOT_BITS, DIM), np.float32) for k in ("word", "gram")}
         self.p |= {"A": r.normal(0, 0.4, (2 * h, h)), "a": np.zeros(h), "v": r.normal(0, 0.4, h), "o": r.normal(0, 0.4, 2 * h), "k": np.zeros(1)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
+    def embed(self, evidence: np.ndarray, slot: np.ndarray, gram: np.ndarray, gram_first: np.ndarray) -> np.ndarray:
+        """The inputs of words: evidence, the word's embedding, and the mean of its grams' embeddings."""
+        if not len(slot):
+            return np.zeros((0, INPUTS), np.float32)
+        n = np.diff(np.append(gram_first, len(gram)))[:, None]
+        return np.concatenate([evidence, self.e["word"][slot], np.add.reduceat(self.e["gram"][gram], gram_first) / n], axis=1, dtype=np.float32)
+
     def _run(self, side: str, proj: np.ndarray, at: np.ndarray, on: np.ndarray, keep: bool):
         """States (T, N, h) of one direction. proj: input projections of all words; at: (T, N) word places; on: which are in the window."""
         h, u_ = HIDDEN, self.p["U" + side]
@@ -169,6 +191,7 @@ class Network:
         g["A"] = both.reshape(-1, 2 * h).T @ dact.reshape(-1, h)
         g["a"] = dact.sum((0, 1))
         dboth = alpha[:, :, None] * dp + dact @ p["A"].T
+        din = np.zeros(inputs.shape, np.float32)
         for s, part in (("f", dboth[:, :, :h]), ("b", dboth[:, :, h:])):
             dw, du, dc = np.zeros_like(p["W" + s]), np.zeros_like(p["U" + s]), np.zeros_like(p["c" + s])
             dstate = np.zeros((len(y), h), np.float32)
@@ -183,26 +206,83 @@ class Network:
                 dx = np.concatenate([dres, dupd, dcand], axis=1)
                 dq = np.concatenate([dres, dupd, dcand * gate[:, :h]], axis=1)
                 dw += inputs[at[t]].T @ dx
+                din[at[t]] += dx @ p["W" + s].T  # each window has rows of its own; outside it dx is zero
                 du += prev.T @ dq
                 dc += dx.sum(0)
                 dstate = np.where(m, dnew * upd, dstate) + dq @ p["U" + s].T
             g["W" + s], g["U" + s], g["c" + s] = dw, du, dc
-        return g
-
-    def fit(self, inputs, start, length, y, epochs: int = 4, batch: int = 256, rate: float = 0.02, seed: int = 5):
-        """Adam; few examples are gone over until 150 steps are made."""
+        return g | {"inputs": din}
+
+    def loss(self, examples: Examples, y: np.ndarray, batch: int = 1024) -> float:
+        """Mean logistic loss, both classes weighed alike."""
+        w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+        total = 0.0
+        for lo in range(0, len(y), batch):
+            i = np.arange(lo, min(lo + batch, len(y)))
+            evidence, slot, gram, first, length = examples.take(i)
+            z = self.forward(self.embed(evidence, slot, gram, first), np.arange(len(i)) * WINDOW, length)[0]
+            total += float((w[i] * np.logaddexp(0, np.where(y[i] == 1, -z, z))).sum())
+        return total
+
+    def fit(self, examples: Examples, y: np.ndarray, other: Examples, other_y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.01, slow: float = 0.3, patience: int = 4, seed: int = 5):
+        """Adam until the loss on other examples has not fallen for `patience` epochs of 30 steps or all examples at least; the
+        best state stays. Embeddings learn at `slow` times the rate."""
         r = np.random.default_rng(seed)
-        epochs = max(epochs, -(-150 * batch // len(y)))
-        mean, var, n = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
+        learned = self.p | self.e
+        mean, var, n = {k: np.zeros_like(v) for k, v in learned.items()}, {k: np.zeros_like(v) for k, v in learned.items()}, 0
+        best, kept, since = self.loss(other, other_y), {k: v.copy() for k, v in learned.items()}, 0
         for _ in range(epochs):
-            order = r.permutation(len(y))
-            for lo in range(0, len(y), batch):
+            order = np.concatenate([r.permutation(len(y)) for _ in range(max(1, 30 * batch // len(y)))])
+            for lo in range(0, len(order), batch):
                 i = order[lo : lo + batch]
                 n += 1
-                for k, x in self.gradients(inputs, start[i], length[i], y[i]).items():
-                    mean[k] = 0.9 * mean[k] + 0.1 * x
-                    var[k] = 0.999 * var[k] + 0.001 * x * x
-                    self.p[k] -= (rate * (mean[k] / (1 - 0.9**n)) / (np.sqrt(var[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
+                evidence, slot, gram, first, length = examples.take(i)
+                got = self.gradients(self.embed(evidence, slot, gram, first), np.arange(len(i)) * WINDOW, length, y[i])
+                din, many = got.pop("inputs"), np.diff(np.append(first, len(gram)))
+                got["word"], got["gram"] = np.zeros_like(self.e["word"]), np.zeros_like(self.e["gram"])
+                np.add.at(got["word"], slot, din[:, EVIDENCE : EVIDENCE + DIM])
+                np.add.at(got["gram"], gram, np.repeat(din[:, EVIDENCE + DIM :] / many[:, None], many, axis=0))
+                for k, x in got.items():
+                    mean[k] += 0.1 * (x - mean[k])
+                    var[k] += 0.001 * (x * x - var[k])
+                    by = rate * slow if k in self.e else rate
+                    learned[k] -= (by * (mean[k] / (1 - 0.9**n)) / (np.sqrt(var[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
+            now, since = self.loss(other, other_y), since + 1
+            if now < best:
+                best, kept, since = now, {k: v.copy() for k, v in learned.items()}, 0
+            if since >= patience:
+                break
+        for k, v in kept.items():
+            learned[k][...] = v
+
+
+class Examples:
+    """Windows to train on: per window WINDOW words (the last one repeated past its end) with evidence, slots and gram slots."""
+
+    def __init__(self):
+        self.evidence, self.slot, self.gram, self.many, self.length = [], [], [], [], []
+
+    def add(self, w: Words, evidence: np.ndarray, start: np.ndarray, length: np.ndarray):
+        at = (start[:, None] + np.minimum(np.arange(WINDOW), length[:, None] - 1)).ravel()
+        gram, first = w.grams(at)
+        self.evidence.append(evidence[at].reshape(-1, WINDOW, EVIDENCE))
+        self.slot.append(w.slot[at].reshape(-1, WINDOW).astype(np.int32))
+        self.many.append(np.diff(np.append(first, len(gram))).reshape(-1, WINDOW).astype(np.int32))
+        self.gram.append(gram.astype(np.int32))
+        self.length.append(length)
+
+    def close(self) -> Examples:
+        for k in ("evidence", "slot", "gram", "many", "length"):
+            setattr(self, k, np.concatenate(getattr(self, k)))
+        n = self.many.sum(1, dtype=np.int64)
+        self.first = np.cumsum(n) - n
+        return self
+
+    def take(self, i: np.ndarray):
+        n = self.many[i].sum(1, dtype=np.int64)
+        gram = self.gram[np.repeat(self.first[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        many = self.many[i].ravel()
+        return self.evidence[i].reshape(-1, EVIDENCE), self.slot[i].ravel(), gram, np.cumsum(many) - many, self.length[i]
 
 
 class Model:
@@ -215,13 +295,14 @@ class Model:
         z = np.full(len(offsets) - 1, -np.inf)
         if self.network is not None:
             w = Words(data, offsets)
-            highest(self.network, w, w.inputs(self.tables), z)
+            highest(self.network, w, w.evidence(self.tables), z)
         return np.where(np.isfinite(z), _sigmoid(self.slope * np.where(np.isfinite(z), z, 0) + self.level), self.nothing)
 
 
-def highest(network: Network, w: Words, inputs: np.ndarray, z: np.ndarray) -> np.ndarray:
+def highest(network: Network, w: Words, evidence: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Put each document's highest window score into z; returns all windows' scores."""
     start, length, doc = windows(w.first)
+    inputs = network.embed(evidence, w.slot, w.gram & ((1 << SLOT_BITS) - 1), w.gram_first)
     if not len(start):
         return np.zeros(0)
     got = np.concatenate([network.forward(inputs, start[i : i + 8192], length[i : i + 8192])[0] for i in range(0, len(start), 8192)])
@@ -229,8 +310,9 @@ def highest(network: Network, w: Words, inputs: np.ndarray, z: np.ndarray) -> np
     return got
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Model:
-    """Fit on texts with 0/1 labels (folds go by place); share: of toxic documents where the sample is not in proportion."""
+def train(texts: list[str], toxic: np.ndarray, share: float | None = None, **learning) -> Model:
+    """Fit on texts with 0/1 labels (folds go by place); share: of toxic documents where the sample is not in proportion;
+    learning: of Network.fit()."""
     if share is None:
         share = float(toxic.mean()) if len(toxic) else 0.0
     if len(toxic) == 0 or toxic.min() == toxic.max():
@@ -269,9 +351,10 @@ def train(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mo
 
     def fitted(lo: int, w: Words) -> np.ndarray:
         word_doc = np.searchsorted(w.first, np.arange(len(w.starts)), "right") - 1
-        return w.inputs(stacked, fold[lo + word_doc])
+        return w.evidence(stacked, fold[lo + word_doc])
 
-    xs, lens, ys = [], [], []
+    #: Fold 0 says when to stop and how to calibrate; the network learns from the others.
+    own, ys = (Examples(), Examples()), ([], [])
     for lo, w in parts():
         fit = fitted(lo, w)
         s, n, doc = windows(w.first)
@@ -284,18 +367,20 @@ def train(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mo
         other = rng.integers(0, len(s), len(firsts))
         other = other[toxic[lo + doc[other]] == 0]
         pick = np.concatenate([firsts, other])
-        xs.append(fit[np.minimum(s[pick, None] + np.arange(WINDOW), len(fit) - 1)].reshape(-1, INPUTS))
-        lens.append(n[pick])
-        ys.append(toxic[lo + doc[pick]])
+        for k, part in enumerate((pick[fold[lo + doc[pick]] != 0], pick[fold[lo + doc[pick]] == 0])):
+            if len(part):
+                own[k].add(w, fit, s[part], n[part])
+                ys[k].append(toxic[lo + doc[part]])
     net = Network()
-    y = np.concatenate(ys).astype(np.float32)
-    net.fit(np.concatenate(xs), np.arange(len(y)) * WINDOW, np.concatenate(lens), y)
+    if ys[0]:
+        k = 1 if ys[1] else 0
+        net.fit(own[0].close(), np.concatenate(ys[0]).astype(np.float32), own[k].close() if k else own[0], np.concatenate(ys[k]).astype(np.float32), **learning)
     z = np.full(len(texts), -np.inf)
     for lo, w in parts():
         part = np.full(len(w.first) - 1, -np.inf)
         highest(net, w, fitted(lo, w), part)
         z[lo : lo + len(part)] = part
-    ok = np.isfinite(z)
+    ok = np.isfinite(z) & ((fold == 0) if len(texts) >= 40 * FOLDS else True)
     slope, level = _calibrate(z[ok], toxic[ok].astype(float), share)
     low = np.median(z[ok & (toxic == 0)]) if (ok & (toxic == 0)).any() else 0.0
     return Model(final, net, slope, level, float(_sigmoid(slope * low + level)))
