@@ -5,12 +5,14 @@ lengths are summed by key. Prefix and suffix sums run over the histogram in two
 bucket totals), so no task holds more than one bucket or the bucket totals.
 
 Defined results: a null or empty text has 0 tokens; repeated rows count each; an empty table gives an empty histogram;
-other columns are never read. Special-token strings in a text are ordinary text.
+other columns are never read. Special-token strings in a text are ordinary text. Very long texts are encoded whole; runs of
+white space of RUN characters and more, which the tokenizer's pattern can't walk, are cut out as that pattern cuts them.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import _text as X
-from loomstone.llm._runtime import ship
+from loomstone.llm._runtime import ship, write_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that this vocabulary was made with (a fixed value of the public tokenizer).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of the pattern, and how long a run of it is handed to the pattern at most.
+SPACE, RUN = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1000
 _BUCKET = 256
 _ENCODINGS: dict[int, object] = {}
 
@@ -39,8 +43,22 @@ def encoding(raw: bytes, pattern: str = PATTERN):
     return _ENCODINGS[key]
 
 
+def count(enc, text: str) -> int:
+    """The number of tokens of a text: what encoding it whole gives.
+
+    The pattern takes a run of white space as one piece without its last character, which goes on with what follows, or with
+    it where the text ends. Such a piece, if long, is merged as one, and the text before and after it by themselves."""
+    total = at = 0
+    for m in re.finditer(f"[{SPACE}]{{{RUN},}}", text):
+        total += len(enc.encode_ordinary(text[at : m.start()]))
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(enc._encode_single_piece(text[m.start() : at]))
+    return total + len(enc.encode_ordinary(text[at:]))
+
+
 def histogram(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(n_tokens, n_docs): how many documents have each encoded length. The vocabulary file (1 MB) is read on the driver and broadcast."""
+    """(n_tokens, n_docs): how many documents have each encoded length, as a written table, so that texts are encoded once however
+    often it is read. The vocabulary file (1 MB) is read on the driver and broadcast."""
     spark = documents.sparkSession
     ship(spark)
     with open(vocabulary, "rb") as f:
@@ -52,12 +70,14 @@ def histogram(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
         for b in batches:
             data, offs = X.buffers(b.column("text"))
             for i in range(b.num_rows):
-                n = len(enc.encode_ordinary(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
+                n = count(enc, data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"))
                 counts[n] = counts.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     part = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
-    return part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    out, _ = write_table(part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
+    raw.destroy()
+    return out
 
 
 def limits(hist: DataFrame) -> DataFrame:
