@@ -6,12 +6,14 @@ nothing but the id, the rate and the seed; the copies are exploded and shuffled
 
 Defined results: a null source is a source of its own; a null or empty text counts one byte (each text counts its UTF-8
 bytes plus 1, so that no source weighs nothing); rows that repeat a doc_id repeat alike; a null doc_id is an id of its own;
-an empty table gives an empty result; extra columns are kept, and `copy_no` and `rate` replace columns of those names.
+very long texts are only measured; an empty table gives an empty result; extra columns are kept whatever their names, and
+`copy_no` and `rate` replace columns of those names.
 Sources without a target weight (with weights given) have rate 0.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -24,7 +26,8 @@ BROADCAST_SOURCES = 20_000
 
 
 def rates(documents: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """One row per source: _source (null-safe key), rate, and cdf, the cumulative Poisson probabilities of 0, 1, ... copies.
+    """One row per source: _source (null-safe key), rate, low (a count below which no probability is left) and cdf, the cumulative
+    Poisson probabilities of low, low + 1, ... copies.
 
     weights: target share by source, equal shares if None. epochs: bytes of the mixture over bytes of documents.
     The probabilities run far enough into the tail that what is left out is below a double's precision.
@@ -40,16 +43,30 @@ def rates(documents: DataFrame, weights: Mapping[str, float] | None = None, epoc
     rated = sizes.crossJoin(F.broadcast(total)).select(  # a single row
         "_source", F.coalesce(F.try_divide(F.col("_w") * epochs * F.col("_all"), F.col("_ws") * F.col("_bytes")), F.lit(0.0)).alias("rate")
     )
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    start = F.struct((-F.col("rate")).alias("l"), F.exp(-F.col("rate")).alias("c"), F.array(F.exp(-F.col("rate"))).alias("a"))
+    return rated.withColumn("low", F.greatest(F.lit(0), F.floor(F.col("rate") - 12 * F.sqrt("rate") - 30))).withColumn("cdf", _cdf(F.col("rate"), F.col("low")))
 
-    def step(acc, k):
-        l = acc["l"] + F.log("rate") - F.log(k.cast("double"))
-        c = acc["c"] + F.exp(l)
-        return F.struct(l.alias("l"), c.alias("c"), F.array_append(acc["a"], c).alias("a"))
 
-    cdf = F.when(F.col("rate") > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["a"])).otherwise(F.array(F.lit(1.0)))
-    return rated.withColumn("cdf", cdf)
+#: Logarithms of the first factorials; from there on Stirling's series is exact to a double's precision.
+_FACTORIALS = [math.lgamma(k + 1) for k in range(16)]
+
+
+def _cdf(rate, low):
+    """The cumulative probabilities of `low`, low + 1, ... copies, to 12 deviations and 30 above the mean: as many numbers as the
+    square root of the rate times 24, each the one before and a term of its own."""
+    term = lambda k: F.exp(_log_term(rate, k.cast("double")))
+    start = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("a"))
+    step = lambda acc, k: F.struct((acc["c"] + term(k)).alias("c"), F.array_append(acc["a"], acc["c"] + term(k)).alias("a"))
+    cdf = F.aggregate(F.sequence(low, F.ceil(rate + 12 * F.sqrt(rate) + 30)), start, step, lambda acc: acc["a"])
+    return F.when(rate > 0, cdf).otherwise(F.array(F.lit(1.0)))
+
+
+def _log_term(rate, k):
+    """Logarithm of the Poisson probability of k."""
+    some = F.greatest(k, F.lit(1.0))
+    small = F.element_at(F.array(*map(F.lit, _FACTORIALS)), F.least(k, F.lit(15.0)).cast("int") + 1)
+    # k! by Stirling, with the large parts of the exponent taken together before they can cancel.
+    far = k - rate - k * F.log(some / rate) - 0.5 * F.log(2 * math.pi * some) - 1 / (12 * some) + 1 / (360 * some**3) - 1 / (1260 * some**5)
+    return F.when(k < 16, k * F.log(rate) - rate - small).otherwise(far)
 
 
 def _key():
@@ -59,16 +76,12 @@ def _key():
 def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
     """documents, each row as often as its Poisson count says, with copy_no (from 1) and rate, in a global hash order."""
     rated = rates(documents, weights, epochs)
-    table = rated.withColumnsRenamed({"rate": "_rate", "cdf": "_cdf"})
+    # The documents' own columns stay under one name, so that none can clash with those added here.
+    kept = [c for c in documents.columns if c not in ("copy_no", "rate")]
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), _key().alias("_source"), uniform(F.lit(seed), F.col("doc_id")).alias("u"))
     if rated.select("_source").count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    counted = (
-        documents.withColumn("_source", _key())
-        .join(table, "_source")
-        .withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= u)))
-        .where("_n > 0")
-    )
-    copies = counted.drop("_cdf", "_source", "copy_no").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    keyed = copies.drop("_n", "rate").withColumnRenamed("_rate", "rate").withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "copy_no"))
-    return keyed.repartition("_order").sortWithinPartitions("_order").drop("_order")
+        rated = F.broadcast(rated)
+    counted = rows.join(rated, "_source").withColumn("n", F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
+    copies = counted.select("doc", "rate", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy_no"))
+    placed = copies.withColumn("place", F.xxhash64(F.lit(seed), "doc.doc_id", "copy_no"))
+    return placed.repartition("place").sortWithinPartitions("place").select("doc.*", "rate", "copy_no")
