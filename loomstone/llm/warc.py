@@ -2,7 +2,7 @@
 
 Writing: one record per page, its payload the html in UTF-8. Of pages with equal payloads of `least` bytes or more the one
 with the smallest page_id is a response, the others are revisits without a payload block. Archives are written by Spark
-(any file system it can write to); each task rotates its archive after a number of records set by the mean payload.
+(any file system it can write to); each task rotates its archive after a number of records, set for each class of payload sizes.
 
 Reading: tasks look for the record magic in their archives and emit every candidate with the offset of the record that
 would follow it. A candidate inside a payload looks like a record but is no link of the chain from the file's start: pointer
@@ -11,7 +11,8 @@ only that is kept. A chain must end exactly at the file's end.
 
 Defined results: a null html is an empty payload; a null page_id or url is written as an absent header and read as null
 (a null page_id sorts last among equal payloads); rows that repeat page_id and payload are one response and revisits of it;
-an empty table gives archives without records and an empty result; extra columns are ignored.
+an empty table gives archives without records and an empty result; a revisit without its response is read with payload_bytes
+null; white space and control characters of a url are written as %20; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from loomstone.llm._runtime import drop_table, shared_dir, ship, write_table
 
 MAGIC = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a record beside its payload, about; and how far pages of one size class lie apart.
+HEADER, SPREAD = 700, 8
 #: Most revisits (40 bytes each) that are broadcast to the writers; beyond it they are joined by shuffle.
 BROADCAST_REVISITS = 200_000
 
@@ -57,8 +60,8 @@ def write(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = 32 <
     """Write the archives of pages into folder path: part-*.txt files of concatenated WARC records of about archive_bytes each."""
     rows = _rows(pages)
     narrow = rows.select("sha", "bytes", "key", F.col("page_id").isNull().alias("no_id"), "page_id")
-    stats = narrow.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
-    per_file = max(1, int(archive_bytes / (700 + (stats["b"] or 0) / max(1, stats["n"]))))
+    stats = narrow.agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("bytes").alias("most")).first()
+    mean = HEADER + (stats["b"] or 0) / max(1, stats["n"])
     same = narrow.where(F.col("bytes") >= least).groupBy("sha", "bytes", "key", "no_id", "page_id").agg(F.count("*").alias("n"))
     groups = same.groupBy("sha", "bytes").agg(F.sum("n").alias("all"), F.min(F.struct("no_id", "page_id", "key")).alias("first")).where("all > 1")
     again = same.join(groups.select("sha", "bytes", "first"), ["sha", "bytes"]).where("key != first.key OR n > 1")
@@ -92,8 +95,16 @@ def write(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = 32 <
         F.lit("\r\n"),
     )
     record = F.concat(header, F.when(rev, F.lit("")).otherwise(F.col("html")))
-    # Each record ends with two line ends; the text writer puts what ends a row there.
-    x.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    # Each record ends with two line ends; the text writer puts what ends a row there. An archive holds so many records that
+    # none exceeds SPREAD times archive_bytes or one record: pages far above the mean go to archives of their own size class.
+    low, high = -1, SPREAD * mean
+    while True:
+        per_file = max(1, int(archive_bytes * SPREAD / high))
+        within = x.where((F.col("bytes") > low) & (F.col("bytes") <= int(high)))
+        within.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+        if int(high) >= (stats["most"] or 0):
+            break
+        low, high = int(high), high * SPREAD
     for at in done:
         drop_table(pages.sparkSession, at)
 
@@ -177,7 +188,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"archives with a broken chain: {[r['file'] for r in ends.limit(3).collect()]}")
     responses = kept.where("record_type = 'response'").groupBy(F.col("stated").alias("payload_digest")).agg(F.max("payload_bytes").alias("full_bytes"))
     revisits = kept.where("record_type = 'revisit'").select("page_id", F.col("stated").alias("payload_digest"), "record_type", "refers_to")
-    revisits = revisits.join(responses, "payload_digest").select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # A revisit whose response lies elsewhere keeps its digest and has no known size.
+    revisits = revisits.join(responses, "payload_digest", "left").select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     own = kept.where("record_type != 'revisit'")
     checked = F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest at "), "file", F.lit(":"), F.col("at").cast("string"))).cast("string"))
     return own.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to").unionByName(revisits)
