@@ -469,3 +469,177 @@ def test_pipeline_rejects_toxic_rows_alone(spark, sf, monkeypatch):
     rows = [(None, "clean"), (None, "vilk one"), (1, "clean too"), (1, "vilk two"), (2, "vilk three"), (3, None)]
     out = C.reject_toxic(spark, spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], DOC), sf).collect()
     assert sorted((repr(r["doc_id"]), r["text"]) for r in out if r["text"]) == [("1", "clean too"), ("None", "clean")] and len(out) == 3
+
+
+# ---- single faults, by value ----
+def brute_spans(rows, bits=5, least=16, most=128, run=96):
+    """Substring dedup by the letter: the gear hash of each place anew, cuts one by one, digests of bytes."""
+    g = [int(x) for x in substring_dedup._GEAR]
+    chunks = []
+    for row, text in enumerate(rows):
+        b = (text or "").encode()
+        ends, last = [], None
+        for i in range(31, len(b)):
+            h = sum(g[b[i - k]] << k for k in range(32)) % 2**32
+            if h >> (32 - bits) == 0:
+                if last is None or i + 1 - last >= least:
+                    ends.append(i + 1)
+                last = i + 1
+        ends = sorted({*ends, len(b)} - {0})
+        full, at = [], 0
+        for e in ends:
+            full += [at + k * most for k in range(1, (e - at - 1) // most + 1)] + [e]
+            at = e
+        cut = sorted({next(j for j in range(e, len(b) + 1) if j == len(b) or b[j] & 0xC0 != 0x80) for e in full})
+        chunks += [(row, a, z, b[a:z]) for a, z in zip([0, *cut], cut)]
+    where = defaultdict(set)
+    for row, _, _, x in chunks:
+        where[x].add(row)
+    out = []
+    for row, a, z, x in chunks:
+        if len(where[x]) > 1:
+            if out and out[-1][0] == row and out[-1][2] == a:
+                out[-1][2] = z
+            else:
+                out.append([row, a, z])
+    return sorted((r, a, z) for r, a, z in out if z - a >= run)
+
+
+def test_substring_dedup_against_brute_force(spark):
+    r = random.Random(8)
+    shared = [prose(60, 900), "Ünï cödé ÿ " * 20, "данные и слова " * 15, "x" * 700]
+    rows = [None, "", "short"]
+    for i in range(24):
+        parts = [prose(r.randint(5, 60), 500 + i)] + r.sample(shared, r.randint(0, 3)) + ["ж" * r.randint(0, 30)]
+        rows.append(" ".join(parts))
+    rows += [rows[5], rows[5]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = sorted((x["doc_id"], x["start"], x["end"]) for x in substring_dedup.spans(docs).collect())
+    assert got == brute_spans(rows) and len(got) > 20
+
+
+def test_substring_dedup_removes_whole_characters(spark):
+    text = " ".join(f"слово{i} и ещё одно" for i in range(60))
+    docs = keyed(spark.createDataFrame([(i, f"{prose(9, i)} {text} {prose(9, 50 + i)}") for i in range(8)], "doc_id long, text string"))
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in substring_dedup.remove(docs, substring_dedup.spans(docs)).collect():
+        raw, was = r["text"], before[r["doc_id"]]
+        assert "\ufffd" not in raw and (raw == was or len(raw) < len(was) - 500)
+        words = set(was.split())
+        assert sum(w not in words for w in raw.split()) <= 2  # only where a cut joins two halves
+
+
+def test_sharding_splits_one_key(spark):
+    rows = [(None, "same", "a")] * 300 + [(7, "other", "a")] * 300
+    got = sharding.manifest(frame(spark, rows), 4).collect()
+    assert len(got) == 600
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_embedding_dedup_of_extreme_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [2e-200, 2e-200]), (3, [5e-324, 0.0]), (4, [0.0, 1e308]), (5, [1e308, 0.0]), (6, [float("inf"), 1.0]), (7, [0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (0, 4), 5: (1, 3), 6: (0, 6), 7: (0, 7)}
+
+
+def test_language_id_against_brute_force(spark, small):
+    """The score of a text is that of its kernel with each landmark, summed up one by one."""
+    model = language_id.train(small, per_language=40, landmarks=24)
+    docs = small.where("doc_id % 40 = 1").collect()
+    got = {r["doc_id"]: r for r in language_id.predict(small.where("doc_id % 40 = 1"), model).collect()}
+    for d in docs:
+        own = language_id.presence([d["text"]], model.dims)[0]
+        if not any(c.isalpha() for c in d["text"]):
+            assert got[d["doc_id"]]["lang_pred"] == "und"
+            continue
+        on = np.flatnonzero(own)
+        k = [sum(float(model.z[i, j]) for i in on) / math.sqrt(len(on)) for j in range(model.z.shape[1])]
+        f = [sum(k[j] * float(model.w[j, c]) for j in range(len(k))) + float(model.b[c]) for c in range(len(model.langs))]
+        assert got[d["doc_id"]]["lang_pred"] == model.langs[int(np.argmax(f))] and abs(got[d["doc_id"]]["score"] - min(1, max(0, (max(f) + 1) / 2))) < 1e-3
+    many = spark.createDataFrame([(i, "a b") for i in range(3000)], "doc_id long, text string")
+    assert language_id.predict(many, model).select("lang_pred", "score").distinct().count() == 1
+
+
+def test_toxicity_learns_what_tables_cannot_say():
+    """Two words, each as often toxic as not, whose order alone tells: embeddings learn it, evidence alone does not."""
+    r, texts, y = random.Random(3), [], []
+    for i in range(3000):
+        q = random.Random(i)
+        w = ["".join(q.choice("bcdfglmnprst") + q.choice("aeiou") for _ in range(q.randint(1, 2))) for _ in range(14)]
+        k = r.randrange(0, 12)
+        w[k:k] = ["kova", "zhul"] if i % 2 else ["zhul", "kova"]
+        texts.append(" ".join(w))
+        y.append(i % 2)
+    y = np.array(y)
+
+    def right(slow):
+        model = toxicity.train(texts[:2000], y[:2000], rate=0.02, slow=slow, patience=12)
+        joined = "".join(texts[2000:]).encode()
+        offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts[2000:]])])
+        return ((model.score(np.frombuffer(joined, np.uint8), offs) >= 0.5) == y[2000:]).mean()
+
+    assert right(1.0) > 0.85 and right(0.0) < 0.65
+
+
+def test_token_counts_of_white_space(spark):
+    with open(token_counts.VOCABULARY, "rb") as f:
+        enc = token_counts.encoding(f.read())
+    was, token_counts.RUN = token_counts.RUN, 3
+    try:
+        r = random.Random(1)
+        for _ in range(2000):
+            t = "".join(r.choice(["a", " ", "  ", "   ", "\n", "\t", "1", ",", "\u2003", "\xa0", "é", "'s", "    \n   "]) for _ in range(r.randint(0, 14)))
+            assert token_counts.count(enc, t) == len(enc.encode_ordinary(t)), repr(t)
+    finally:
+        token_counts.RUN = was
+    long = spark.createDataFrame([(1, " " * 5_000_000), (2, "\n" * 1_000_000 + "a"), (3, "a" * 300_000)], "doc_id long, text string")
+    assert token_counts.histogram(long).agg(F.sum("n_docs")).first()[0] == 3
+
+
+def test_mixing_keeps_columns_of_any_name(spark, small):
+    names = ("_cdf", "_rate", "_n", "_source", "_order", "u", "n", "low", "cdf", "doc", "place")
+    docs = small
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "rate", "copy_no"]
+    assert got.where(" OR ".join(f"`{c}` != concat('{c}', cast(doc_id AS string))" for c in names)).count() == 0
+    assert got.count() == mixing.mix(small).count()
+
+
+def test_mixing_at_high_rates(spark):
+    docs = spark.createDataFrame([(i, "x" * 99, "rare" if i == 0 else "many") for i in range(200)], "doc_id long, text string, source string")
+    want = 20_000 * 100 / 2 / 100 * 100 / 100  # half of 100 times the bytes, over 100 bytes
+    n = mixing.mix(docs, epochs=100.0).where("source = 'rare'").count()
+    assert abs(n - want) < 6 * math.sqrt(want)
+    top = mixing.rates(docs, epochs=100.0).where("_source = '=rare'").first()
+    assert top["low"] > 8000 and abs(top["cdf"][-1] - 1) < 1e-9 and top["cdf"][0] < 1e-12
+
+
+def test_warc_rotates_by_bytes_and_reads_lone_revisits(spark, tmp_path):
+    import os
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", ("p%d " % i) * (20_000 if i >= 190 else 3)) for i in range(200)], "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), str(tmp_path / "a"), archive_bytes=100_000)
+    sizes = [os.path.getsize(tmp_path / "a" / f) for f in os.listdir(tmp_path / "a") if f.startswith("part")]
+    assert max(sizes) < warc.SPREAD * 100_000 and len(warc.read(spark, str(tmp_path / "a")).collect()) == 200
+    os.mkdir(tmp_path / "b")
+    head = "WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:5:00>\r\nWARC-Payload-Digest: sha1:ABC\r\nWARC-Refers-To: <urn:page:2>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "b" / "x.warc").write_bytes(head.encode())
+    assert [tuple(r) for r in warc.read(spark, str(tmp_path / "b")).collect()] == [(5, None, "ABC", "revisit", 2)]
+
+
+def test_words_that_a_polynomial_would_confuse():
+    """Thue-Morse words and their complements collide under any polynomial hash modulo 2**64."""
+    from loomstone.llm import _text
+
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    raw = f"{a} {b} {a[:24]} {b[:24]} {a.upper()}".encode()
+    data = np.frombuffer(raw, np.uint8)
+    s, e, _ = _text.words(data, np.array([0, len(raw)]), _text.word_bytes("alnum"))
+    h = _text.range_hashes(data, s, e).tolist()
+    assert h[0] == h[4] and len(set(h)) == 4
