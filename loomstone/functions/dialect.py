@@ -72,6 +72,14 @@ class Spark(Dialect):
         """f gets the item and its 1-based place."""
         return f"transform({a}, ({v}, {i}) -> {f(v, f'({i} + 1)')})"
 
+    def keep_at(self, a, cond: Callable[[str, str], str], v="x", i="i"):
+        """cond gets the item and its 1-based place."""
+        return f"filter({a}, ({v}, {i}) -> {cond(v, f'({i} + 1)')})"
+
+    def position(self, a, x):
+        """The first 1-based place of x in a, 0 or null without."""
+        return f"array_position({a}, {x})"
+
     def any(self, a, cond: Callable[[str], str], v="x"):
         return f"exists({a}, {v} -> {cond(v)})"
 
@@ -121,6 +129,9 @@ class Spark(Dialect):
     def flat(self, a):
         return f"flatten({a})"
 
+    def concat(self, a, b):
+        return f"concat({a}, {b})"
+
     def sort(self, a):
         return f"sort_array({a})"
 
@@ -229,6 +240,12 @@ class Duck(Dialect):
     def each_at(self, a, f, v="x", i="i"):
         return f"list_transform({a}, lambda {v}, {i}: {f(v, i)})"
 
+    def keep_at(self, a, cond, v="x", i="i"):
+        return f"list_filter({a}, lambda {v}, {i}: {cond(v, i)})"
+
+    def position(self, a, x):
+        return f"list_position({a}, {x})"
+
     def any(self, a, cond, v="x"):
         return f"(len(list_filter({a}, lambda {v}: {cond(v)})) > 0)"
 
@@ -278,6 +295,9 @@ class Duck(Dialect):
     def flat(self, a):
         return f"flatten({a})"
 
+    def concat(self, a, b):
+        return f"list_concat({a}, {b})"
+
     def sort(self, a):
         return f"list_sort({a})"
 

@@ -77,8 +77,41 @@ def judged(d: Dialect, rel: str, key: str, x: str = "raw") -> str:
 
 
 def family(d: Dialect, provider: str, model: str) -> str:
-    """BM10: a model's family: its provider, but for gateways the name before the slash of the model id."""
-    return f"CASE WHEN {provider} IN ('openrouter', 'together') AND {model} LIKE '%/%' THEN lower({d.first(model, r'^[^/]+', 0)}) ELSE lower({provider}) END"
+    """BM10: a model's family: by its provider's own, else the provider."""
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.FAMILIES.items())
+    return f"CASE {provider} {names} ELSE {provider} END"
+
+
+def spec(d: Dialect, x: str) -> tuple[str, str]:
+    """(provider, model) of a specification, cut at its first colon."""
+    return d.first(x, r"^([^:]+):", 1), d.first(x, r"^[^:]+:(.*)\z", 1)
+
+
+def judge_conflicts(d: Dialect, models: str, judges: list[str]) -> str:
+    """FL12: judges of the family of a model that they would judge."""
+    own = lambda x: family(d, *spec(d, x))
+    j = d.rows(["judge_spec"], [[d.lit(v)] for v in judges])
+    return f"SELECT judge_spec, model_spec, {own('judge_spec')} AS family FROM (SELECT DISTINCT model_spec FROM {models}) m JOIN {j} j ON {own('judge_spec')} = {own('model_spec')}"
+
+
+def query_text(d: Dialect, kind: str, query: str, control: str, probe: str) -> str:
+    """BM3: what is asked, by the kind of query; null for an unknown kind or a missing control."""
+    return f"CASE {kind} WHEN 'primary' THEN {query} WHEN 'negative_control' THEN nullif({control}, '') WHEN 'local_probe' THEN {probe} END"
+
+
+def scoring_gold(kind: str, gold: str, control_gold: str) -> str:
+    """BM15: the answer to score against: the control's for a control."""
+    return f"CASE WHEN {kind} = 'negative_control' THEN {control_gold} ELSE {gold} END"
+
+
+def prompt_name(kind: str, style: str) -> str:
+    """HP21: which system prompt goes with a query."""
+    return f"CASE WHEN {kind} = 'local_probe' THEN 'probe' WHEN {style} = 'standard' THEN 'standard' ELSE 'minimal' END"
+
+
+def temperature(d: Dialect, model: str, asked: str) -> str:
+    """HP17: the temperature to send, null for models that take none."""
+    return f"CASE WHEN {d.has(model, P.NO_TEMPERATURE)} AND NOT {d.has(model, P.TAKES_TEMPERATURE)} THEN NULL ELSE {asked} END"
 
 
 def tasks(d: Dialect, cases: str, models: list[str], query_types: list[str], repetitions: int) -> str:
@@ -117,4 +150,4 @@ def violations(d: Dialect, rel: str, key: str) -> str:
 
 def http_error(d: Dialect, status: str, body: str) -> str:
     """HP16: the error class of an HTTP status."""
-    return f"CASE WHEN {status} IN (401, 403) THEN 'auth' WHEN {status} = 429 THEN 'rate_limit' WHEN {status} = 402 THEN 'payment' WHEN {status} = 400 AND {d.has(body, r'(?i)schema|too complex|nesting')} THEN 'schema_too_complex' WHEN {status} >= 400 THEN 'provider_error' END"
+    return f"CASE WHEN {status} IN (401, 403) THEN 'auth' WHEN {status} = 429 THEN 'rate_limit' WHEN {status} = 402 THEN 'payment' WHEN {status} = 400 AND {d.has(body, P.SCHEMA_ERROR)} THEN 'schema_too_complex' WHEN {status} >= 400 THEN 'provider_error' END"

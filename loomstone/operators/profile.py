@@ -90,3 +90,9 @@ def domain_language(d: Dialect, rel: str, key: str, x: str = "text") -> str:
     """PR9: pt if its function words outnumber English ones, else en."""
     low = f"lower({x})"
     return f"SELECT {key}, CASE WHEN {d.count(low, T.any_word(P.PT_DOMAIN_WORDS).removeprefix('(?i)'))} > {d.count(low, T.any_word(P.EN_DOMAIN_WORDS).removeprefix('(?i)'))} THEN 'pt' ELSE 'en' END AS domain_language FROM {rel}"
+
+
+def guessed_language(d: Dialect, rel: str, key: str, x: str = "body") -> str:
+    """PR10: a package's language by the function words of its statements and definitions: pt or es if above both others, else en."""
+    n = ", ".join(f"sum({d.count(f'lower({x})', T.any_word(w).removeprefix('(?i)'))}) AS {k}" for k, w in P.GUESS_WORDS.items())
+    return f"SELECT {key}, cast(pt AS bigint) AS pt_words, cast(es AS bigint) AS es_words, cast(en AS bigint) AS en_words, CASE WHEN pt > en AND pt > es THEN 'pt' WHEN es > en AND es > pt THEN 'es' ELSE 'en' END AS language FROM (SELECT {key}, {n} FROM {rel} WHERE section IN ('atomic_units', 'concepts', 'entities') GROUP BY {key}) g"

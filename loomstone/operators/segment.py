@@ -160,3 +160,39 @@ def pack(d: Dialect, rel: str, key: str, x: str, most: int, gap: str = r"\n\n+")
     out = d.explode(f"{whole} p3", key, "cs", "item", "n")
     return f"""SELECT {key}, n, {span_id(d, 'n')} AS span_id, length(text) AS chars, cast(sum(length(text)) OVER (PARTITION BY {key} ORDER BY n ROWS UNBOUNDED PRECEDING) - length(text) AS bigint) AS char_start, {d.sha256('text')} AS text_sha256
     FROM (SELECT {key}, n, {T.trim(d, 'item')} AS text FROM {out} a) b WHERE text <> ''"""
+
+
+def headed_sections(d: Dialect, rel: str, key: str, x: str = "text") -> str:
+    """CH3: (key, sec, path, heading, text) of each part between headings, the heading's line kept; a rule ends a part and leaves
+    the path as it is. The path has, for each depth above the heading's own, the latest heading of it that no shallower one has
+    ended, or a filler."""
+    flat = T.trim(d, d.sub(d.sub(d.sub(x, "\r\n", "\n"), "\u00a0", " "), r"\n{4,}", "\n\n\n"))
+    depth, title = heading(d, "line")
+    marked = f"(SELECT {key}, line_no, line, cast({depth} AS int) AS depth, {title} AS title FROM {lines(d, f'(SELECT {key}, {flat} AS text FROM {rel}) n0', key)} n1)"
+    own = "CASE WHEN depth < 7 THEN least(depth, 6) END"
+    w = f"OVER (PARTITION BY {key} ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
+    run = f"(SELECT *, count(depth) {w} AS sec, max(CASE WHEN own IS NOT NULL THEN line_no END) {w} AS head_at, {_ancestors(d, 'own', 'title', key, 'line_no')} FROM (SELECT *, {own} AS own FROM {marked} n2) n3)"
+    # Of each section its last line with a heading's state: what its own heading left, or the one before a rule.
+    secs = f"(SELECT {key}, sec, max(head_at) AS head_at, {d.join(d.gather("CASE WHEN depth = 7 THEN '' ELSE line END", 'line_no'), MARK)} AS joined FROM run GROUP BY {key}, sec)"
+    crumb = [f"CASE WHEN h.own = {k} THEN h.title" + (f" WHEN h.own > {k} THEN coalesce(t{k}.title, '…')" if k < 6 else "") + " END" for k in range(1, 7)]
+    joins = " ".join(f"LEFT JOIN heads t{k} ON t{k}.{key} = h.{key} AND t{k}.line_no = h.at{k} AND h.own > {k} AND h.at{k} > coalesce(h.up{k}, 0)" for k in range(1, 6))
+    return f"""WITH run AS {run}, heads AS (SELECT * FROM run WHERE own IS NOT NULL), secs AS {secs},
+    crumbs AS (SELECT h.{key}, h.line_no, h.title, concat_ws(' > ', {', '.join(crumb)}) AS path FROM heads h {joins})
+    SELECT s.{key}, s.sec, coalesce(c.path, 'document') AS path, c.title AS heading, {T.trim(d, "replace(s.joined, chr(30), chr(10))")} AS text
+    FROM secs s LEFT JOIN crumbs c ON s.{key} = c.{key} AND s.head_at = c.line_no WHERE {T.trim(d, "replace(s.joined, chr(30), chr(10))")} <> ''"""
+
+
+def chunks(d: Dialect, rel: str, key: str, most: int, x: str = "text") -> str:
+    """CH1 over CH3: each part between headings, packed by paragraphs where it is longer than `most`; parts of one section are numbered in their path."""
+    secs = f"({headed_sections(d, rel, key, x)})"
+    packed = pack(d, f"{secs} h9", f"{key}, sec", "text", most)
+    return f"""SELECT {key}, {span_id(d, f'row_number() OVER (PARTITION BY {key} ORDER BY sec, n)')} AS span_id, CASE WHEN many > 1 THEN path || ' · part ' || {d.text('n')} ELSE path END AS path, heading, chars, text_sha256
+    FROM (SELECT p.{key}, p.sec, p.n, p.chars, p.text_sha256, s.path, s.heading, count(*) OVER (PARTITION BY p.{key}, p.sec) AS many FROM ({packed}) p JOIN {secs} s ON p.{key} = s.{key} AND p.sec = s.sec) q"""
+
+
+def rough_sections(d: Dialect, rel: str, key: str, filename: str = "'Document'", x: str = "text") -> str:
+    """CH4: (key, sec, title, body) of what stands between # headings and lines in capitals; parts without a body are dropped."""
+    head = f"({d.has('line', r'^(?:#{1,6}\s+|[A-Z][A-Z\s]{4,}\z)')} AND length({T.trim(d, 'line')}) < 120)"
+    run = f"(SELECT *, count(CASE WHEN {head} THEN 1 END) OVER (PARTITION BY {key} ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sec FROM {lines(d, rel, key, x)} a)"
+    title = f"coalesce(max(CASE WHEN {head} THEN {T.trim(d, d.sub('line', r'^#{1,6}\s+'))} END), {filename})"
+    return f"SELECT * FROM (SELECT {key}, sec, {title} AS title, {T.trim(d, d.join(d.gather(f"CASE WHEN {head} THEN '' ELSE line END", 'line_no'), chr(10)))} AS body FROM {run} b GROUP BY {key}, sec) c WHERE body <> ''"

@@ -19,7 +19,9 @@ from loomstone.operators import provenance as TR
 from loomstone.operators import report as AG
 from loomstone.operators import segment as SG
 from loomstone.plans import rendered as R
+from loomstone.sources import layout as LA
 from loomstone.sources import markup as IO
+from loomstone.sources import readable as RD
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 BUILDERS: dict[str, Callable[[Dialect], str]] = {}
@@ -77,6 +79,7 @@ query("pr4_language_confusion")(lambda d: f"SELECT lang, detected_language, coun
 query("pr6_format")(lambda d: PR.source_format(d, R.formats(d) + " f", "doc_id"))
 query("pr8_domain")(lambda d: PR.domain(d, R.formats(d) + " f", "doc_id"))
 query("pr9_domain_language")(lambda d: PR.domain_language(d, "documents", "doc_id"))
+query("pr10_guessed_language")(lambda d: PR.guessed_language(d, R.items(d) + " i", "pkg"))
 query("pr11_profile_language")(lambda d: f"SELECT lang, own, count(*) AS n FROM (SELECT lang, {T.profile_language(d, 'text')} AS own FROM documents) p GROUP BY lang, own")
 
 
@@ -96,6 +99,9 @@ query("sg6_faq_spans")(lambda d: SG.faq(d, R.faq(d) + " m", "doc_id"))
 query("sg7_plain_span")(lambda d: SG.plain(d, "documents", "doc_id"))
 query("ch1_chunks")(lambda d: SG.pack(d, "documents", "doc_id", "text", 1500, r"\n"))
 query("ch1_sections_packed")(lambda d: SG.pack(d, R.sections_md(d) + " m", "doc_id", "text", 200))
+query("ch3_sections")(lambda d: SG.headed_sections(d, R.book_md(d) + " m", "doc_id"))
+query("ch3_chunks")(lambda d: SG.chunks(d, f"(SELECT doc_id, text FROM {R.book_md(d)} m0 UNION ALL SELECT -1 - doc_id, text FROM documents) m", "doc_id", 60))
+query("ch4_rough_sections")(lambda d: SG.rough_sections(d, R.book_md(d) + " m", "doc_id"))
 query("ch2_headings")(lambda d: SG.headings(d, f"(SELECT doc_id, text FROM {R.sections_md(d)} m)", "doc_id"))
 query("ch2_document_headings")(lambda d: f"SELECT doc_id, count(*) AS n, min(line_no) AS first_line, max(depth) AS deepest FROM ({SG.headings(d, 'documents', 'doc_id')}) h GROUP BY doc_id")
 query("io24_manifest")(lambda d: SG.manifest(d, f"(SELECT doc_id, 's_001' AS span_id, 'document' AS source_type, 'document' AS path, {d.sha256(T.trim(d, 'text'))} AS text_sha256, {T.trim(d, 'text')} AS text FROM documents) s"))
@@ -103,12 +109,26 @@ query("io24_manifest")(lambda d: SG.manifest(d, f"(SELECT doc_id, 's_001' AS spa
 # ---- sources and markup ----
 query("io6_running_text")(lambda d: IO.running_text(d, R.page_text(d) + " p", "host", "page_id"))
 query("io8_transcript")(lambda d: IO.transcript(d, R.transcript(d) + " t", "conv_id"))
+query("io8_named")(lambda d: IO.spoken_text(d, f"(SELECT conv_id, text, CASE conv_id % 3 WHEN 0 THEN 'talk.VTT' WHEN 1 THEN 'talk.srt' ELSE 'talk.txt' END AS filename FROM {R.transcript(d)} t)", "conv_id", "filename"))
+query("io5_page_lines")(lambda d: f"SELECT * FROM {LA.page_lines(d, R.placed_words(d) + ' w', 'doc_id')} p")
+query("io7_layout_markdown")(lambda d: LA.markdown(d, R.placed_words(d) + " w", "doc_id"))
 query("io9_package_format")(lambda d: f"SELECT doc_id, {IO.package_format(d, 'text', "CASE WHEN length(text) % 3 = 0 THEN 'a.md' ELSE 'upload' END")} AS fmt, {IO.readable(d, 'text')} AS readable FROM {R.formats(d)} f")
 query("io13_report_sections")(lambda d: IO.report_sections(d, R.report_md(d) + " m", "doc_id"))
 query("io16_bullets")(lambda d: IO.bullets(d, R.report_md(d) + " m", "doc_id"))
 query("io17_subsections")(lambda d: IO.subsections(d, R.report_md(d) + " m", "doc_id"))
 
 
+query("io13_package_items")(lambda d: RD.package_items(d, R.package_md(d) + " m", "doc_id"))
+query("io15_section_keys")(lambda d: f"SELECT title, {RD.section_key(d, 'title')} AS section_key FROM {d.rows(['title'], [[d.lit(t)] for t in [*(k.title() + ' (12)' for k in RD.SECTION_TITLES), 'Unknown', '', 'Entities and more', ' PLAYBOOKS ( 3 ) ']])} t")
+query("io19_grouped_blocks")(lambda d: RD.grouped_blocks(d, R.package_md(d) + " m", "doc_id"))
+query("rp1_core_intent")(lambda d: RD.core_intent(d, R.package_md(d) + " m", "doc_id"))
+query("rp2_domain_map")(lambda d: RD.domain_map(d, R.package_md(d) + " m", "doc_id"))
+query("rp5_bullet_sections")(lambda d: RD.bullet_rows(d, R.package_md(d) + " m", "doc_id"))
+query("rp3_headed_sections")(lambda d: RD.headed_rows(d, R.package_md(d) + " m", "doc_id"))
+query("rp21_group_lists")(lambda d: RD.group_lists(d, R.package_md(d) + " m", "doc_id"))
+query("rp23_traceability")(lambda d: RD.traceability(d, R.package_md(d) + " m", "doc_id"))
+
+
 @query("io14_trace_tags")
 def _tags(d):
     cols = ", ".join(f"{v} AS {k}" for k, v in IO.trace_tag(d, "bullet").items())
@@ -180,6 +200,9 @@ query("dd7_exact_dedup")(lambda d: DD.corpus_exact(d, "documents", "doc_id"))
 query("dd8_fuzzy_leaders")(lambda d: DD.leaders(d, f"(SELECT * FROM {R.items(d)} i0 WHERE section = 'atomic_units') i", "pkg", "ord", "body", 0.8))
 query("dd16_sanitizer_dedup")(lambda d: DD.leaders(d, f"(SELECT pkg, ord, title || ' ' || body AS t FROM {R.items(d)} i0 WHERE section = 'retrieval_chunks') i", "pkg", "ord", "t", 0.85, plain=True))
 query("dd9_entity_merge")(lambda d: DD.merge_entities(d, f"(SELECT pkg, ord, title AS name, body AS description, context AS alias, confidence FROM {R.items(d)} i0 WHERE section = 'entities') i", "pkg", "ord"))
+query("dd9_fuzzy_entities")(lambda d: DD.fuzzy_merge(d, R.loose_entities(d) + " i", "pkg", "ord", "name", "description", "alias", 0.7))
+query("dd10_fuzzy_concepts")(lambda d: DD.fuzzy_merge(d, R.loose_entities(d) + " i", "pkg", "ord", "name", "description", "''", 0.75))
+query("dd15_kept_apart")(lambda d: f"SELECT * FROM {DD.kept_apart(d, f"(SELECT pkg, ord, body FROM {R.items(d)} i0 WHERE section = 'retrieval_chunks') i", 'pkg', 'ord', 'body', 'body')} k")
 query("dd11_relations")(lambda d: DD.relations(d, f"(SELECT pkg, ord, title AS name, basis AS relation FROM {R.items(d)} i0 WHERE section = 'entities') i", "pkg", "ord"))
 query("dd12_trace_merge")(lambda d: DD.merge_traces(d, f"(SELECT pkg, ord, ref, basis, confidence FROM {R.items(d)} i0 WHERE section = 'concepts') i", "pkg", "ord"))
 query("dd14_longest")(lambda d: DD.longest(d, R.items(d) + " i", "pkg, section", "ord", "body"))
@@ -188,6 +211,9 @@ query("dd14_longest")(lambda d: DD.longest(d, R.items(d) + " i", "pkg, section",
 query("pm1_sources")(lambda d: f"SELECT * FROM {PM.gather(d, R.items(d) + ' i', 'pkg')} g")
 query("pm2_promote")(lambda d: PM.promote(d, statements(d), "pkg"))
 query("pm5_gate_audit")(lambda d: PM.gate(d, statements(d), "pkg"))
+query("pm5_promoted")(lambda d: PM.promoted(d, f"(SELECT s0.*, row_number() OVER (PARTITION BY pkg ORDER BY source_section, coalesce(source_id, ''), statement) AS ord FROM {statements(d)} s0)", "pkg"))
+query("cv1_inserted_balanced")(lambda d: PM.inserted(d, R.spans(d) + " sp0", f"(SELECT * FROM {R.items(d)} ix WHERE ord % 5 = 0 OR section <> 'retrieval_chunks')", "pkg", "balanced", False))
+query("cv1_inserted_complete")(lambda d: PM.inserted(d, R.spans(d) + " sp0", f"(SELECT * FROM {R.items(d)} ix WHERE ord % 5 = 0 OR section <> 'retrieval_chunks')", "pkg", "complete", True))
 query("cv1_coverage")(lambda d: PM.covered(d, R.spans(d) + " s", R.items(d) + " i", "pkg"))
 query("cv3_path_titles")(lambda d: f"SELECT pkg, span_id, {PM.path_title(d, 'path')} AS title, {PM.coverage_mode('CASE WHEN pkg % 2 = 0 THEN ' + d.lit('faq') + ' ELSE ' + d.lit('markdown') + ' END')} AS mode FROM {R.spans(d)} s")
 query("sn4_titles")(lambda d: f"SELECT pkg, ord, {PM.repaired_title(d, 'title', 'body')} AS title FROM {R.items(d)} i WHERE section = 'retrieval_chunks'")
@@ -197,7 +223,16 @@ def _sanitized(d):
     cols = {"name": "title", "label": "title", "title": "title", "statement": "body", "definition": "body", "description": "body", "decision": "body", "condition": "title", "compressed_knowledge": "body", "standalone_context": "context", "type": "context"}
     used = ("entities", "concepts", "decision_rules", "retrieval_chunks", "atomic_units")
     fields = [(s, f, cols[f], r) for s, f, r in P.FIELD_ROLES if s in used and f in cols]
-    return PM.sanitize(d, PM.field_rows(d, R.items(d) + " i", "pkg", fields), "pkg")
+    fine = f"(section = 'retrieval_chunks' AND {PM.valid_chunk(d, 'body', 'context')} AND n_refs > 0 AND n_excerpts > 0)"
+    return PM.sanitize(d, PM.field_rows(d, f"(SELECT *, {fine} AS fine FROM {R.items(d)} i0) i", "pkg", fields, "fine"), "pkg")
+
+
+@query("sn1_duplicates")
+def _near_copies(d):
+    """SN1's second phase over what the first one keeps: the items of each section that are near copies of one kept before."""
+    text = "CASE section WHEN 'atomic_units' THEN body ELSE title || ' ' || body END"
+    kept = f"(SELECT i.pkg, i.section, i.ord, {text.replace('section', 'i.section')} AS x FROM {R.items(d)} i JOIN (SELECT pkg AS p, section AS s, ord AS o FROM ({_sanitized(d)}) z0 WHERE reason IS NULL) z ON i.pkg = z.p AND i.section = z.s AND i.ord = z.o WHERE i.section IN ('decision_rules', 'retrieval_chunks', 'atomic_units'))"
+    return f"SELECT pkg, section, ord, CASE WHEN near THEN 'near_duplicate' END AS reason FROM {DD.kept_apart(d, kept + ' j', 'pkg, section', 'ord', 'x', 'x')} k"
 
 
 query("sn1_sanitize")(_sanitized)
@@ -249,12 +284,31 @@ query("bm4_scored")(lambda d: f"SELECT task_key, {d.half_even(BM.overlap(d, 'res
 query("bm5_polarity")(lambda d: f"SELECT task_key, {BM.polarity(d, 'response')} AS pol, {BM.polarity(d, 'gold')} AS gold_pol FROM {R.results(d)} r")
 query("bm6_turn_overlap")(lambda d: f"SELECT conv_id, turn, {d.half_even(BM.overlap(d, 'text', 'before'), 6)} AS overlap FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) c WHERE before IS NOT NULL")
 query("bm7_classify")(lambda d: f"SELECT task_key, pol_gold, pol_resp, {d.half_even('overlap', 6)} AS overlap, label, confidence FROM ({BM.classify(d, R.results(d) + ' r1', 'task_key')}) k")
-query("bm10_families")(lambda d: f"SELECT model_spec, n, {BM.family(d, d.first('model_spec', r'^([^:]+):', 1), d.first('model_spec', r'^[^:]+:(.*)\z', 1))} AS family FROM (SELECT CASE p_size % 3 WHEN 0 THEN 'openrouter:meta/llama' WHEN 1 THEN 'Mock:yes' ELSE 'together:qwen/two' END AS model_spec, count(*) AS n FROM part GROUP BY 1) m")
+MODELS = ["anthropic:one", "openai:two", "google:three", "mock:yes", "openai:gpt-5", "openai:gpt-5-mini"]
+
+
+def _models(d):
+    return f"(SELECT CASE p_size % {len(MODELS)} " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MODELS)) + " END AS model_spec, count(*) AS n FROM part GROUP BY 1)"
+
+
+query("bm10_families")(lambda d: f"SELECT model_spec, n, {BM.family(d, *BM.spec(d, 'model_spec'))} AS family, {BM.temperature(d, BM.spec(d, 'model_spec')[1], d.real('0.2'))} AS temperature FROM {_models(d)} m")
+query("fl12_judge_family")(lambda d: BM.judge_conflicts(d, _models(d) + " m0", ["openai:judge", "google:judge", "other:judge", "mock:judge"]))
+
+
+@query("bm3_queries")
+def _asked(d):
+    tasks = BM.tasks(d, R.cases(d), ["mock:yes"], P.QUERY_TYPES, 1)
+    asked = BM.query_text(d, "t.query_type", "c.query", "CASE WHEN c.n_probes = 1 THEN '' ELSE 'Is ' || c.raw_text || ' exempt?' END", f"'Probe ' || {d.text('t.query_index')} || ' of ' || c.case_id")
+    gold = BM.scoring_gold("t.query_type", "c.gold", "'No exemption.'")
+    return f"SELECT t.task_key, {asked} AS asked, {gold} AS gold, {BM.prompt_name('t.query_type', "CASE WHEN c.complexity_level = 1 THEN 'standard' ELSE 'minimal' END")} AS prompt FROM ({tasks}) t JOIN {R.cases(d)} c ON t.case_id = c.case_id"
+
+
+query("bm9_agreement")(lambda d: f"SELECT model_spec, count(*) AS n, {d.count_if('label = judged')} AS agreed FROM (SELECT model_spec, label, CASE WHEN length(case_id) % 2 = 0 THEN label ELSE 'other' END AS judged FROM {_labelled(d)} x) y GROUP BY model_spec")
 query("bm12_violations")(lambda d: BM.violations(d, R.cases(d), "case_id"))
 query("bm13_parity")(lambda d: f"SELECT coalesce(a.case_id, b.case_id) AS case_id, CASE WHEN b.case_id IS NULL THEN 'missing_translation' ELSE 'extra_translation' END AS problem FROM (SELECT case_id FROM {R.cases(d)} c WHERE n_probes <> 1) a FULL OUTER JOIN (SELECT case_id FROM {R.cases(d)} c WHERE n_probes <> 2) b ON a.case_id = b.case_id WHERE a.case_id IS NULL OR b.case_id IS NULL")
 query("bm16_resume")(lambda d: f"SELECT t.task_key FROM ({BM.tasks(d, R.cases(d), ['mock:yes'], ['primary'], 2)}) t LEFT ANTI JOIN (SELECT task_key FROM {R.results(d)} r) p ON t.task_key = p.task_key" if d.name == "spark" else f"SELECT t.task_key FROM ({BM.tasks(d, R.cases(d), ['mock:yes'], ['primary'], 2)}) t ANTI JOIN (SELECT task_key FROM {R.results(d)} r) p ON t.task_key = p.task_key")
 query("bm17_export")(lambda d: f"SELECT case_id, {d.sha256('raw_text')} AS raw_sha256, {d.sha256('gold')} AS gold_sha256, length(raw_text) AS raw_chars FROM {R.cases(d)} c")
-query("hp16_http_errors")(lambda d: f"SELECT o_orderkey, {BM.http_error(d, 'status', 'body')} AS error_class FROM (SELECT o_orderkey, cast(CASE o_orderkey % 6 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 429 WHEN 3 THEN 402 WHEN 4 THEN 400 ELSE 503 END AS int) AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'Schema too complex' ELSE 'bad request' END AS body FROM orders) o")
+query("hp16_http_errors")(lambda d: f"SELECT o_orderkey, {BM.http_error(d, 'status', 'body')} AS error_class FROM (SELECT o_orderkey, cast(CASE o_orderkey % 7 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 429 WHEN 3 THEN 402 WHEN 4 THEN 400 WHEN 5 THEN 400 ELSE 503 END AS int) AS status, CASE o_orderkey % 4 WHEN 0 THEN 'Schema with lots of properties' WHEN 1 THEN 'Invalid JSON schema' WHEN 2 THEN 'schema too complex' ELSE 'bad request' END AS body FROM orders) o")
 
 
 @query("bm8_judge_json")

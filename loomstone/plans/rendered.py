@@ -132,3 +132,62 @@ def page_text(d: Dialect) -> str:
     x = d.sub(x, r"(?i)</?(p|div|br|li|ul|tr|h1|h2|article|nav|head|title)[^>]*>", "\n")
     x = d.sub(x, r"<[^>]+>", "")
     return f"(SELECT page_id, {d.first('url', r'^[a-z]+://([^/:?#]+)', 1)} AS host, {x} AS text FROM pages)"
+
+
+def package_md(d: Dialect) -> str:
+    """One readable package per part, all 22 sections: items that fit their form, items that do not, items without a tag, and every seventh one with a section twice."""
+    k = d.text("p_partkey")
+    even = lambda a, b: f"CASE WHEN p_partkey % 2 = 0 THEN {a} ELSE {b} END"
+    tag = lambda i, conf="0.80", refs="s_001, s_002": f"' _[{i} | Explicit | c={conf} | {refs}]_'"
+    parts = [
+        f"'# Package of ' || p_name", "'> Compiled with **local** - model `none` - CKF v1.0'", "''",
+        "'## 1. Core intent'", f"'**Primary purpose:** Explain part ' || {k}", "'**Intended user:** clerks'", "'**Key value:** fewer returns'", "'**Intended agent use:**'", "'- answer questions'", "'- check orders '", "''",
+        "'## 2. Domain map'", "'**Main domain:** retail'", "'**Subdomains:** ' || p_brand || ', ' || p_type", "'**Adjacent:** logistics, , law'", "''",
+        "'## 3. Entities (3)'", f"'### ' || p_name || ' _(part)_' || {tag('e_001')}", "'A part that is sold.'", "'It has a brand.'", "'_Aliases:_ item, piece,'", "'_Relations:_ made by -> **' || p_brand || '**, broken, sold in -> **' || p_type || '**'", f"'### Plain entity _[e_002]_'", "'### Third _[not a tag]_'", "'Alone.'", "''",
+        "'## 4. Concept graph'", f"'### Size ' || {d.text('p_size')} || {tag('c_001', '1')}", "'How large'", "''", "'a part is.'", "''",
+        "'## 5. Principles (2)'", f"'- Weigh each part.' || {tag('p_001')}", "'- Second principle,'", f"'  in two lines of ' || {k}", "'no bullet at all'", "''", "'  lost line'",
+        "'## 6. Heuristics'", f"'- **When** part ' || {k} || ' is late -> **do** call | _avoid:_ waiting' || {tag('h_001', '.5')}", "'- **When** stock is low -> **do** reorder'", "'- just a remark'",
+        "'## 7. Decision rules'", f"'- IF price exceeds ' || {d.money('p_retailprice')} || ' THEN ask THEN wait _(policy)_' || {tag('dr_001')}", "'- a rule without form _(why not)_'",
+        "'## 8. Procedures'", f"'### Return' || {tag('pr_001')}", "'_Objective:_ get it back'", "'1. Check it.'", "'2. Send it.'", "'3) not a step'", "'### Empty'",
+        "'## 9. Patterns'", "'- **Peaks** — each spring _[pt_001]_'", "'- **Lows** -'", "'- no form'",
+        "'## 10. Antipatterns'", "'- **Guessing** - inventing ' || p_brand || ' data _(fails because nobody checks)_ _[ap_001 | inferred]_'", "'- guess _(fails because of this)_'",
+        "'## 11. Causal chains'", "'- delay -> refund -> loss (by contract)'", "'- only a cause (mechanism)'",
+        "'## 12. Contextual triggers'", "'- _When_ `late ' || p_type || '` -> look it up _[ct_001 | c=0.3]_'", "'- always'",
+        "'## 13. IF-THEN rules'", "'- if small then post it _(cheap)_'", "'- otherwise'",
+        "'## 14. Exceptions and edge cases'", "'- _Rule:_ no returns | _Exception:_ broken ' || p_type", "'- none'",
+        "'## 15. Mental models'", "'- **Shelf** - parts age - slowly'", "'- **Open'",
+        "'## 16. Operational playbooks'", "'### Recall _[pb_001 | synthesized | s_003]_'", "'_Objective:_ first'", "'_Objective:_ second aim'", "'1. Stop sales.'",
+        "'## 17. Q&A pairs'", f"'- **Q:** What is part ' || {k} || '?'", "'  **A:** It is a ' || p_type || '. _[qa_001 | explicit]_'", "'- **Q:** One line? **A:** Yes.'", "'- a question alone?'",
+        "'## 18. Retrieval chunks (1)'", f"'### Chunk ' || {k} || {tag('rc_001')}", "'Text of the chunk.'", "'More text.'",
+        "'## 19. Atomic units (2)'", "'- _[numeric_fact]_ It costs ' || " + d.money("p_retailprice") + " || '. _[au_001 | c=x | s_009]_'", "'- untyped unit'",
+        "'## 20. Agent instructions'", "'**Behavior rules**'", "'- be kind'", "'- be brief'", "'**Tool usage**'", "'- use the scale'", "'**Behavior rules**'", f"'- last form ' || {k}", "'**Other**'", "'- ignored'",
+        "'## 21. Knowledge limits'", "'- before any label'", "'**Missing context**'", "'- the weight'", "'**Needs human review**'",
+        "'## 22. Source traceability'", "'### e_001 — page 3'", "'> The part is sold.'", "'>  Twice.'", "'### p_001 - page 4'", "'no quote'", "'### h_001'", "'> call them'", "'### rc_001 — end'", "'> chunk of ' || p_name",
+        "'## 23. Unknown section'", "'- nothing'", even("'## 24. Principles'", "'### tail'"), even("'- The last form of principles. _[p_009 | uncertain | c=0.25]_'", "'text'"),
+    ]
+    return f"(SELECT p_partkey AS doc_id, {f' || {NL} || '.join(parts)} AS text FROM part)"
+
+
+def placed_words(d: Dialect) -> str:
+    """Positioned text of one document per order, a word per line item, over two pages, with a running head on each."""
+    cells = f"""SELECT l_orderkey AS doc_id, cast(1 + l_linenumber % 2 AS int) AS page, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, w) AS int) AS place, CASE w WHEN 1 THEN CASE WHEN l_partkey % 3 = 0 THEN 'Sent by rail.' ELSE 'Sent By Road' END WHEN 2 THEN lower(l_returnflag) || ' of ' || {d.text('l_partkey')} ELSE '' END AS str,
+        CASE WHEN l_quantity > 40 THEN 14.0 WHEN l_quantity < 5 THEN NULL ELSE 10.0 END AS height, CASE WHEN l_quantity < 3 THEN NULL ELSE 9.5 END AS scale, CASE WHEN w = 1 THEN 40.0 ELSE 30.0 END AS width, cast(50 + w * (40 + l_suppkey % 2) AS double) AS x, cast(700 - l_linenumber * 15 - (l_partkey % 3) * (w % 2) * 1.25 - CASE WHEN l_suppkey % 4 = 0 THEN 20 ELSE 0 END AS double) AS y FROM lineitem c0 CROSS JOIN {d.rows(['w'], [['1'], ['2'], ['3']])} v0"""
+    heads = f"SELECT o_orderkey AS doc_id, cast(p AS int) AS page, 0 AS place, 'Order file ' || {d.text('p')} AS str, 10.0 AS height, NULL AS scale, 60.0 AS width, 50.0 AS x, 780.0 AS y FROM orders c1 CROSS JOIN {d.rows(['p'], [['1'], ['2']])} v1"
+    return f"(SELECT * FROM ({cells}) c2 UNION ALL SELECT * FROM ({heads}) c3)"
+
+
+def book_md(d: Dialect) -> str:
+    """One text with headings of all kinds per order."""
+    k = d.text("o_orderkey")
+    parts = ["'Before any heading.'", "''", f"'Chapter ' || {d.text('1 + o_orderkey % 9')} || ': Orders'", f"'Order ' || {k} || ' opens it.'", "''", f"'A second paragraph on customer ' || {d.text('o_custkey')} || '.'", "'-----'", "'After the rule.'", f"'1.2.3 Details of order ' || {k}", "'Deep text.'", "''", "''", "''", "''", "'Deeper text.'", "'GENERAL TERMS'", "'Terms of ' || o_orderpriority || '.'", "'# Top heading'", "'#### Far below'", "'End of ' || o_orderstatus || '.'"]
+    return f"(SELECT o_orderkey AS doc_id, {f' || {NL} || '.join(parts)} AS text FROM orders)"
+
+
+def loose_entities(d: Dialect) -> str:
+    """Entities of one package per customer whose names differ by a word, by case or by an alias only."""
+    k = d.text("o_orderkey")
+    names = ["'North river shipping carrier company'", "'north  River Shipping Carrier'", "'NRSC'", "'South lake depot'", f"'Clerk of customer ' || {d.text('o_custkey')}", "'North river shipping carrier company limited'", "'The depot'"]
+    alias = ["'NR carrier'", "''", "'North River shipping carrier company'", "'the  depot'", "''", "'Big carrier'", "''"]
+    case = lambda v: "CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(v)) + " END"
+    return f"""(SELECT o_custkey AS pkg, o_orderkey AS ord, {case(names)} AS name, 'Seen in order ' || {k} || CASE WHEN o_orderkey % 3 = 0 THEN ' and described at length' ELSE '' END AS description, {case(alias)} AS alias,
+        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE {d.real('0.5')} + (o_orderkey % 10) / {d.real('20')} END AS confidence, CASE o_orderkey % 4 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'inferred' WHEN 2 THEN 'explicit' ELSE 'odd' END AS basis, {d.fmt('s_%03d', '1 + o_orderkey % 3')} AS ref, 'order  ' || {d.text('o_orderkey % 5')} AS excerpt FROM orders)"""

@@ -72,3 +72,145 @@ def test_results_do_not_depend_on_partitions(spark, sf):
         got.append(sorted(map(repr, C.queries()["dd8_fuzzy_leaders"](spark, sf).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+# ---- the engine's rules on cases worked out by hand, against the reference's behaviour and not the other engine's ----
+def rows_of(spark, sql, view, df):
+    df.createOrReplaceTempView(view)
+    return spark.sql(sql).collect()
+
+
+PACKAGE = """# Parts
+
+## 3. Entities (2)
+### Gear box _(part)_ _[e_001 | Explicit | c=0.90 | s_001, s_002]_
+Turns things.
+And more.
+_Aliases:_ box, gears,
+_Relations:_ made by -> **Mill**, broken
+### Lone _[not a tag]_
+
+## 5. Principles
+- First one. _[p_001 | c=.5]_
+- Second,
+  in two lines
+lost line
+
+  lost too
+## 7. Decision rules
+- IF hot THEN cool THEN wait _(policy)_ _[dr_001]_
+- a rule _(why)_
+## 10. Anti-patterns
+- guess _(fails because nobody checks)_
+## 17. Q&A pairs
+- **Q:** What?
+  **A:** That. _[qa_001 | inferred | s_003]_
+- **Q:** One? **A:** Line.
+## 19. Embedding-ready atomic units
+- _[rule]_ Be kind.
+- untyped
+## 20. Agent instructions
+**Tool usage**
+- the scale
+**Behavior rules**
+- one
+**Behavior rules**
+- two
+## 22. Source traceability
+### e_001 - page 3
+> Turns
+> things.
+### p_001
+no quote
+## 5. Principles
+### no bullet
+- Last form. _[p_002 | s_009 | s_010]_
+"""
+
+
+def test_readable_package(spark):
+    from loomstone.sources import readable as R
+
+    df = spark.createDataFrame([(1, PACKAGE)], "doc_id int, text string")
+    got = {(r["section"], r["n"]): (r["item_id"], r["basis"], r["confidence"], r["refs"], r["f1"], r["f2"], r["f3"]) for r in rows_of(spark, R.bullet_rows(SPARK, "pkg_in", "doc_id"), "pkg_in", df)}
+    assert got == {
+        ("principles", 1): ("p_002", None, None, "s_009,s_010", "Last form.", "", ""),
+        ("decision_rules", 1): ("dr_001", None, None, "", "hot", "cool THEN wait", "policy"),
+        ("decision_rules", 2): (None, None, None, "", "a rule", "", "why"),
+        ("anti_patterns", 1): (None, None, None, "", "guess _(fails because nobody checks)_", "", "nobody checks"),
+        ("qa_pairs", 1): ("qa_001", "inferred", None, "s_003", "What?", "That.", ""),
+        ("qa_pairs", 2): (None, None, None, "", "One?", "Line.", ""),
+        ("atomic_units", 1): (None, None, None, "", "rule", "Be kind.", ""),
+        ("atomic_units", 2): (None, None, None, "", "fact", "untyped", ""),
+    }
+    heads = [tuple(r)[3:] for r in rows_of(spark, R.headed_rows(SPARK, "pkg_in", "doc_id") + " ORDER BY n", "pkg_in", df)]
+    assert heads == [("e_001", "explicit", 0.9, "s_001,s_002", "Gear box", "part", "Turns things. And more.", "box\ngears", "made by -> Mill"), (None, None, None, "", "Lone _[not a tag]_", "", "", "", "")]
+    lists = {r["list_name"]: r["items"] for r in rows_of(spark, R.group_lists(SPARK, "pkg_in", "doc_id"), "pkg_in", df)}
+    assert lists == {"behavior_rules": "two", "tool_usage_guidance": "the scale", "reasoning_rules": "", "response_rules": "", "forbidden_behaviors": "", "preferred_questions": ""}
+    assert [tuple(r)[2:5] for r in rows_of(spark, R.traceability(SPARK, "pkg_in", "doc_id"), "pkg_in", df)] == [("e_001", "page 3", "Turns\nthings.")]
+    assert {r["item_id"]: r["excerpt"] for r in rows_of(spark, R.package_items(SPARK, "pkg_in", "doc_id"), "pkg_in", df) if r["excerpt"]} == {"e_001": "Turns\nthings."}
+
+
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ("Text _[h_001 | explicit | c=0.9 | s_001, s_002]_", ("h_001", "explicit", 0.9, "s_001, s_002", "Text")),
+        ("Text _[draft/final]_", (None, None, None, "", "Text _[draft/final]_")),
+        ("Text _[x_7]_", ("x_7", None, None, "", "Text")),
+        ("Text _[Inferred | E_2 | q_3]_", ("E_2", "inferred", None, "q_3", "Text")),
+    ],
+)
+def test_trace_tags(spark, line, want):
+    from loomstone.sources import markup as M
+
+    df = spark.createDataFrame([(line,)], "x string")
+    assert tuple(df.selectExpr(*[f"{v} AS {k}" for k, v in M.trace_tag(SPARK, "x").items()]).first()) == want
+
+
+def test_families_and_http_errors(spark):
+    from loomstone.operators import harness as H
+
+    fam = spark.createDataFrame([(p,) for p in ("anthropic", "openai", "google", "mock", "openrouter")], "p string").selectExpr(H.family(SPARK, "p", "p") + " AS f")
+    assert [r["f"] for r in fam.collect()] == ["claude", "gpt", "gemini", "mock", "openrouter"]
+    cases = [(400, "too many states for serving", "schema_too_complex"), (400, "Schema too complex", "provider_error"), (400, "Invalid JSON schema", "schema_too_complex"), (429, "", "rate_limit"), (402, "", "payment"), (403, "", "auth"), (200, "unknown name", None), (500, "unknown name", "provider_error")]
+    got = spark.createDataFrame([(s, b) for s, b, _ in cases], "s int, b string").selectExpr(H.http_error(SPARK, "s", "b") + " AS e").collect()
+    assert [r["e"] for r in got] == [w for _, _, w in cases]
+
+
+def test_fuzzy_clusters(spark):
+    """By key, by alias, by an alias that a merge brought in, by likeness; the first leader wins."""
+    from loomstone.operators import dedup as D
+
+    names = [("North river carrier", ["NRC"]), ("north  RIVER carrier", []), ("nrc", ["The northern one"]), ("the Northern one", []), ("South depot", []), ("north river carrier limited", []), ("Far away", ["south depot"]), ("of the", [])]
+    df = spark.createDataFrame([(1, i, n, a) for i, (n, a) in enumerate(names)], "pkg int, ord long, name string, aliases array<string>")
+    got = {r["ord"]: r["leader"] for r in rows_of(spark, D.clusters(SPARK, "ents", "pkg", "ord", "name", "aliases", 0.7), "ents", df)}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 0, 6: 4, 7: 7}
+
+
+def test_valid_chunks_pass_uninspected(spark):
+    """A chunk whose body and provenance are sound stays, whatever its title; one without provenance is inspected."""
+    from loomstone.operators import promote as PM
+
+    df = spark.createDataFrame([(1, 1, "Order vs.", "The clerk signs the form before it is sent to the office.", True), (1, 2, "Order vs.", "The clerk signs the form before it is sent to the office.", False)], "pkg int, ord int, title string, body string, fine boolean")
+    df = df.selectExpr("*", "'retrieval_chunks' AS section", "'x' AS id")
+    rows = PM.field_rows(SPARK, "chunks_in i", "pkg", [("retrieval_chunks", "title", "title", "title"), ("retrieval_chunks", "compressed_knowledge", "body", "substantive")], "fine")
+    assert {r["ord"]: r["reason"] for r in rows_of(spark, PM.sanitize(SPARK, rows, "pkg"), "chunks_in", df)} == {1: None, 2: "truncated"}
+
+
+def test_headed_sections(spark):
+    from loomstone.operators import segment as S
+
+    text = "Lead.\n# Top\nA.\n### Deep\nB.\n---\nC.\n## Mid\nD.\nPART ONE OF IT\nE."
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = [(r["path"], r["heading"], r["text"]) for r in rows_of(spark, S.headed_sections(SPARK, "secs_in", "doc_id") + " ORDER BY sec", "secs_in", df)]
+    assert got == [("document", None, "Lead."), ("Top", "Top", "# Top\nA."), ("Top > … > Deep", "Deep", "### Deep\nB."), ("Top > … > Deep", "Deep", "C."), ("Top > Mid", "Mid", "## Mid\nD."), ("Top > PART ONE OF IT", "PART ONE OF IT", "PART ONE OF IT\nE.")]
+
+
+def test_page_lines(spark):
+    """Items join the line whose first item is within two points, whatever lies between; gaps above one point are spaces."""
+    from loomstone.sources import layout as L
+
+    items = [(1, "b", 10.0, 5.0, 30.0, 699.0), (2, "a", 12.0, 5.0, 10.0, 700.0), (3, "c", 10.0, 5.0, 35.5, 698.0), (4, "d", None, 5.0, 10.0, 697.9), (5, "", 9.0, 5.0, 10.0, 500.0)]
+    df = spark.createDataFrame([(1, 1, p, s, h, 11.0, w, x, y) for p, s, h, w, x, y in items], "doc_id int, page int, place int, str string, height double, scale double, width double, x double, y double")
+    got = sorted((r["line_no"], r["text"], r["y"], r["height"]) for r in rows_of(spark, f"SELECT * FROM {L.page_lines(SPARK, 'words_in', 'doc_id')} p", "words_in", df))
+    assert got == [(1, "a bc", 700.0, 12.0), (2, "d", 697.9, 11.0)]
