@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,9 +35,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the context's; one of our own only where both are unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's. Only where driver and executors are one
+    process may both be unset: then a folder of this machine is set."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="loomstone-shared-")
         sc.setCheckpointDir(base)

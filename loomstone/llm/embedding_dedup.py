@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import _text as X
-from loomstone.llm._runtime import components, ship, write_table
+from loomstone.llm._runtime import components, drop_table, ship, write_table
 
 SUBSPACES, CODES = 8, 64
 
@@ -152,7 +152,7 @@ def _tiles(sizes: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
     return first, pieces
 
 
-def _search(reps: DataFrame, cosine: float, sample: int, margin: float, cell: int, per_list: int) -> DataFrame:
+def _search(reps: DataFrame, cosine: float, sample: int, margin: float, cell: int, per_list: int, scratch: list[str]) -> DataFrame:
     """(id, n, low) parts: found neighbours (weighted by copies) of id in a pair of tiles, and the forest's edge to low if any."""
     spark = reps.sparkSession
     radius = float(np.sqrt(2 - 2 * cosine))
@@ -175,7 +175,8 @@ def _search(reps: DataFrame, cosine: float, sample: int, margin: float, cell: in
                 )
 
     row = "list int, id long, copies long, unit binary, codes binary, err double"
-    rows, _ = write_table(reps.select("id", "copies", "unit").mapInArrow(X.tidy(encode), row))
+    rows, rows_at = write_table(reps.select("id", "copies", "unit").mapInArrow(X.tidy(encode), row))
+    scratch.append(rows_at)
     sizes = np.zeros(len(index.coarse), np.int64)
     for r in rows.groupBy("list").count().collect():  # a row a list
         sizes[r["list"]] = r["count"]
@@ -249,24 +250,29 @@ def links(embeddings: DataFrame, cosine: float = 0.9, sample: int = 16_384, marg
     spark = embeddings.sparkSession
     ship(spark)
     src = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows, _ = write_table(src.mapInArrow(X.tidy(_prepare), ROW))
+    rows, rows_at = write_table(src.mapInArrow(X.tidy(_prepare), ROW))
+    scratch = [rows_at]
     valid = rows.where("key IS NOT NULL AND vec_id IS NOT NULL")
     groups = valid.groupBy("dim", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     reps = valid.join(groups.select("dim", "key", F.col("id").alias("vec_id"), "copies"), ["dim", "key", "vec_id"]).groupBy("dim", F.col("vec_id").alias("id")).agg(F.max("copies").alias("copies"), F.max("unit").alias("unit"))
     found = None
     for r in groups.select("dim").distinct().collect():
-        part = _search(reps.where(F.col("dim") == r["dim"]), cosine, sample, margin, cell, per_list)
+        part = _search(reps.where(F.col("dim") == r["dim"]), cosine, sample, margin, cell, per_list, scratch)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], "id long, n long, low long")
-    found, _ = write_table(found)
+    found, found_at = write_table(found)
+    scratch.append(found_at)
     count = found.groupBy("id").agg(F.sum("n").alias("found"))
     comp = components(found.where("low IS NOT NULL").select(F.col("id").alias("a"), F.col("low").alias("b")))
     out = rows.join(groups, ["dim", "key"], "left").join(count, "id", "left").join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
     component = F.when(F.col("id").isNull() | F.col("vec_id").isNull(), F.col("vec_id")).otherwise(F.coalesce("component", "id"))
-    return out.select(
+    done, _ = write_table(out.select(
         "vec_id",
         F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("found", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
-    )
+    ))
+    for at in scratch:
+        drop_table(spark, at)
+    return done

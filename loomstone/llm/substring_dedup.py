@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import _text as X
-from loomstone.llm._runtime import ship, write_table
+from loomstone.llm._runtime import drop_table, ship, write_table
 
 _GEAR = (X.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 CHUNK_SCHEMA = "row_key long, doc_id long, start int, length int, d1 long, d2 long"
@@ -110,7 +110,7 @@ def spans(documents: DataFrame, min_run: int = 96, across_documents: bool = True
     that Spark can split; the grouping itself combines before it shuffles. Chunks are stored, as both sides of the join
     must see the same row keys.
     """
-    c, _ = write_table(chunks(documents, **chunking))
+    c, chunks_at = write_table(chunks(documents, **chunking))
     seen = c.groupBy("d1", "d2").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "start")).alias("first"), F.min("row_key").alias("low"), F.max("row_key").alias("high")
     )
@@ -128,7 +128,9 @@ def spans(documents: DataFrame, min_run: int = 96, across_documents: bool = True
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"),
         F.sum("dup").alias("dup_bytes"), F.when(F.count("first_doc") == F.count("*"), F.min("first_doc")).alias("first_doc_id"), F.max("n").alias("n_copies"),
     )
-    return runs.where(F.col("end") - F.col("start") >= min_run).drop("run")
+    out, _ = write_table(runs.where(F.col("end") - F.col("start") >= min_run).drop("run"))
+    drop_table(documents.sparkSession, chunks_at)
+    return out
 
 
 def remove(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -153,8 +153,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_scan, CANDIDATE)
 
 
-def reachable(links: DataFrame) -> DataFrame:
-    """(file, at) of the links (file, at, next, size) that lie on the chain from offset 0, by pointer jumping.
+def reachable(links: DataFrame) -> tuple[DataFrame, str]:
+    """The table, and its path, of (file, at) of the links (file, at, next, size) that lie on the chain from offset 0, by pointer jumping.
 
     Each round doubles the reach of the pointers: from the marked links those that a pointer leads to are marked, and each
     pointer becomes its pointer's pointer. After round r all links up to 2**r steps from the start are marked.
@@ -173,15 +173,16 @@ def reachable(links: DataFrame) -> DataFrame:
         drop_table(spark, mpath)
         jump, path, marked, mpath = far, fpath, nxt, npath
         if now == total:
-            return marked
+            drop_table(spark, path)
+            return marked, mpath
         total = now
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives in folder path, verified: page_id, payload_bytes and payload_digest of the full payload,
     record_type, refers_to. Fails if a chain does not end at its file's end or a payload does not have its stated digest."""
-    found, _ = write_table(candidates(spark, path))
-    chain = reachable(found)
+    found, found_at = write_table(candidates(spark, path))
+    chain, chain_at = reachable(found)
     kept = found.join(chain, ["file", "at"])
     ends = found.select("file", "size").distinct().join(chain.withColumn("size", F.col("at")), ["file", "size"], "left_anti")
     if not ends.isEmpty():
@@ -192,7 +193,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     revisits = revisits.join(responses, "payload_digest", "left").select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     own = kept.where("record_type != 'revisit'")
     checked = F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest at "), "file", F.lit(":"), F.col("at").cast("string"))).cast("string"))
-    return own.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to").unionByName(revisits)
+    out, _ = write_table(own.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to").unionByName(revisits))
+    for at in (found_at, chain_at):
+        drop_table(spark, at)
+    return out
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
