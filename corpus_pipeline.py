@@ -1,8 +1,12 @@
 """Corpus pipeline over `documents`: STAGES in order, each by one training-data operator, each on all that the one before kept.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and reads it again.
-A document is a row: stages that drop rows write their input with a row key first and decide by that key, so rows without a
-doc_id or with a shared one are judged by their own text. Only the shard is by doc_id, which drops nothing.
+A document is a row: stages that drop rows decide by a row key (the file and place of a row of a Parquet table; anything else is
+written with one first), so rows without a doc_id or with a shared one are judged by their own text. Only the shard is by
+doc_id, which drops nothing.
+
+In every stage an empty table gives an empty result, very long texts are read whole, columns that are not used are kept whatever
+their names, and a null source or lang is a value like others.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ def _without(rows: DataFrame, rejected: DataFrame, columns: list[str]) -> DataFr
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores below 0.5."""
+    """Documents that the toxicity model scores below 0.5. Null and empty texts have the score of a text without evidence, which
+    is that of clean ones; equal texts are kept or dropped alike; a score of exactly 0.5 rejects."""
     rows = keyed(docs)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(rows, toxicity.score(_by_row(rows), model).where("predicted = 1"), docs.columns)
@@ -46,7 +51,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id, one
-    without a doc_id only if none has it, and of several rows with that doc_id the first."""
+    without a doc_id only if none has it, and of several rows with that doc_id the first by row key. Rows without text or words
+    link with nothing and all stay."""
     rows = keyed(docs)
     found, _ = write_table(jaccard_join.classes(_by_row(rows), k=5, num=8, den=10).select(F.col("doc_id").alias("row_key"), "component_id"))
     named = found.join(rows.select("row_key", "doc_id"), "row_key")
@@ -56,7 +62,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a 10-word window of a benchmark item."""
+    """Documents without a 10-word window of a benchmark item (or all words of a shorter one). Null and empty texts have none and
+    stay; equal texts are kept or dropped alike; items without text have no windows."""
     rows = keyed(docs)
     found = decontamination.matches(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
     return _without(rows, found.where("n_hit > 0"), docs.columns)
@@ -64,7 +71,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources have equal shares of the bytes. The first row of a doc_id draws its count by
-    the doc_id, others and those without one by their row key as well: one draw never decides on several documents."""
+    the doc_id, others and those without one by their row key as well: one draw never decides on several documents. A null or
+    empty text counts one byte; all rows without a source are one source."""
     rows = keyed(docs)
     ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high")
     again = rows.select("doc_id", "row_key").join(ids.select("doc_id", "low"), "doc_id").where("row_key > low")
@@ -74,7 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard of 16, by doc_id."""
+    """Documents with their shard of 16, by doc_id: rows that share one, or have none, share a shard. A column `shard` is replaced."""
     return sharding.assign(docs, [1.0] * 16)
 
 
