@@ -148,8 +148,10 @@ class Spark(Dialect):
         return f"date_format({ts}, 'yyyy-MM-dd')"
 
     def explode(self, rel, cols, arr, item="item", pos="pos"):
-        """SELECT cols, 1-based pos and item from a relation with an array expression."""
-        return f"(SELECT {cols}, {pos}_ + 1 AS {pos}, {item}_ AS {item} FROM {rel} LATERAL VIEW posexplode({arr}) AS {pos}_, {item}_)"
+        """SELECT cols, 1-based pos and item from a relation with an array expression.
+
+        Outer, and empty ones left out afterwards: else the array is worked out once more for a filter below, and once more to be exploded."""
+        return f"(SELECT {cols}, {pos}_ + 1 AS {pos}, {item}_ AS {item} FROM {rel} LATERAL VIEW OUTER posexplode({arr}) AS {pos}_, {item}_ WHERE {pos}_ IS NOT NULL)"
 
     def json_text(self, x, key):
         """The string at a key of a JSON object text, null unless it is a string."""

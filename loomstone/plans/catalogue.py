@@ -35,13 +35,13 @@ def query(name: str):
     return put
 
 
-#: Tables of texts; below so many bytes they are dealt out to all cores first, as a small file is one task whatever its cores.
-TEXTS, SMALL_BYTES = ("documents", "pages", "conversations"), 256 << 20
+#: Tables of so many bytes are dealt out to all cores first: a small file is one task whatever its cores, and the work is in the texts.
+SMALL_BYTES = (100_000, 256 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXTS and 1 << 20 < int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES:
+    if SMALL_BYTES[0] < int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES[1]:
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
