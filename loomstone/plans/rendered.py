@@ -140,7 +140,7 @@ def package_md(d: Dialect) -> str:
     even = lambda a, b: f"CASE WHEN p_partkey % 2 = 0 THEN {a} ELSE {b} END"
     tag = lambda i, conf="0.80", refs="s_001, s_002": f"' _[{i} | Explicit | c={conf} | {refs}]_'"
     parts = [
-        f"'# Package of ' || p_name", "'> Compiled with **local** - model `none` - CKF v1.0'", "''",
+        f"'# Package of ' || p_name", "'> Compiled locally'", "''",
         "'## 1. Core intent'", f"'**Primary purpose:** Explain part ' || {k}", "'**Intended user:** clerks'", "'**Key value:** fewer returns'", "'**Intended agent use:**'", "'- answer questions'", "'- check orders '", "''",
         "'## 2. Domain map'", "'**Main domain:** retail'", "'**Subdomains:** ' || p_brand || ', ' || p_type", "'**Adjacent:** logistics, , law'", "''",
         "'## 3. Entities (3)'", f"'### ' || p_name || ' _(part)_' || {tag('e_001')}", "'A part that is sold.'", "'It has a brand.'", "'_Aliases:_ item, piece,'", "'_Relations:_ made by -> **' || p_brand || '**, broken, sold in -> **' || p_type || '**'", f"'### Plain entity _[e_002]_'", "'### Third _[not a tag]_'", "'Alone.'", "''",
