@@ -83,6 +83,31 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key with more than 1 / HOT_SHARE of all rows (and HOT_ROWS) is hot: there are HOT_SHARE of them at most, so they can be broadcast.
+HOT_SHARE, HOT_ROWS = 20_000, 1000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
+    """The keys of counts (key, n; one row a key, sums of n at most total) that spread_join() deals over several tasks, with the
+    number of these, as a broadcast table of HOT_SHARE rows at most; None where no key is hot."""
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    if total <= most:
+        return None
+    hot, _ = write_table(counts.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("long").alias("_tasks")))
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, by: str) -> DataFrame:
+    """many joined with one, which has one row a key at most. Rows of a hot key are dealt over several tasks by the column `by`,
+    and its row of one goes to each of them."""
+    if hot is None:
+        return many.join(one, key)
+    left = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_tasks")), F.lit(0).cast("long"))).drop("_tasks")
+    last = F.coalesce("_tasks", F.lit(1).cast("long")) - 1
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_tasks")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list, as (id, component) with component = the smallest id reachable.
 
@@ -97,11 +122,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
     cur, path = write_table(cur)
-    seen = None
+    seen, n_edges = None, cur.count()
     while True:
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # The centre of a large star has as many rows as the star.
+        hot = hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u", "n", 2 * n_edges)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = spread_join(both, low, "u", hot, "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = (
@@ -117,6 +144,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         cur, path = nxt, npath
         if tuple(state) == seen:
             break
-        seen = tuple(state)
+        seen, n_edges = tuple(state), state[0]
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import _text as X
-from loomstone.llm._runtime import components, drop_table, ship, write_table
+from loomstone.llm._runtime import HOT_ROWS, HOT_SHARE, components, drop_table, hot_keys, ship, spread_join, write_table
 
 SLICE = 1 << 19
 _PIECES = 256
@@ -35,8 +35,8 @@ RANGES, CELL = 256, 1024
 BROADCAST_IDS = 200_000
 #: Most candidate documents that are looked for by a bitmap.
 MAP_IDS = 1 << 24
-#: A set with more than 1 / HOT_SHARE of all documents (and HOT_ROWS) is joined by broadcast: there are HOT_SHARE at most.
-HOT_SHARE, HOT_ROWS = 20_000, 1000
+#: Pairs that one step of _cells() looks at.
+STEP = 1 << 17
 
 
 def _sets(b: pa.RecordBatch, k: int, kind: str, pick=None) -> Iterator[tuple[int, np.ndarray]]:
@@ -215,43 +215,88 @@ def _far(num: int, den: int):
 def _cells(posts: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs (a, b) of classes that share a token, lie in different components and pass the filters.
 
-    posts: (token, id, n, pos, component, sig, df). A token's classes are cut into blocks of CELL at most and compared block by
-    block on the executors; only what passes all filters is emitted, so no list of all pairs is ever made."""
-    nb = F.ceil(F.col("df") / CELL).cast("int")
-    x = posts.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    x = x.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "pos", "component", "sig")
-
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
-        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("own", "id", "n", "pos", "component")}
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, RANGES)
-        left, right = np.flatnonzero(col["own"] == key[1].as_py()), np.flatnonzero(col["own"] == key[2].as_py())
-        out = []
-        for lo in range(0, len(left), 64):
-            a, b = (v.ravel() for v in np.meshgrid(left[lo : lo + 64], right, indexing="ij"))
-            na, nb_ = col["n"][a], col["n"][b]
-            total = na + nb_
-            ok = (col["component"][a] != col["component"][b]) & (np.minimum(na, nb_) * den >= np.maximum(na, nb_) * num)
-            ok &= np.minimum(na - col["pos"][a], nb_ - col["pos"][b]) >= -(-num * total // (den + num))
-            if key[1] == key[2]:
-                ok &= col["id"][a] < col["id"][b]
+    posts: (token, id, n, pos, component, sig, df, main). A token's classes are cut into blocks of about CELL and compared block
+    by block on the executors; only what passes all filters is emitted, so no list of all pairs is ever made. Of a token with
+    more classes than CELL those of its largest component, `main`, are compared with the others only, so one that a large group of
+    copies shares costs as much as the classes outside that group."""
+    split = F.col("df") > CELL
+    x = posts.withColumn("in_main", split & (F.col("component") == F.col("main")))
+    blocks = lambda rows: F.ceil(rows / CELL).cast("int")
+    x = x.withColumn("nm", F.when(split, blocks(F.col("n_main"))).otherwise(0)).withColumn("ns", F.when(split, blocks(F.col("df") - F.col("n_main"))).otherwise(1))
+    x = x.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("nm")).otherwise(F.col("ns"))).cast("int"))
+    # Cells (mixed = false, i <= j) hold two blocks of the others, cells (mixed = true, i, j) one of the others and one of main.
+    x = x.withColumn("to", F.explode(F.sequence(F.lit(0), F.when(F.col("in_main"), F.col("ns")).otherwise(F.col("ns") + F.col("nm")) - 1)))
+    x = x.withColumn("mixed", F.col("in_main") | (F.col("to") >= F.col("ns")))
+    i = F.when(F.col("in_main"), F.col("to")).when(F.col("mixed"), F.col("own")).otherwise(F.least("own", "to"))
+    j = F.when(F.col("in_main"), F.col("own")).when(F.col("mixed"), F.col("to") - F.col("ns")).otherwise(F.greatest("own", "to"))
+    x = x.withColumn("i", i).withColumn("j", j).withColumn("second", F.col("in_main") | (~F.col("mixed") & (F.col("own") > F.col("i"))))
+    cell = ["token", "mixed", "i", "j"]
+    x = x.select(*cell, "second", "id", "n", "pos", "component", "sig").repartition(*cell).sortWithinPartitions(*cell, "second")
+
+    def compare(t: pa.RecordBatch, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of whole cells, given where each starts: rows of a cell's first block with those of its second, or with the
+        rows after them where it has one block only."""
+        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("second", "id", "n", "pos", "component")}
+        sig = X.buffers(t.column("sig"))[0].reshape(-1, RANGES)
+        size = np.diff(np.append(starts, t.num_rows))
+        rows, end, firsts = np.arange(t.num_rows), np.repeat(starts + size, size), np.add.reduceat(~col["second"], starts, dtype=np.int64)
+        alone = (t.column("mixed").to_numpy(zero_copy_only=False) == False) & (t.column("i").to_numpy() == t.column("j").to_numpy())  # noqa: E712
+        begin = np.where(alone, rows + 1, np.repeat(starts + firsts, size))
+        many = np.where(col["second"], 0, end - begin)
+        upto = np.concatenate([[0], np.cumsum(many)])
+        lo = 0
+        while lo < t.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + STEP, "right")) - 1)
+            c = many[lo:hi]
+            a = np.repeat(rows[lo:hi], c)
+            b = np.repeat(begin[lo:hi] - (upto[lo:hi] - upto[lo]), c) + np.arange(len(a))
+            na, nb = col["n"][a], col["n"][b]
+            total = na + nb
+            ok = (col["component"][a] != col["component"][b]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+            ok &= np.minimum(na - col["pos"][a], nb - col["pos"][b]) >= -(-num * total // (den + num))
             a, b, total = a[ok], b[ok], total[ok]
-            for at in range(0, len(a), 1 << 15):
-                p, q = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-                near = _close(sig[p], sig[q], total[at : at + (1 << 15)], num, den)
+            for at in range(0, len(a), 1 << 14):
+                p, q = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                near = _close(sig[p], sig[q], total[at : at + (1 << 14)], num, den)
                 p, q = col["id"][p[near]], col["id"][q[near]]
-                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        if len(sig) > 512:
-            X.release()
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+                if len(p):
+                    yield np.stack([np.minimum(p, q), np.maximum(p, q)])
+            lo = hi
 
-    return x.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def pairs(t: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for p in compare(t, starts):
+                yield pa.RecordBatch.from_arrays([pa.array(p[0], pa.int64()), pa.array(p[1], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for c in cell:
+                v = b.column(c).to_numpy(zero_copy_only=False)
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(new)
+            # The last cell may go on in the next batch.
+            if starts[-1]:
+                yield from pairs(b.slice(0, starts[-1]), starts[:-1])
+            held = b.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from pairs(held, np.zeros(1, np.int64))
+
+    return x.mapInArrow(X.tidy(run), "a long, b long").distinct()
 
 
 def _links(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. The side with few pairs for each set goes first."""
-    left = pairs.join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """The pairs (a, b) whose whole sets are similar enough; the pairs of a document with many are dealt over several tasks."""
+    n = pairs.count()
+    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), c, "n", n) for c in ("a", "b")}
+    left = spread_join(pairs, tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b", hot["b"], "a")
+    both = spread_join(left, tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a", hot["a"], "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(X.tidy(_verify(num, den)), "a long, b long")
 
 
@@ -290,17 +335,19 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
     posts = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     half = lambda salt: F.sum(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 32)))
     # Narrow rows find the tokens of several classes; only those classes' rows go on, and stay where their token is.
-    several = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    posts, several_at = write_table(posts.join(several, "token"))
+    several, several_at = write_table(posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    hot_tokens = hot_keys(several, "token", "df", several.agg(F.sum("df")).first()[0] or 0)
+    posts, met_at = write_table(spread_join(posts, several, "token", hot_tokens, "id"))
     shared = posts.groupBy("token").agg(F.max("df").alias("df"), F.min(F.struct("id", "pos")).alias("lead"), half(1).alias("h1"), half(2).alias("h2"))
     # Tokens with the same classes say the same: of them the first in the common order stays, whose places bound the overlap.
     shared = shared.groupBy("df", F.col("lead.id").alias("lead"), "h1", "h2").agg(F.min_by("token", "lead.pos").alias("token"))
     shared, shared_at = write_table(shared.select("token", "df"))
-    posts, posts_at = write_table(posts.join(shared.select("token"), "token"))
+    posts, posts_at = write_table(spread_join(posts, shared.select("token"), "token", hot_tokens, "id"))
     drop_table(spark, several_at)
+    drop_table(spark, met_at)
     sigs = reps.select("id", "sig")
 
-    def fits(p: DataFrame) -> DataFrame:
+    def fits(p: DataFrame, hot: DataFrame | None) -> DataFrame:
         """Length and positional filters on (a, na, pa, b, nb, pb), then one row per pair, then the suffix filter."""
         small, large = F.least("na", "nb"), F.greatest("na", "nb")
         need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
@@ -308,7 +355,8 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
         # At a later common token than the first the bound counts only what follows, so it may speak only for the pair's first.
         p = p.where(small * den >= large * num)
         p = p.groupBy("a", "b").agg(F.max(bound).alias("bound"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("bound") >= need)
-        p = p.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+        p = p.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+        p = spread_join(p, sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a", hot, "b")
         return p.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(X.tidy(_far(num, den)), "a long, b long")
 
     comp, tried, scratch = None, None, [posts_at, shared_at, others_at, heads_at, rows_at]
@@ -317,14 +365,20 @@ def classes(documents: DataFrame, k: int = 5, num: int = 8, den: int = 10, kind:
         if rnd < stars:
             # Compare with the token's leader: the smallest class, in later rounds that of the component with the largest number.
             pick = F.min(F.struct("id", "n", "pos", "component")) if rnd == 0 else F.max(F.struct("component", "id", "n", "pos"))
-            lead = tagged.groupBy("token").agg(pick.alias("l"))
-            p = tagged.join(lead, "token").where("component != l.component")
+            lead, lead_at = write_table(tagged.groupBy("token").agg(pick.alias("l"), F.count("*").alias("df")))
+            scratch.append(lead_at)
+            led = lead.groupBy(F.col("l.id").alias("a")).agg(F.sum("df").alias("n"))
+            hot_leads = hot_keys(led, "a", "n", lead.agg(F.sum("df")).first()[0] or 0)
+            p = spread_join(tagged.drop("df"), lead.select("token", "l"), "token", hot_tokens, "id").where("component != l.component")
             p = p.select(F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.pos").alias("pa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+            p = fits(p, hot_leads)
         else:
-            # Only tokens whose classes are in several components still.
-            open_ = tagged.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-            p = tagged.join(open_, "token").join(sigs, "id")
-        p = (fits(p) if rnd < stars else _cells(p, num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            # Only tokens whose classes are in several components still, with the component that has most of them.
+            shares = tagged.groupBy("token", "component").agg(F.count("*").alias("n"))
+            open_ = shares.groupBy("token").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("df"), F.count("*").alias("parts")).where("parts > 1")
+            open_ = open_.select("token", "df", F.col("top.n").alias("n_main"), F.col("top.component").alias("main"))
+            p = _cells(spread_join(tagged.drop("df"), open_, "token", hot_tokens, "id").join(sigs, "id"), num, den)
+        p = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         # What an earlier round verified is not verified again.
         pairs, pairs_at = write_table(p if tried is None else p.join(tried, ["a", "b"], "left_anti"))
         scratch.append(pairs_at)

@@ -643,3 +643,33 @@ def test_words_that_a_polynomial_would_confuse():
     s, e, _ = _text.words(data, np.array([0, len(raw)]), _text.word_bytes("alnum"))
     h = _text.range_hashes(data, s, e).tolist()
     assert h[0] == h[4] and len(set(h)) == 4
+
+
+def test_jaccard_join_splits_hot_tokens(spark, monkeypatch):
+    """Tokens, leaders, pairs and stars beyond the bound of one task, and tokens with more classes than a cell."""
+    from loomstone.llm import _runtime
+
+    monkeypatch.setattr(_runtime, "HOT_ROWS", 20)
+    monkeypatch.setattr(_runtime, "HOT_SHARE", 50)
+    monkeypatch.setattr(jaccard_join, "CELL", 16)
+    monkeypatch.setattr(jaccard_join, "STEP", 64)
+    base = prose(120, 5).split()
+    rows = [(i, " ".join([*base[:60], f"own{i}", *base[60:], f"end{i}"]), "a") for i in range(90)]
+    rows += [(100 + i, " ".join([*base[:40], *prose(80, 300 + i).split()]), "a") for i in range(40)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    want = brute_components([tuple(r) for r in docs.collect()], 3, 90, 100)
+    assert len({c for _, c in want.values()}) > 40
+    for stars in (0, 1):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(docs, 3, 90, 100, stars=stars).collect()}
+        assert got == want
+
+
+def test_spread_join(spark, monkeypatch):
+    from loomstone.llm import _runtime
+
+    monkeypatch.setattr(_runtime, "HOT_ROWS", 3)
+    many = spark.createDataFrame([(0, i) for i in range(50)] + [(k, k) for k in range(1, 20)], "k long, v long")
+    one = spark.createDataFrame([(k, -k) for k in range(15)], "k long, w long")
+    hot = _runtime.hot_keys(many.groupBy("k").agg(F.count("*").alias("n")), "k", "n", many.count())
+    assert [r["k"] for r in hot.collect()] == [0]
+    assert sorted(map(tuple, _runtime.spread_join(many, one, "k", hot, "v").collect())) == sorted(map(tuple, many.join(one, "k").collect()))
