@@ -151,3 +151,20 @@ def violations(d: Dialect, rel: str, key: str) -> str:
 def http_error(d: Dialect, status: str, body: str) -> str:
     """HP16: the error class of an HTTP status."""
     return f"CASE WHEN {status} IN (401, 403) THEN 'auth' WHEN {status} = 429 THEN 'rate_limit' WHEN {status} = 402 THEN 'payment' WHEN {status} = 400 AND {d.has(body, P.SCHEMA_ERROR)} THEN 'schema_too_complex' WHEN {status} >= 400 THEN 'provider_error' END"
+
+
+def cost(d: Dialect, tasks: str, prices: dict[str, tuple[float, float]], judge: str = "", other: tuple[float, float] = (5.0, 15.0), system_chars: int = 0) -> str:
+    """AG19: calls, tokens and price in dollars of tasks (model_spec, query_type, context, asked, query, gold), with those of a judge.
+
+    A token is four characters. prices are per million tokens in and out, by model; one with a date at its end has the price of
+    the name before it, one without a price that of `other`. Probes are not judged."""
+    used = f"SELECT model_spec AS spec, floor(({system_chars} + length(context) + length(asked) + 100) / 4.0) AS t_in, 200 AS t_out FROM {tasks} t"
+    if judge:
+        used += f" UNION ALL SELECT {d.lit(judge)}, floor((length(query) + length(gold) + 2000) / 4.0), 100 FROM {tasks} j WHERE query_type <> 'local_probe'"
+    table = d.rows(["known", "p_in", "p_out"], [[d.lit(k), d.real(a), d.real(b)] for k, (a, b) in prices.items()])
+    names = ", ".join(d.lit(k) for k in prices)
+    dated = d.first("spec", r"^(.*)-202", 1)
+    price_key = f"CASE WHEN spec IN ({names}) OR {dated} = '' THEN spec ELSE {dated} END"
+    dollars = f"({d.real('tokens_in')} * coalesce(p_in, {d.real(other[0])}) + {d.real('tokens_out')} * coalesce(p_out, {d.real(other[1])})) / 1000000"
+    return f"""SELECT spec AS model_spec, calls, tokens_in, tokens_out, {d.half_even(dollars, 2)} AS estimated_cost_usd
+    FROM (SELECT spec, {price_key} AS price_key, count(*) AS calls, cast(sum(t_in) AS bigint) AS tokens_in, cast(sum(t_out) AS bigint) AS tokens_out FROM ({used}) u GROUP BY spec) c LEFT JOIN {table} p ON c.price_key = p.known"""

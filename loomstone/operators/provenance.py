@@ -38,6 +38,24 @@ def enrich(d: Dialect, rows: str, manifest: str, key: str) -> str:
     return f"SELECT t.{key}, t.extracted_item_id, t.ref_no, t.source_location, m.source_type, m.path, m.text_sha256, m.source_id IS NOT NULL AS located FROM {rows} t LEFT JOIN {manifest} m ON t.{key} = m.{key} AND t.source_location = m.source_id"
 
 
+def enriched(d: Dialect, rows: str, manifest: str, key: str) -> str:
+    """TR3 with all fields: rows (basis, confidence) that a manifest entry matches take its record, file, path and places, and
+    'explicit' and 1 where they say nothing of their own; the others stay as they are."""
+    places = ", ".join(f"m.{c} AS source_{c}" for c in ("path", "line_start", "line_end", "char_start", "char_end"))
+    return f"""SELECT t.{key}, t.extracted_item_id, t.ref_no, t.source_location, m.source_record_id, m.source_file, {places},
+    CASE WHEN m.source_id IS NULL THEN t.basis ELSE coalesce(nullif(t.basis, ''), 'explicit') END AS source_basis,
+    CASE WHEN m.source_id IS NULL THEN t.confidence ELSE coalesce(t.confidence, {d.real('1')}) END AS confidence
+    FROM {rows} t LEFT JOIN {manifest} m ON t.{key} = m.{key} AND t.source_location = m.source_id"""
+
+
+def synthesized(d: Dialect, items: str, traced: str, key: str) -> str:
+    """TR4: trace rows for packages that list none (traced: the keys of those that do). An item with an id gives its first ref,
+    its first excerpt that is not blank and its basis; one with neither ref nor excerpt gives no row."""
+    return f"""SELECT {key}, id AS extracted_item_id, CASE WHEN n_refs > 0 THEN ref ELSE 'document' END AS source_location, coalesce(excerpt, '') AS source_excerpt, coalesce(basis, 'uncertain') AS extraction_type
+    FROM (SELECT i.{key}, i.id, i.basis, {d.size('i.refs')} AS n_refs, {d.at('i.refs', 1)} AS ref, {d.at(d.keep('i.excerpts', lambda x: f"{T.trim(d, x)} <> ''"), 1)} AS excerpt
+          FROM {items} i LEFT JOIN {traced} t ON i.{key} = t.{key} WHERE t.{key} IS NULL AND i.id <> '') a WHERE n_refs > 0 OR excerpt IS NOT NULL"""
+
+
 def numeric_check(d: Dialect, items: str, key: str, x: str = "body", source: str = "source") -> str:
     """NG1, NG2: every numeric literal of an item's text: exact in its source, the start of a longer literal there, or neither.
 

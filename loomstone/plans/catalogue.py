@@ -238,6 +238,22 @@ def _near_copies(d):
 query("sn1_sanitize")(_sanitized)
 query("sn1_reject_counts")(lambda d: f"SELECT section, field, reason, count(*) AS n FROM ({_sanitized(d)}) s GROUP BY section, field, reason")
 
+
+
+@query("sn5_language_recovery")
+def _recovered(d):
+    """Packages that call themselves Portuguese or English, the language their verdicts give them, and what a second pass in it rejects."""
+    own = "CASE WHEN pkg % 3 = 0 THEN 'pt' ELSE 'en' END"
+    cols = {"statement": "body", "definition": "body", "description": "body"}
+    fields = [(s, f, cols[f], r) for s, f, r in P.FIELD_ROLES if s in ("atomic_units", "concepts", "entities") and f in cols]
+    rows = PM.field_rows(d, R.items(d) + " i", "pkg", fields)
+    detected = f"(SELECT pkg, {own} AS language, language AS detected FROM ({PR.guessed_language(d, R.items(d) + ' i', 'pkg')}) g)"
+    found = f"({PM.recovery(d, f"({PM.sanitize(d, rows, 'pkg', own)})", detected, 'pkg')})"
+    again = f"(SELECT f.*, r.language_after FROM {rows} f JOIN (SELECT pkg AS rk, language_after FROM {found} r0 WHERE applied) r ON f.pkg = r.rk)"
+    left = f"(SELECT pkg AS k, {d.count_if('reason IS NOT NULL')} AS rejected_after FROM ({PM.sanitize(d, again, 'pkg', 'language_after')}) s GROUP BY pkg)"
+    return f"SELECT pkg, language, detected, language_after, applied, rejected, mismatches, restored, coalesce(rejected_after, rejected) AS rejected_after FROM {found} f LEFT JOIN {left} l ON f.pkg = l.k"
+
+
 # ---- identity, provenance, numeric integrity ----
 query("id1_ids")(lambda d: TR.stable_ids(d, R.items(d) + " i", "pkg"))
 query("id2_missing_ids")(lambda d: TR.missing_ids(d, R.items(d) + " i", "pkg"))
@@ -246,6 +262,18 @@ query("tr2_trace_rows")(lambda d: TR.trace_rows(d, R.items(d) + " i", "pkg"))
 query("tr3_enrich")(lambda d: TR.enrich(d, f"({TR.trace_rows(d, R.items(d) + ' i', 'pkg')})", f"(SELECT pkg, span_id AS source_id, 'document' AS source_type, path, {d.sha256('text')} AS text_sha256 FROM {R.spans(d)} s WHERE span_id <> 's_003')", "pkg"))
 
 
+
+@query("tr3_all_fields")
+def _enriched(d):
+    rows = f"(SELECT pkg, id AS extracted_item_id, n AS ref_no, ref AS source_location, CASE WHEN ord % 2 = 0 THEN '' ELSE basis END AS basis, confidence FROM {d.explode(f'(SELECT pkg, id, ord, basis, confidence, refs FROM {R.items(d)} i0 WHERE id IS NOT NULL) i', 'pkg, id, ord, basis, confidence', 'refs', 'ref', 'n')} x)"
+    place = "cast(right(span_id, 1) AS int)"
+    manifest = f"(SELECT pkg, span_id AS source_id, 'r_' || {d.text('pkg')} AS source_record_id, 'customers.md' AS source_file, path, {place} * 10 AS line_start, {place} * 10 + 2 AS line_end, {place} * 100 AS char_start, {place} * 100 + length(text) AS char_end FROM {R.spans(d)} s WHERE span_id <> 's_003')"
+    return TR.enriched(d, rows, manifest, "pkg")
+
+
+query("tr4_synthesized")(lambda d: TR.synthesized(d, f"(SELECT pkg, id, CASE WHEN ord % 4 = 0 THEN NULL ELSE basis END AS basis, refs, {d.array(d.lit(' '), 'excerpt')} AS excerpts FROM {R.items(d)} i0)", "(SELECT DISTINCT pkg FROM " + R.items(d) + " t0 WHERE pkg % 4 = 0)", "pkg"))
+
+
 def _numeric_items(d):
     cut = f"CASE WHEN s.pkg % 3 = 0 THEN '$' || {d.money('c_acctbal * 1000')} WHEN s.pkg % 3 = 1 THEN '$' || {d.first(d.money('c_acctbal * 1000'), r'^[^,.]+', 0)} ELSE '$77,777.77' END"
     return f"(SELECT s.pkg, 'au_' || s.span_id AS id, 'The balance is ' || {cut} || ' today, as of 2024-05-06.' AS body, s.text AS source FROM {R.spans(d)} s JOIN customer c ON s.pkg = c.c_custkey WHERE s.span_id = 's_001')"
@@ -278,6 +306,15 @@ query("ag17_summary")(lambda d: BM.summary(d, _labelled(d), "model_spec, conditi
 query("ag18_rollup")(lambda d: f"SELECT model_spec, condition, count(*) AS n, {d.count_if(f'label = {d.lit('correct')}')} AS correct FROM {_labelled(d)} x GROUP BY ROLLUP (model_spec, condition)")
 query("ag19_cost")(lambda d: f"SELECT model_spec, count(*) AS calls, cast(sum(floor((length(raw_text) + length(query) + 100) / 4)) AS bigint) AS tokens_in, cast(sum(200) AS bigint) AS tokens_out FROM (SELECT t.model_spec, c.raw_text, c.query FROM ({BM.tasks(d, R.cases(d), ['a:one', 'b:two'], P.QUERY_TYPES, 2)}) t JOIN {R.cases(d)} c ON t.case_id = c.case_id) q GROUP BY model_spec")
 
+
+
+@query("ag19_priced")
+def _priced(d):
+    tasks = BM.tasks(d, R.cases(d), ["mock:yes", "openai:large-2024-08-06", "other:one"], P.QUERY_TYPES, 2)
+    rows = f"(SELECT t.model_spec, t.query_type, c.raw_text AS context, c.query AS asked, c.query, c.gold FROM ({tasks}) t JOIN {R.cases(d)} c ON t.case_id = c.case_id)"
+    return BM.cost(d, rows, {"mock:yes": (0.0, 0.0), "openai:large": (2.5, 10.0)}, "openai:judge", system_chars=400)
+
+
 # ---- evaluation harness ----
 query("bm1_tasks")(lambda d: BM.tasks(d, R.cases(d), ["mock:yes", "mock:no"], P.QUERY_TYPES, 2))
 query("bm4_scored")(lambda d: f"SELECT task_key, {d.half_even(BM.overlap(d, 'response', 'gold'), 6)} AS overlap, CASE WHEN {BM.overlap(d, 'response', 'gold')} >= 0.4 THEN 'probe_pass' ELSE 'probe_fail' END AS probe FROM {R.results(d)} r")
