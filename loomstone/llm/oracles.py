@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loomstone.llm import secret_scan
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,4 +57,53 @@ WARC = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first_id FROM p)
 SELECT page_id, strlen(x)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
 
-SQL = {"op3_embedding_dedup": EMBEDDINGS, "op4_decontamination": DECONTAMINATION, "op8_jaccard_join": JACCARD, "op9_mixing": MIXING, "op10_warc": WARC}
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Whole numbers as doubles: all products and sums of the tables stay far below 2^53, so they are exact."""
+    near = "SELECT rid, p, min({{'d': list_inner_product(y, y) - 2 * list_inner_product(y, c) + list_inner_product(c, c), 'k': k}}) AS m FROM part JOIN b{0} USING (p) GROUP BY rid, p"
+    ctes = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(e, lambda c: floor({scale} * c)) AS x FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v"
+        " WHERE e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)",
+        f"part AS MATERIALIZED (SELECT rid, p, x[1 + p * (len(x) // {parts}):(p + 1) * (len(x) // {parts})] AS y FROM kept, (SELECT unnest(range({parts})) AS p) q)",
+        f"b0 AS MATERIALIZED (SELECT p, rid - 1 AS k, y AS c FROM part WHERE rid <= {entries})",
+    ]
+    for i in range(rounds):
+        ctes += [
+            f"a{i} AS MATERIALIZED ({near.format(i)})",
+            f"s{i} AS (SELECT p, k, list(v ORDER BY i) AS c FROM (SELECT p, m.k AS k, i, floor(sum(y[i]) / count(*)) AS v FROM (SELECT a{i}.p, m, y, unnest(generate_series(1, len(y))) AS i FROM a{i} JOIN part USING (rid, p)) u GROUP BY p, m.k, i) w GROUP BY p, k)",
+            f"b{i + 1} AS MATERIALIZED (SELECT b{i}.p, b{i}.k, coalesce(s{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN s{i} ON b{i}.p = s{i}.p AND b{i}.k = s{i}.k)",
+        ]
+    ctes += [
+        f"a AS MATERIALIZED ({near.format(rounds)})",
+        "o AS (SELECT rid, string_agg(printf('%02x', m.k), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a GROUP BY rid)",
+        f"h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, k)) AS h FROM b{rounds})",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN o USING (rid), h"
+
+
+def _secrets() -> str:
+    """Each kind's matches are set between marks (a character that no expression takes) and the text is cut there: every second piece
+    is a match, and the lengths of the pieces before are its place."""
+    either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    kinds = [("assign", rf"""({either})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2), ("access", "AKIA[A-Z0-9]+", 16, 0), ("hex", "[0-9a-f]+", 32, 0)]
+    kinds += [(kind, pattern, 0, 0) for kind, pattern, *_ in secret_scan.MORE]
+    quoted = [(k, p.replace("'", "''"), n, g) for k, p, n, g in kinds]
+    cut = " UNION ALL ".join(f"SELECT rid, {i} AS r, string_split(regexp_replace(t, '({p})', chr(2) || '\\1' || chr(2), 'g'), chr(2)) AS pieces FROM docs" for i, (_, p, _, _) in enumerate(quoted))
+    fine = " ".join(f"WHEN {i} THEN length({f"regexp_extract(piece, '{p}', {g})" if g else 'piece'}) >= {n}" for i, (_, p, n, g) in enumerate(quoted))
+    named = " ".join(f"WHEN {i} THEN '{k}'" for i, (k, *_) in enumerate(quoted))
+    one = f"CASE r {named} END || ':' || a || ':' || z"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, replace(coalesce(text, ''), chr(2), chr(3)) AS t FROM documents),
+pieces AS (SELECT rid, r, unnest(pieces) AS piece, unnest(range(len(pieces))) AS n FROM ({cut}) c WHERE len(pieces) > 1),
+placed AS (SELECT rid, r, piece, n, sum(length(piece)) OVER (PARTITION BY rid, r ORDER BY n)::BIGINT AS z FROM pieces),
+found AS (SELECT rid, r, z - length(piece) AS a, z FROM placed WHERE n % 2 = 1 AND CASE r {fine} END),
+per AS (SELECT rid, count(*) FILTER (WHERE r = 0) AS n0, count(*) FILTER (WHERE r = 1) AS n1, count(*) FILTER (WHERE r = 2) AS n2, string_agg({one}, ',' ORDER BY a, r) FILTER (WHERE r < 3) AS base, string_agg({one}, ',' ORDER BY a, r) AS spans FROM found GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per USING (rid)"""
+
+
+SQL = {
+    "op3_embedding_dedup": EMBEDDINGS, "op4_decontamination": DECONTAMINATION, "op8_jaccard_join": JACCARD, "op9_mixing": MIXING, "op10_warc": WARC,
+    "op11_vector_codes": _codes(), "op13_secret_scan": _secrets(),
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontamination, embedding_dedup, jaccard_join, language_id, mixing, oracles, sharding, substring_dedup, token_counts, toxicity, warc
+from loomstone.llm import decontamination, embedding_dedup, jaccard_join, language_id, mixing, oracles, secret_scan, sharding, substring_dedup, token_counts, toxicity, vector_codes, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,23 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(_table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings coded over integer codebooks of 4 parts and 256 entries after 4 rounds."""
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the first 16 whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    return secret_scan.digest(secret_scan.spans(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_embedding_dedup, op4_decontamination, op5_language_id, op6_toxicity, op7_token_counts, op8_jaccard_join, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_embedding_dedup, op4_decontamination, op5_language_id, op6_toxicity, op7_token_counts, op8_jaccard_join, op9_mixing, op10_warc, op11_vector_codes, op12_whitening, op13_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
