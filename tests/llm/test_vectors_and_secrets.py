@@ -85,7 +85,7 @@ def test_codes_of_unequal_lengths_and_huge_components(spark):
     got = vector_codes.encode(vectors(spark, rows), entries=4)
     assert sorted(map(tuple, got.collect()), key=repr) == coded(rows, entries=4)
     got = vector_codes.encode(vectors(spark, [(1, [1e30, 0.0], 4), (2, [-1e30, 0.0], 4), (3, [0.5, 0.5], 5)]), parts=2, entries=1, rounds=1)
-    assert {r["vec_id"]: (r["error"], r["label_error"]) for r in got.collect()} == {1: (None, None), 2: (None, None), 3: (None, None)}
+    assert {r["vec_id"]: (r["error"], r["label_error"]) for r in got.collect()} == {1: (None, None), 2: (None, None), 3: (2 * (512 - 170) ** 2,) * 2}
 
 
 def test_codes_take_the_first_of_equal_entries(spark):
