@@ -16,8 +16,10 @@ from loomstone.operators import harness as BM
 from loomstone.operators import profile as PR
 from loomstone.operators import promote as PM
 from loomstone.operators import provenance as TR
+from loomstone.operators import reduce as RE
 from loomstone.operators import report as AG
 from loomstone.operators import segment as SG
+from loomstone.plans import oracles as OR
 from loomstone.plans import rendered as R
 from loomstone.sources import layout as LA
 from loomstone.sources import markup as IO
@@ -54,12 +56,27 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+#: Queries whose Spark side is DataFrame code, and the SQL that they are checked against.
+PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+PLAN_SQL: dict[str, Callable[[], str]] = {}
+
+
+def plan(name: str, sql: Callable[[], str] | None = None):
+    def put(f):
+        PLANS[name] = f
+        if sql:
+            PLAN_SQL[name] = sql
+        return f
+
+    return put
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, sf_dir, f=f: run(spark, sf_dir, f(SPARK))) for k, f in BUILDERS.items()}
+    return {k: (lambda spark, sf_dir, f=f: run(spark, sf_dir, f(SPARK))) for k, f in BUILDERS.items()} | PLANS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f(DUCK) for k, f in BUILDERS.items()}
+    return {k: f(DUCK) for k, f in BUILDERS.items()} | {k: f() for k, f in PLAN_SQL.items()}
 
 
 def sentences(d: Dialect, rel: str, key: str) -> str:
@@ -205,6 +222,15 @@ query("dd10_fuzzy_concepts")(lambda d: DD.fuzzy_merge(d, R.loose_entities(d) + "
 query("dd15_kept_apart")(lambda d: f"SELECT * FROM {DD.kept_apart(d, f"(SELECT pkg, ord, body FROM {R.items(d)} i0 WHERE section = 'retrieval_chunks') i", 'pkg', 'ord', 'body', 'body')} k")
 query("dd11_relations")(lambda d: DD.relations(d, f"(SELECT pkg, ord, title AS name, basis AS relation FROM {R.items(d)} i0 WHERE section = 'entities') i", "pkg", "ord"))
 query("dd12_trace_merge")(lambda d: DD.merge_traces(d, f"(SELECT pkg, ord, ref, basis, confidence FROM {R.items(d)} i0 WHERE section = 'concepts') i", "pkg", "ord"))
+query("dd17_package")(lambda d: RE.package_fields(d, R.package_texts(d)))
+
+
+@plan("dd17_reduce", OR.reduced)
+def _reduced(spark, sf_dir):
+    """All partial packages of all customers reduced to one package each."""
+    return RE.reduce(run(spark, sf_dir, f"SELECT * FROM {R.partials(SPARK)} p")).withColumnRenamed("ord", "place").selectExpr(*OR.columns(SPARK))
+
+
 query("dd14_longest")(lambda d: DD.longest(d, R.items(d) + " i", "pkg, section", "ord", "body"))
 
 # ---- promotion, coverage, sanitation ----

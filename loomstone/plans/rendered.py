@@ -191,3 +191,38 @@ def loose_entities(d: Dialect) -> str:
     case = lambda v: "CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(v)) + " END"
     return f"""(SELECT o_custkey AS pkg, o_orderkey AS ord, {case(names)} AS name, 'Seen in order ' || {k} || CASE WHEN o_orderkey % 3 = 0 THEN ' and described at length' ELSE '' END AS description, {case(alias)} AS alias,
         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE {d.real('0.5')} + (o_orderkey % 10) / {d.real('20')} END AS confidence, CASE o_orderkey % 4 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'inferred' WHEN 2 THEN 'explicit' ELSE 'odd' END AS basis, {d.fmt('s_%03d', '1 + o_orderkey % 3')} AS ref, 'order  ' || {d.text('o_orderkey % 5')} AS excerpt FROM orders)"""
+
+
+def partials(d: Dialect) -> str:
+    """Partial packages of customers, all 17 sections: each order is a partial with items of some of them, many of them alike."""
+    k, c = d.text("o_orderkey"), d.text("o_custkey")
+    none = "cast(NULL AS varchar)" if d.name == "duckdb" else "cast(NULL AS string)"
+    said = ["'Review each order of the north region before shipping'", "'Review each order of the north region before it ships'", "'review  each ORDER of the north region, before shipping'", f"'Archive the signed contract of customer ' || {c}", f"'Archive the signed contract of customer ' || {c} || ' and carrier'", "'If the status is open, then the clerk must review it'", "''"]
+    more = ["'It lowers the number of returns'", "'It lowers the number of late returns'", none, f"'Seen in order ' || {k}"]
+    units = [
+        "'First check the parcel, then ship it and finally file the receipt.'", f"'Order ' || {k} || ' is not a replacement for the contract.'", "'Use the standard carrier instead of a courier unless the client objects.'",
+        "'The team should confirm an order when the amount is high.'", "'The workflow has steps: 1. Check the order. 2. Ship the parcel. 3. Ask.'", f"'Plain fact on customer ' || {c} || '.'", "'Courier mail is not a contract.'",
+    ]
+    pick = lambda v, by, shift=0: f"CASE ({by} + {shift}) % {len(v)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(v)) + " END"
+    link = lambda kind, value, relation=none: d.struct(kind=f"'{kind}'", value=value, relation=relation)
+    names = pick(["'North river shipping carrier company'", "'north  River Shipping Carrier'", "'NRSC'", "'South lake depot'", f"'Clerk of customer ' || {c}", "'North river shipping carrier company limited'", "'The depot'"], "o_orderkey")
+    alias = pick(["'NR carrier'", "''", "'North River shipping carrier company'", "'the  depot'", "''", "'Big carrier'", "'NRSC'"], "o_orderkey")
+    no_links = d.keep(d.array(link("alias", "''")), lambda v: "false", "z")
+    lists = {"entities": d.array(link("alias", alias), link("attribute", pick(["'large'", "'Large'", "'old'"], "o_orderkey")), link("related", "'Depot'", pick(["'owns'", "'OWNS'", "'rents'"], "o_orderkey"))), "concepts": d.array(*(link(kind, pick(["'Status'", "'status '", "'Price'", "''"], "o_orderkey", i)) for i, kind in enumerate(["depends_on", "supports", "contradicts", "enables", "risks"])))}
+    out = []
+    for i, section in enumerate(["entities", "concepts", "principles", "heuristics", "decision_rules", "procedures", "patterns", "anti_patterns", "causal_chains", "contextual_triggers", "if_then_rules", "exceptions", "mental_models", "playbooks", "qa_pairs", "retrieval_chunks", "atomic_units"]):
+        a = names if section == "entities" else pick(units, "o_orderkey", i) if section == "atomic_units" else pick(said, "o_orderkey", i)
+        b = pick([units[3], f"{units[1]} || ' ' || {units[2]}", units[0]], "o_orderkey") if section == "retrieval_chunks" else pick(more, "o_orderkey", i)
+        steps = d.array("'Check it.'", pick(["'Ship it.'", "'Send it.'"], "o_orderkey")) if section in ("procedures", "playbooks") else d.empty()
+        out.append(f"""SELECT o_custkey AS pkg, '{section}' AS section, {d.big('o_orderkey')} AS ord, {a} AS a, {b} AS b, {pick(more, 'o_orderkey', i + 1)} AS c, {steps} AS steps, {lists.get(section, no_links)} AS links,
+            CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE {d.real('0.5')} + (o_orderkey % 10) / {d.real('20')} END AS confidence, {pick(["'uncertain'", "'inferred'", "'explicit'", "'odd'", none], 'o_orderkey')} AS basis,
+            {d.array(d.fmt('s_%03d', '1 + o_orderkey % 3'), "'s_002'")} AS refs, {d.array("'order  ' || " + d.text('o_orderkey % 5'))} AS excerpts FROM orders WHERE (o_orderkey / 8 + {i}) % 3 < 1""")
+    return "(" + " UNION ALL ".join(out) + ")"
+
+
+def package_texts(d: Dialect) -> str:
+    """What the partial packages of conversations say once: pkg, part, pos, field, value; a turn is a partial."""
+    text = f"substr(replace(text, {NL}, ' '), 1, 40 + (turn % 3) * 20)"
+    fields = ["core_intent.primary_purpose", "core_intent.intended_user", "core_intent.intended_agent_use", "domain_map.main_domain", "domain_map.adjacent_domains", "domain_map", "metadata.suggested_domain", "metadata.suggested_subdomains", "metadata.language", "metadata.source_title", "agent_instructions.behavior_rules", "agent_instructions.forbidden_behaviors", "knowledge_limits.missing_context", "knowledge_limits"]
+    one = lambda i, f: f"SELECT conv_id AS pkg, turn AS part, {i} AS pos, '{f}' AS field, CASE WHEN turn % 3 = {i % 3} THEN lower({text}) WHEN turn % 3 = 1 THEN role ELSE {text} END AS value FROM conversations WHERE turn % {2 + i % 3} = 0 AND conv_id % {5 + i % 4} <> 0"
+    return "(" + " UNION ALL ".join(one(i, f) for i, f in enumerate(fields)) + ")"
