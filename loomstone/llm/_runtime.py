@@ -56,18 +56,35 @@ def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """df with a row_key (long, unique), the same at every reading and on every executor.
+#: What marks a column that keyed() made, as against one of the input that only has its name.
+KEYED = {"loomstone_row_key": True}
 
-    Rows of a Parquet table have one already: their file and their place in it. Anything else is written as a table first."""
+
+def is_keyed(df: DataFrame, key: str = "row_key") -> bool:
+    return key in df.columns and bool(df.schema[key].metadata.get("loomstone_row_key"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame, key: str = "row_key") -> DataFrame:
+    """df with a column `key` (long, unique), the same at every reading and on every executor; a column of that name is replaced
+    (free_name() gives one that is none).
+
+    Rows of a Parquet table have a key already: their file and their place in it. Anything else is written as a table first."""
     spark = df.sparkSession
-    if "row_key" not in df.columns and type_of(df) == "LogicalRelation":
+    if key not in df.columns and type_of(df) == "LogicalRelation":
         placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         names = sorted(r[0] for r in placed.select("_file").distinct().limit(BROADCAST_FILES + 1).collect())
         if 0 < len(names) <= BROADCAST_FILES and not {"_file", "_row", "_nth"} & set(df.columns):
             numbers = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "_file string, _nth long"))
-            return placed.join(numbers, "_file").select(*df.columns, F.shiftleft("_nth", 36).bitwiseOR(F.col("_row")).alias("row_key"))
-    return write_table(df.withColumn("row_key", F.monotonically_increasing_id()))[0]
+            return placed.join(numbers, "_file").select(*df.columns, F.shiftleft("_nth", 36).bitwiseOR(F.col("_row")).alias(key, metadata=KEYED))
+    return write_table(df.withColumn(key, F.monotonically_increasing_id().alias(key, metadata=KEYED)))[0]
 
 
 def type_of(df: DataFrame) -> str:

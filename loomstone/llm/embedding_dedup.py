@@ -13,8 +13,8 @@ is found once, in the pair of its ends' tiles, and counts for both ends; a pair
 links, never the links. Where vectors do not cluster nearly every tile is probed and the work grows with the square of n.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
-different lengths never link (each length is searched by itself); rows that repeat a vec_id count as vectors of their own
-but are one node; a null vec_id is returned with no links and component null; an empty table gives an empty result.
+different lengths never link (each length is searched by itself); rows that repeat a vec_id are vectors of their own, each
+with its own links and component; a cosine of exactly the threshold links; of equal vectors each links with all others; a null vec_id is returned with no links and component null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -253,8 +253,11 @@ def links(embeddings: DataFrame, cosine: float = 0.9, sample: int = 16_384, marg
     rows, rows_at = write_table(src.mapInArrow(X.tidy(_prepare), ROW))
     scratch = [rows_at]
     valid = rows.where("key IS NOT NULL AND vec_id IS NOT NULL")
-    groups = valid.groupBy("dim", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    reps = valid.join(groups.select("dim", "key", F.col("id").alias("vec_id"), "copies"), ["dim", "key", "vec_id"]).groupBy("dim", F.col("vec_id").alias("id")).agg(F.max("copies").alias("copies"), F.max("unit").alias("unit"))
+    # A distinct vector has a number of its own (id): unlike vectors may share their smallest vec_id (low_id).
+    groups, groups_at = write_table(valid.groupBy("dim", "key").agg(F.min("vec_id").alias("low_id"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
+    scratch.append(groups_at)
+    own = groups.select("dim", "key", F.col("low_id").alias("vec_id"), "id", "copies")
+    reps = valid.join(own, ["dim", "key", "vec_id"]).groupBy("dim", "id").agg(F.max("copies").alias("copies"), F.max("unit").alias("unit"))
     found = None
     for r in groups.select("dim").distinct().collect():
         part = _search(reps.where(F.col("dim") == r["dim"]), cosine, sample, margin, cell, per_list, scratch)
@@ -265,8 +268,11 @@ def links(embeddings: DataFrame, cosine: float = 0.9, sample: int = 16_384, marg
     scratch.append(found_at)
     count = found.groupBy("id").agg(F.sum("n").alias("found"))
     comp = components(found.where("low IS NOT NULL").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    out = rows.join(groups, ["dim", "key"], "left").join(count, "id", "left").join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left")
-    component = F.when(F.col("id").isNull() | F.col("vec_id").isNull(), F.col("vec_id")).otherwise(F.coalesce("component", "id"))
+    named = comp.join(groups.select("id", "low_id"), "id").select("id", "component", "low_id")
+    lowest = named.groupBy("component").agg(F.min("low_id").alias("lowest"))
+    placed = groups.join(count, "id", "left").join(named.join(lowest, "component").select("id", "lowest"), "id", "left")
+    out = rows.join(placed, ["dim", "key"], "left")
+    component = F.when(F.col("id").isNull() | F.col("vec_id").isNull(), F.col("vec_id")).otherwise(F.coalesce("lowest", "low_id"))
     done, _ = write_table(out.select(
         "vec_id",
         F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("found", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),

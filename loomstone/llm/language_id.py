@@ -63,18 +63,22 @@ def _pack(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([x.tobytes() for x in bits], pa.binary())], ["lang", "h", "bits"])
 
 
-def sample(documents: DataFrame, per_language: int) -> DataFrame:
-    """(lang, h, text): per language about per_language rows outside the held-out part, by hash order; all where there are fewer.
+def sample(documents: DataFrame, per_language: int, most: int = 40_000) -> DataFrame:
+    """(lang, h, text): of each language about per_language distinct texts outside the held-out part, by hash order; all where
+    there are fewer. At most `most` texts in all: with many languages each has fewer, 2 at least, and only the most / 2 most frequent
+    languages are learned.
 
-    A language's rows are thinned by a hash threshold before they are ranked, so no task sees all rows of a language."""
+    Texts are told apart by their hash h, whatever rows or doc_ids they stand in, so a text that occurs often is one witness and no
+    language hangs on one id. A language's texts are thinned by a hash threshold before they are ranked, so no task sees all of them."""
     rows = documents.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    totals = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), unit.alias("_u")).join(F.broadcast(totals), "lang")  # a row a language
-    ids = ids.where(F.col("_u") * F.col("_n") <= 1.5 * per_language + 20).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_language)
-    picked = ids.select("doc_id", F.col("lang").alias("_lang"), "h").distinct()
-    return documents.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").where("lang = _lang").select("lang", "h", "text")
+    rows = rows.select(F.col("lang").alias("lang"), F.xxhash64("text").alias("h"), "text")
+    texts = rows.select("lang", "h").distinct()
+    totals = texts.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(most // 2)
+    each = max(2, min(per_language, most // max(1, totals.count())))
+    unit = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)
+    thin = texts.join(F.broadcast(totals), "lang").where(unit * F.col("_n") <= 1.5 * each + 20)
+    picked = thin.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_r") <= each).select("lang", "h")
+    return rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
 class Model:
@@ -116,7 +120,7 @@ class Model:
 def train(documents: DataFrame, per_language: int = 400, landmarks: int = 160, ridge: float = 0.1, dims: int = 8192) -> Model:
     ship(documents.sparkSession)
     packed = sample(documents, per_language).mapInArrow(lambda it: _pack(it, dims), "lang string, h long, bits binary")
-    rows = sorted(packed.collect(), key=lambda r: (r["lang"], r["h"], r["bits"]))  # per_language rows of dims / 8 bytes a language
+    rows = sorted(packed.collect(), key=lambda r: (r["lang"], r["h"], r["bits"]))  # 40,000 rows of dims / 8 bytes at most
     bits = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows], np.uint8).reshape(len(rows), dims)
     return Model(bits, [r["lang"] for r in rows], landmarks, ridge, dims)
 

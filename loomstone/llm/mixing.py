@@ -5,8 +5,8 @@ of copies is the Poisson distribution of that mean inverted at a hash-seeded uni
 nothing but the id, the rate and the seed; the copies are exploded and shuffled globally by a second hash. DataFrame functions only.
 
 Defined results: a null source is a source of its own; a null or empty text counts one byte (each text counts its UTF-8
-bytes plus 1, so that no source weighs nothing); rows that repeat a doc_id repeat alike; a null doc_id is an id of its own;
-very long texts are only measured; an empty table gives an empty result; extra columns are kept whatever their names, and
+bytes plus 1, so that no source weighs nothing); rows that repeat a doc_id repeat alike; a null doc_id is an id of its own (all its
+rows have one count) but its rows are dealt over all tasks like others; very long texts are only measured; an empty table gives an empty result; extra columns are kept whatever their names, and
 `copy_no` and `rate` replace columns of those names.
 Sources without a target weight (with weights given) have rate 0.
 """
@@ -78,10 +78,11 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, epochs
     rated = rates(documents, weights, epochs)
     # The documents' own columns stay under one name, so that none can clash with those added here.
     kept = [c for c in documents.columns if c not in ("copy_no", "rate")]
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), _key().alias("_source"), uniform(F.lit(seed), F.col("doc_id")).alias("u"))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), _key().alias("_source"), uniform(F.lit(seed), F.col("doc_id")).alias("u"), F.monotonically_increasing_id().alias("row"))
     if rated.select("_source").count() <= BROADCAST_SOURCES:
         rated = F.broadcast(rated)
     counted = rows.join(rated, "_source").withColumn("n", F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
-    copies = counted.select("doc", "rate", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy_no"))
-    placed = copies.withColumn("place", F.xxhash64(F.lit(seed), "doc.doc_id", "copy_no"))
+    copies = counted.select("doc", "row", "rate", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy_no"))
+    # By the row as well: rows without a doc_id, or with one that many share, are dealt over all tasks.
+    placed = copies.withColumn("place", F.xxhash64(F.lit(seed), "doc.doc_id", "copy_no", "row"))
     return placed.repartition("place").sortWithinPartitions("place").select("doc.*", "rate", "copy_no")

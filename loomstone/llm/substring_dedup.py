@@ -9,7 +9,7 @@ A document is a row, whatever its doc_id: rows are told apart by `row_key`, a co
 that spans() gives and stores with the chunks.
 
 Defined results: a null or empty text has no chunks; equal rows repeat each other; an empty table gives an empty result;
-extra columns are ignored by spans() and kept by remove(). A null doc_id takes part under null and sorts first. Very long texts
+extra columns are ignored by spans() and kept by remove(), also one called row_key. A null doc_id takes part under null and sorts first. Very long texts
 are chunked whole, one at a time where they exceed a slice of 1 MB.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import _text as X
-from loomstone.llm._runtime import drop_table, ship, write_table
+from loomstone.llm._runtime import drop_table, is_keyed, ship, write_table
 
 _GEAR = (X.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 CHUNK_SCHEMA = "row_key long, doc_id long, start int, length int, d1 long, d2 long"
@@ -97,7 +97,7 @@ def _chunk_batches(bits: int, min_chunk: int, max_chunk: int):
 def chunks(documents: DataFrame, bits: int = 5, min_chunk: int = 16, max_chunk: int = 128) -> DataFrame:
     """One row per chunk: row_key, doc_id, start and length in UTF-8 bytes, and the 128-bit digest as two longs."""
     ship(documents.sparkSession)
-    key = F.col("row_key") if "row_key" in documents.columns else F.monotonically_increasing_id()
+    key = F.col("row_key") if is_keyed(documents) else F.monotonically_increasing_id()
     src = documents.select(key.cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(X.tidy(_chunk_batches(bits, min_chunk, max_chunk)), CHUNK_SCHEMA)
 
@@ -139,7 +139,7 @@ def remove(documents: DataFrame, found: DataFrame) -> DataFrame:
     Null texts and documents without such runs stay as they are. Where documents are a keyed() table, found being its
     spans, rows are cut by row_key; otherwise by doc_id, and rows whose doc_id is null or not theirs alone stay whole.
     """
-    key = "row_key" if "row_key" in documents.columns else "doc_id"
+    key = "row_key" if is_keyed(documents) else "doc_id"
     if key == "doc_id":
         found = found.join(documents.groupBy("doc_id").count().where("count = 1").select("doc_id"), "doc_id", "left_semi")
     cut = (

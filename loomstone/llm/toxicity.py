@@ -409,7 +409,9 @@ def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_cl
         part = known.where(F.col("toxic") == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.unionAll(part)
     rows = documents.select("doc_id", "text").where(F.octet_length("text").between(1, sample_bytes)).join(F.broadcast(ids), "doc_id")
-    got = sorted(rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "text").distinct().collect())
+    # Rows may share a doc_id: one of its texts, by hash, speaks for it, so that the sample is as large as its bounds say.
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    got = sorted(one.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "t.text").collect())
     # A text that occurs often is one witness: the first of its rows speaks for all.
     first = {}
     for r in got:

@@ -408,7 +408,7 @@ def test_every_query_is_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {k for k in names if re.match(r"op\d+_", k)} == set(queries.queries()) and len(queries.queries()) == 10 and "pipeline" in names
+    assert {k for k in names if re.match(r"op\d+_", k)} == set(queries.queries()) and len(queries.queries()) == 13 and "pipeline" in names
 
 
 def test_pipeline(spark, sf, tmp_path):
