@@ -17,68 +17,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from loomstone.llm._runtime import keyed, shared_dir, write_table
+from loomstone.llm._runtime import free_name, keyed, shared_dir, write_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Most row keys (8 bytes each) that are broadcast; beyond it documents and keys are joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
-def _by_row(rows: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a row key, and the key's name, which no column of docs has."""
+    key = free_name(docs, "row_key")
+    return keyed(docs, key), key
+
+
+def _by_row(rows: DataFrame, key: str) -> DataFrame:
     """Keyed rows as the operators read them: under their row key instead of their doc_id."""
-    return rows.select(F.col("row_key").alias("doc_id"), "text")
+    return rows.select(F.col(key).alias("doc_id"), "text")
 
 
 def _marked(keys: DataFrame) -> DataFrame:
-    """The single column `_key` of distinct row keys, written, and broadcast where they are few."""
+    """A single column of distinct row keys, written, and broadcast where they are few."""
     few, _ = write_table(keys)
     return F.broadcast(few) if few.count() <= BROADCAST_IDS else few
 
 
-def _without(rows: DataFrame, rejected: DataFrame, columns: list[str]) -> DataFrame:
+def _without(rows: DataFrame, key: str, rejected: DataFrame, columns: list[str]) -> DataFrame:
     """Keyed rows but those whose row key is in `rejected` (under the name doc_id), without the key."""
-    bad = _marked(rejected.select(F.col("doc_id").alias("_key")))
-    return rows.join(bad, F.col("row_key") == F.col("_key"), "left_anti").select(*columns)
+    return rows.join(_marked(rejected.select(F.col("doc_id").alias(key))), key, "left_anti").select(*(f"`{c}`" for c in columns))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.5. Null and empty texts have the score of a text without evidence, which
     is that of clean ones; equal texts are kept or dropped alike; a score of exactly 0.5 rejects."""
-    rows = keyed(docs)
+    rows, key = _rows(docs)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(rows, toxicity.score(_by_row(rows), model).where("predicted = 1"), docs.columns)
+    return _without(rows, key, toxicity.score(_by_row(rows, key), model).where("predicted = 1"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id, one
     without a doc_id only if none has it, and of several rows with that doc_id the first by row key. Rows without text or words
     link with nothing and all stay."""
-    rows = keyed(docs)
-    found, _ = write_table(jaccard_join.classes(_by_row(rows), k=5, num=8, den=10).select(F.col("doc_id").alias("row_key"), "component_id"))
-    named = found.join(rows.select("row_key", "doc_id"), "row_key")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
-    rejected = found.join(first.select(F.col("first.row_key").alias("row_key")), "row_key", "left_anti")
-    return _without(rows, rejected.select(F.col("row_key").alias("doc_id")), docs.columns)
+    rows, key = _rows(docs)
+    found, _ = write_table(jaccard_join.classes(_by_row(rows, key), k=5, num=8, den=10).select(F.col("doc_id").alias("row"), "component_id"))
+    named = found.join(rows.select(F.col(key).alias("row"), "doc_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    rejected = found.join(first.select(F.col("first.row").alias("row")), "row", "left_anti")
+    return _without(rows, key, rejected.select(F.col("row").alias("doc_id")), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a 10-word window of a benchmark item (or all words of a shorter one). Null and empty texts have none and
     stay; equal texts are kept or dropped alike; items without text have no windows."""
-    rows = keyed(docs)
-    found = decontamination.matches(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
-    return _without(rows, found.where("n_hit > 0"), docs.columns)
+    rows, key = _rows(docs)
+    found = decontamination.matches(_by_row(rows, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+    return _without(rows, key, found.where("n_hit > 0"), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources have equal shares of the bytes. The first row of a doc_id draws its count by
     the doc_id, others and those without one by their row key as well: one draw never decides on several documents. A null or
     empty text counts one byte; all rows without a source are one source."""
-    rows = keyed(docs)
-    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high")
-    again = rows.select("doc_id", "row_key").join(ids.select("doc_id", "low"), "doc_id").where("row_key > low")
-    drawn = rows.join(_marked(again.select(F.col("row_key").alias("_key"))), F.col("row_key") == F.col("_key"), "left")
-    own = F.when(F.col("doc_id").isNotNull() & F.col("_key").isNull(), F.col("doc_id").cast("string")).otherwise(F.concat_ws("|", "doc_id", F.lit("row"), "row_key"))
-    return mixing.mix(drawn.withColumn("_id", F.col("doc_id")).withColumn("doc_id", own)).withColumn("doc_id", F.col("_id")).select(*docs.columns)
+    rows, key = _rows(docs)
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low < high")
+    again = rows.select("doc_id", F.col(key).alias("row")).join(ids.select("doc_id", "low"), "doc_id").where("row > low")
+    # The documents' own columns stay under one name, so that none can clash with those added here.
+    whole = rows.select(F.col(key).alias("row"), "doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    drawn = whole.join(_marked(again.select("row")).withColumn("again", F.lit(True)), "row", "left")
+    own = F.when(F.col("doc_id").isNotNull() & F.col("again").isNull(), F.col("doc_id").cast("string")).otherwise(F.concat_ws("|", "doc_id", F.lit("row"), "row"))
+    return mixing.mix(drawn.select(own.alias("doc_id"), "text", "source", "whole")).select("whole.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
