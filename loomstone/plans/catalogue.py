@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomstone.functions import patterns as P
 from loomstone.functions import text as T
@@ -21,6 +22,8 @@ from loomstone.operators import report as AG
 from loomstone.operators import segment as SG
 from loomstone.plans import oracles as OR
 from loomstone.plans import rendered as R
+from loomstone.plans.compile import hold
+from loomstone.sources import fenced as FE
 from loomstone.sources import layout as LA
 from loomstone.sources import markup as IO
 from loomstone.sources import readable as RD
@@ -159,6 +162,35 @@ def _parsed(d):
     return " UNION ALL ".join(f"SELECT * FROM ({IO.parsed_bullet(d, f"(SELECT * FROM {b} q WHERE bullet LIKE '{like}') w", 'doc_id, grp', s)}) x{i}" for i, (s, like) in enumerate(starts.items()))
 
 
+def _packages(spark, sf_dir):
+    """Packages of customers and their texts, which are fenced Markdown, JSON or YAML by turns."""
+    given = hold(run(spark, sf_dir, f"SELECT * FROM {R.packages_json(SPARK)} p"))
+    texts = None
+    for i, form in enumerate(("markdown", "json", "yaml")):
+        part = FE.write(given.where(f"doc_id % 3 = {i}"), form).withColumn("filename", F.lit({"markdown": "package.md"}.get(form)))
+        texts = part if texts is None else texts.unionByName(part)
+    return given, hold(texts)
+
+
+@plan("io10_package_sections", OR.package_sections)
+def _sections(spark, sf_dir):
+    """Every package written as text and read back."""
+    return FE.read(_packages(spark, sf_dir)[1]).where("error IS NULL").select("doc_id", "section", "value")
+
+
+@plan("io11_package_filled", OR.package_filled)
+def _filled(spark, sf_dir):
+    """Every package written as text, read back and filled with defaults and traces."""
+    return FE.filled(FE.read(_packages(spark, sf_dir)[1]))
+
+
+@plan("sn3_strings", OR.nested_strings)
+def _strings(spark, sf_dir):
+    """Every text anywhere in the packages' values, with its path."""
+    rows = run(spark, sf_dir, f"SELECT struct(doc_id, section) AS key, value FROM {R.packages_json(SPARK)} p")
+    return FE.strings(rows, "key", "value").select("key.doc_id", "key.section", "path", "text")
+
+
 @query("io20_json")
 def _json(d):
     obj = "'{\"id\":' || " + d.json_quote("section || '_' || " + d.text("ord")) + " || ',\"body\":' || " + d.json_quote("body") + " || '}'"

@@ -8,6 +8,7 @@ from loomstone.functions.dialect import DUCK as D
 from loomstone.operators import dedup as DD
 from loomstone.operators import reduce as RE
 from loomstone.plans import rendered as R
+from loomstone.sources import fenced as FE
 
 
 def _uniq(values: str, keys: str) -> str:
@@ -56,3 +57,32 @@ def columns(d) -> list[str]:
     """Reduced items as a query shows them: lists as lines."""
     link = d.each("links", lambda v: f"{v}.kind || ': ' || coalesce({v}.value, '') || coalesce(' (' || {v}.relation || ')', '')", "v")
     return ["pkg", "section", "place", "a", "b", "c", f"{d.join('steps', chr(10))} AS steps", f"{d.join(link, chr(10))} AS links", f"{d.half_even('confidence', 6)} AS confidence", "basis", f"{d.join('refs', ',')} AS refs", f"{d.join('excerpts', chr(10))} AS excerpts", "n_rows"]
+
+
+def package_sections() -> str:
+    """What is read back is what was written."""
+    return f"SELECT doc_id, section, value FROM {R.packages_json(D)} p"
+
+
+def package_filled() -> str:
+    """Defaults laid under what is given, member by member, and traces of items where there are none."""
+    sections = D.rows(["section"], [[D.lit(s)] for s in FE.SECTIONS])
+    defaults = D.rows(["section", "k", "x"], [[D.lit(s), D.lit(k), D.lit(FE._json(v))] for s, o in FE.OBJECTS.items() for k, v in o.items()])
+    objects = ", ".join(D.lit(s) for s in FE.OBJECTS)
+    order = "list_position([" + ", ".join(D.lit(s) for s in FE.LISTS) + "], section)"
+    return f"""WITH given AS MATERIALIZED (SELECT * FROM {R.packages_json(D)} p), every_ AS (SELECT doc_id, section FROM (SELECT DISTINCT doc_id FROM given) a, {sections} b),
+    own AS (SELECT e.doc_id, e.section, value AS v FROM every_ e LEFT JOIN given USING (doc_id, section)),
+    obj AS (SELECT doc_id, section, CASE WHEN v LIKE '[%' AND section = 'knowledge_limits' THEN '{{"missing_context":' || v || '}}' WHEN v LIKE '[%' AND section = 'domain_map' THEN '{{"subdomains":' || v || '}}' ELSE coalesce(v, '{{}}') END AS v FROM own WHERE section IN ({objects})),
+    member AS (SELECT doc_id, section, k, cast(json_extract(v, '$."' || k || '"') AS varchar) AS x FROM (SELECT doc_id, section, v, unnest(json_keys(v)) AS k FROM obj) m),
+    laid AS (SELECT * FROM member UNION ALL SELECT o.doc_id, o.section, f.k, f.x FROM obj o JOIN {defaults} f USING (section) WHERE NOT list_contains(json_keys(o.v), f.k)),
+    full_obj AS (SELECT doc_id, section, '{{' || string_agg(to_json(k) || ':' || x, ',' ORDER BY k) || '}}' AS value FROM laid GROUP BY doc_id, section),
+    lists AS (SELECT doc_id, section, CASE WHEN v LIKE '[%' THEN v ELSE '[]' END AS value FROM own WHERE section NOT IN ({objects})),
+    item AS (SELECT doc_id, {order} AS o, unnest(range(json_array_length(value)::BIGINT)) AS n, unnest(cast(json_extract(value, '$[*]') AS json[])) AS i FROM lists WHERE section <> 'source_traceability'),
+    said AS (SELECT doc_id, o, n, i->>'id' AS id, coalesce(i->>'source_basis', 'uncertain') AS basis, coalesce(i->'source_refs'->>0, 'document') AS loc, json_array_length(i, '$.source_refs') AS refs, list_filter(cast(i->'source_excerpts' AS varchar[]), lambda e: trim(e) <> '') AS ex FROM item),
+    made AS (SELECT doc_id, '[' || string_agg('{{"extracted_item_id":' || to_json(id) || ',"source_location":' || to_json(loc) || ',"source_excerpt":' || to_json(coalesce(ex[1], '')) || ',"extraction_type":' || to_json(basis) || '}}', ',' ORDER BY o, n) || ']' AS t FROM said WHERE id <> '' AND (len(ex) > 0 OR refs > 0) GROUP BY doc_id)
+    SELECT doc_id, section, CASE WHEN section = 'source_traceability' AND value = '[]' THEN coalesce(t, value) ELSE value END AS value FROM (SELECT * FROM full_obj UNION ALL SELECT * FROM lists) z LEFT JOIN made USING (doc_id)"""
+
+
+def nested_strings() -> str:
+    """The engine's own walk over JSON trees."""
+    return f"SELECT doc_id, section, fullkey AS path, atom->>'$' AS text FROM (SELECT p.doc_id, p.section, t.fullkey, t.atom, t.type FROM {R.packages_json(D)} p, json_tree(p.value) t) j WHERE type = 'VARCHAR'"

@@ -226,3 +226,29 @@ def package_texts(d: Dialect) -> str:
     fields = ["core_intent.primary_purpose", "core_intent.intended_user", "core_intent.intended_agent_use", "domain_map.main_domain", "domain_map.adjacent_domains", "domain_map", "metadata.suggested_domain", "metadata.suggested_subdomains", "metadata.language", "metadata.source_title", "agent_instructions.behavior_rules", "agent_instructions.forbidden_behaviors", "knowledge_limits.missing_context", "knowledge_limits"]
     one = lambda i, f: f"SELECT conv_id AS pkg, turn AS part, {i} AS pos, '{f}' AS field, CASE WHEN turn % 3 = {i % 3} THEN lower({text}) WHEN turn % 3 = 1 THEN role ELSE {text} END AS value FROM conversations WHERE turn % {2 + i % 3} = 0 AND conv_id % {5 + i % 4} <> 0"
     return "(" + " UNION ALL ".join(one(i, f) for i, f in enumerate(fields)) + ")"
+
+
+def packages_json(d: Dialect) -> str:
+    """Packages of customers as (doc_id, section, value): the sections that each has, values as JSON text, of many shapes."""
+    k, c, q = d.text("o_orderkey"), d.text("c_custkey"), d.json_quote
+    obj = lambda **f: "'{' || " + " || ',' || ".join(f"'\"{n}\":' || {v}" for n, v in f.items()) + " || '}'"
+    arr = lambda *v: "'[' || " + " || ',' || ".join(v) + " || ']'"
+    text = "'Review order ' || " + k + " || CASE o_orderkey % 6 WHEN 0 THEN ': now' WHEN 1 THEN ' # 2' WHEN 2 THEN chr(10) || 'in two lines' WHEN 3 THEN ' - \"soon\"' WHEN 4 THEN ', {maybe}' ELSE ' ' END"
+    trace = {"source_basis": "'\"explicit\"'", "confidence": "'0.' || " + d.text("1 + o_orderkey % 9"), "source_refs": f"CASE WHEN o_orderkey % 3 = 0 THEN '[]' ELSE {arr(q(d.fmt('s_%03d', '1 + o_orderkey % 3')), q(d.lit('s_002')))} END", "source_excerpts": f"CASE WHEN o_orderkey % 2 = 0 THEN '[]' ELSE {arr(q(d.lit(' ')), q("'order ' || " + k))} END"}
+    items = {
+        "entities": obj(id=q("'e_' || " + k), name=q("'Order ' || " + k), type=q("o_orderpriority"), aliases=arr(q(k), q("o_orderstatus")), related_entities=arr(obj(entity_id=q("'e_1'"), relation_type=q("'owns'"), confidence="'1'")), **trace),
+        "decision_rules": obj(id=q("'dr_' || " + k), condition=q(text), decision=q("''"), reasoning="CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE 'true' END", **trace),
+        "procedures": obj(name=q("'yes'"), steps=arr(obj(step="'1'", action=q(text)), obj(step="'2'", action=q("'Ship it.'"), input_required="'{}'"))),
+        "atomic_units": obj(id=q("'au_' || " + k), statement=q(text), type=q("'null'"), tags=arr(arr(q(k), "'-7'"), "'[]'", "'false'"), **trace),
+    }
+    parts = [f"SELECT o_custkey AS doc_id, '{s}' AS section, '[' || {d.join(d.gather(v, 'o_orderkey'), ',')} || ']' AS value FROM orders WHERE (o_custkey + {i}) % 4 <> 0 GROUP BY o_custkey" for i, (s, v) in enumerate(items.items())]
+    objects = {
+        "metadata": obj(package_id=q("'pkg_' || " + c), source_title=q("c_name"), domain=q("lower(c_mktsegment)"), subdomains=arr(q("'orders'"), q("c_mktsegment")), language=q("'en'"), human_readability="'0.' || " + d.text("1 + c_custkey % 9"), reviewed="CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END"),
+        "core_intent": obj(primary_purpose=q("'Explain orders of ' || c_name"), intended_agent_use=arr(q("'answer'"), q("'check'"))),
+        "domain_map": f"CASE WHEN c_custkey % 4 = 0 THEN {arr(q('lower(c_mktsegment)'), q(d.lit('retail')))} ELSE {obj(main_domain=q('c_mktsegment'), adjacent_domains="'[]'")} END",
+        "knowledge_limits": f"CASE WHEN c_custkey % 5 = 0 THEN {arr(q(d.lit('no weights')))} ELSE {obj(missing_context=arr(q(d.lit('no weights')), q('c_name')))} END",
+        "heuristics": f"CASE WHEN c_custkey % 2 = 0 THEN {q(d.lit('not a list'))} ELSE '[]' END",
+        "source_traceability": f"CASE WHEN c_custkey % 6 = 0 THEN {arr(obj(extracted_item_id=q(d.lit('e_1')), source_location=q(d.lit('page 2')), source_excerpt=q('c_name'), extraction_type=q(d.lit('explicit'))))} ELSE '[]' END",
+    }
+    parts += [f"SELECT c_custkey AS doc_id, '{s}' AS section, {v} AS value FROM customer WHERE (c_custkey + {i}) % 7 <> 0" for i, (s, v) in enumerate(objects.items())]
+    return "(" + " UNION ALL ".join(parts) + ")"
