@@ -19,6 +19,7 @@ from loomstone.operators import promote as PM
 from loomstone.operators import provenance as TR
 from loomstone.operators import reduce as RE
 from loomstone.operators import report as AG
+from loomstone.operators import schema as SC
 from loomstone.operators import segment as SG
 from loomstone.plans import oracles as OR
 from loomstone.plans import rendered as R
@@ -400,6 +401,12 @@ def _asked(d):
 
 query("bm9_agreement")(lambda d: f"SELECT model_spec, count(*) AS n, {d.count_if('label = judged')} AS agreed FROM (SELECT model_spec, label, CASE WHEN length(case_id) % 2 = 0 THEN label ELSE 'other' END AS judged FROM {_labelled(d)} x) y GROUP BY model_spec")
 query("bm12_violations")(lambda d: BM.violations(d, R.cases(d), "case_id"))
+@plan("bm12_schema", OR.case_violations)
+def _schema(spark, sf_dir):
+    """Every violation of the case schema in every case file."""
+    return SC.violations(run(spark, sf_dir, f"SELECT * FROM {R.cases_json(SPARK)} c"), "p_partkey", "value", SC.CASE_SCHEMA)
+
+
 query("bm13_parity")(lambda d: f"SELECT coalesce(a.case_id, b.case_id) AS case_id, CASE WHEN b.case_id IS NULL THEN 'missing_translation' ELSE 'extra_translation' END AS problem FROM (SELECT case_id FROM {R.cases(d)} c WHERE n_probes <> 1) a FULL OUTER JOIN (SELECT case_id FROM {R.cases(d)} c WHERE n_probes <> 2) b ON a.case_id = b.case_id WHERE a.case_id IS NULL OR b.case_id IS NULL")
 query("bm16_resume")(lambda d: f"SELECT t.task_key FROM ({BM.tasks(d, R.cases(d), ['mock:yes'], ['primary'], 2)}) t LEFT ANTI JOIN (SELECT task_key FROM {R.results(d)} r) p ON t.task_key = p.task_key" if d.name == "spark" else f"SELECT t.task_key FROM ({BM.tasks(d, R.cases(d), ['mock:yes'], ['primary'], 2)}) t ANTI JOIN (SELECT task_key FROM {R.results(d)} r) p ON t.task_key = p.task_key")
 query("bm17_export")(lambda d: f"SELECT case_id, {d.sha256('raw_text')} AS raw_sha256, {d.sha256('gold')} AS gold_sha256, length(raw_text) AS raw_chars FROM {R.cases(d)} c")

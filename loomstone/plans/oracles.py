@@ -86,3 +86,19 @@ def package_filled() -> str:
 def nested_strings() -> str:
     """The engine's own walk over JSON trees."""
     return f"SELECT doc_id, section, fullkey AS path, atom->>'$' AS text FROM (SELECT p.doc_id, p.section, t.fullkey, t.atom, t.type FROM {R.packages_json(D)} p, json_tree(p.value) t) j WHERE type = 'VARCHAR'"
+
+
+def case_violations() -> str:
+    """What is wrong with a case, path by path, in the engine's own JSON functions."""
+    where = lambda path, keyword, test: f"SELECT p_partkey, '{path}' AS path, '{keyword}' AS keyword FROM good WHERE {test}"
+    text = lambda path: where(path, "type", f"json_exists(value, '{path}') AND json_type(value, '{path}') <> 'VARCHAR'")
+    gone = lambda at, name: where(f"{at}.{name}", "required", f"json_type(value, '{at}') = 'OBJECT' AND NOT json_exists(value, '{at}.{name}')")
+    tests = [
+        "SELECT p_partkey, '$' AS path, 'json' AS keyword FROM cases WHERE NOT json_valid(value)",
+        where("$.case_id", "pattern", "NOT regexp_matches(value->>'$.case_id', '^[a-z0-9_]+$')"), where("$.metadata.domain", "enum", "value->>'$.metadata.domain' NOT IN ('corporate_policy', 'regulatory', 'clinical', 'education', 'technical_ops', 'eligibility', 'legal')"),
+        where("$.metadata.complexity_level", "type", "(value->>'$.metadata.complexity_level')::DOUBLE % 1 <> 0"), where("$.metadata.complexity_level", "maximum", "(value->>'$.metadata.complexity_level')::DOUBLE > 3"),
+        text("$.metadata.notes"), gone("$.metadata", "license"), where("$.representations", "type", "json_type(value, '$.representations') <> 'OBJECT'"), where("$.local_probes", "minItems", "json_array_length(value, '$.local_probes') < 2"),
+        where("$.controls.parametric_contamination_risk", "enum", "value->>'$.controls.parametric_contamination_risk' NOT IN ('low', 'medium', 'high')"),
+        *(gone(f"$.local_probes[{i}]", n) for i in (0, 1) for n in ("fragment_id", "probe", "expected_answer")), *(text(f"$.local_probes[{i}].expected_answer") for i in (0, 1)), *(text(f"$.gold_answer.required_relations[{i}]") for i in range(3)),
+    ]
+    return f"WITH cases AS (SELECT * FROM {R.cases_json(D)} c), good AS (SELECT * FROM cases WHERE json_valid(value)) " + " UNION ALL ".join(tests)

@@ -252,3 +252,18 @@ def packages_json(d: Dialect) -> str:
     }
     parts += [f"SELECT c_custkey AS doc_id, '{s}' AS section, {v} AS value FROM customer WHERE (c_custkey + {i}) % 7 <> 0" for i, (s, v) in enumerate(objects.items())]
     return "(" + " UNION ALL ".join(parts) + ")"
+
+
+def cases_json(d: Dialect) -> str:
+    """An evaluation case file per part as JSON text, most of them with faults of many kinds, some no JSON."""
+    k, q = d.text("p_partkey"), d.json_quote
+    probe = lambda i, more: f"'{{\"fragment_id\":\"{i}\",\"probe\":' || {q('p_name')} || {more} || '}}'"
+    probes = " || ".join([probe(1, "',\"expected_answer\":\"yes\"'"), f"CASE WHEN p_partkey % 4 <> 0 THEN ',' || {probe(2, "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ',\"expected_answer\":' || CASE WHEN p_partkey % 10 = 1 THEN '7' ELSE '\"no\"' END END")} ELSE '' END"])
+    parts = [
+        "'{\"case_id\":'", q(f"CASE WHEN p_partkey % 7 = 0 THEN 'Part ' ELSE 'part_' END || {k}"), "',\"metadata\":{\"domain\":'", "CASE WHEN p_size % 5 = 0 THEN '\"shops\"' ELSE '\"legal\"' END",
+        "',\"relation_type\":\"scope\",\"complexity_level\":'", "CASE WHEN p_partkey % 9 = 0 THEN '1.5' ELSE " + d.text("1 + p_size % 4") + " END", "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ',\"license\":\"open\"' END", "',\"source_status\":\"real\",\"notes\":'", "CASE WHEN p_partkey % 11 = 0 THEN 'null' ELSE '\"n\"' END",
+        "'},\"representations\":'", "CASE WHEN p_partkey % 17 = 0 THEN '[]' ELSE '{\"raw\":' || " + q("p_name") + " || ',\"annotated\":\"a\",\"compiled\":\"c\"}' END", "',\"query\":'", q("'May ' || p_name || ' be returned?'"),
+        "',\"gold_answer\":{\"full\":\"f\",\"minimal\":\"m\",\"required_relations\":[\"scope\"'", "CASE WHEN p_partkey % 13 = 0 THEN ',3,{}' ELSE '' END", "']},\"local_probes\":['", probes, "'],\"failure_examples\":{},\"controls\":{\"parametric_contamination_risk\":'",
+        "CASE WHEN p_size % 6 = 0 THEN '\"none\"' ELSE '\"low\"' END", "CASE WHEN p_partkey % 23 = 0 THEN '}' ELSE '}}' END",
+    ]
+    return f"(SELECT p_partkey, {' || '.join(parts)} AS value FROM part)"
