@@ -14,6 +14,7 @@ from loomstone.functions.dialect import DUCK, SPARK, Dialect
 from loomstone.operators import dedup as DD
 from loomstone.operators import extract as EX
 from loomstone.operators import harness as BM
+from loomstone.operators import language as LN
 from loomstone.operators import profile as PR
 from loomstone.operators import promote as PM
 from loomstone.operators import provenance as TR
@@ -104,6 +105,13 @@ query("pr10_guessed_language")(lambda d: PR.guessed_language(d, R.items(d) + " i
 query("pr11_profile_language")(lambda d: f"SELECT lang, own, count(*) AS n FROM (SELECT lang, {T.profile_language(d, 'text')} AS own FROM documents) p GROUP BY lang, own")
 
 
+@plan("pr11_ngram_language", OR.ngram_languages)
+def _ngrams(spark, sf_dir):
+    """The language of every document by trigram ranks, profiles of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return LN.detect(docs, "doc_id", "text", LN.profiles(docs.where("doc_id % 4 <> 2"))).withColumnRenamed("lang", "found")
+
+
 @query("pr2_blocked")
 def _blocked(d):
     samples = ["", "   ", "notes.txt", "a" * 40, "A1" * 20 + ".txt", "g" * 40, "dir/some file.txt", "dir/file.jsonl", "two\nlines.txt", "b" * 64, "word"]

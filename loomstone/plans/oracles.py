@@ -102,3 +102,15 @@ def case_violations() -> str:
         *(gone(f"$.local_probes[{i}]", n) for i in (0, 1) for n in ("fragment_id", "probe", "expected_answer")), *(text(f"$.local_probes[{i}].expected_answer") for i in (0, 1)), *(text(f"$.gold_answer.required_relations[{i}]") for i in range(3)),
     ]
     return f"WITH cases AS (SELECT * FROM {R.cases_json(D)} c), good AS (SELECT * FROM cases WHERE json_valid(value)) " + " UNION ALL ".join(tests)
+
+
+def ngram_languages() -> str:
+    """Ranks counted over unnested trigrams, profiles of the rows that are not held out."""
+    s = "' ' || trim(regexp_replace(lower(substr(coalesce(text, ''), 1, 2048)), '[^\\p{L}]+', ' ', 'g')) || ' '"
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, lang, length(coalesce(text, '')) >= 30 AS enough, {s} AS s, doc_id % 4 = 2 AS held FROM documents),
+    g AS MATERIALIZED (SELECT doc_id, lang, held, gram, count(*) AS n FROM (SELECT doc_id, lang, held, substr(s, unnest(generate_series(1, length(s) - 2)), 3) AS gram FROM d WHERE length(s) > 2) x GROUP BY ALL),
+    p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS place FROM g WHERE NOT held AND lang IS NOT NULL GROUP BY lang, gram QUALIFY place <= 300),
+    r AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS rank FROM g QUALIFY rank <= 300),
+    f AS (SELECT r.doc_id, l.lang, count(*) * 300 AS most, sum(coalesce(least(abs(rank - place), 300), 300)) AS far FROM r CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = r.gram GROUP BY r.doc_id, l.lang),
+    b AS (SELECT doc_id, any_value(most) AS most, list(lang ORDER BY far, lang)[1] AS lang, list(far ORDER BY far, lang) AS fars FROM f GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN d.enough AND most > 0 AND fars[1] < most AND fars[2] - fars[1] >= 0.004 * most THEN b.lang ELSE 'und' END AS found, round(coalesce(1 - fars[1] / most, 0), 6) AS score FROM d LEFT JOIN b USING (doc_id)"""
