@@ -14,6 +14,7 @@ from loomstone.functions.dialect import DUCK, SPARK, Dialect
 from loomstone.operators import dedup as DD
 from loomstone.operators import extract as EX
 from loomstone.operators import harness as BM
+from loomstone.operators import inspection as IN
 from loomstone.operators import language as LN
 from loomstone.operators import profile as PR
 from loomstone.operators import promote as PM
@@ -354,6 +355,14 @@ query("ag1_stats")(lambda d: AG.stats(d, R.items(d) + " i", "pkg"))
 query("ag3_quality")(lambda d: AG.quality(d, R.items(d) + " i", "pkg", "4"))
 query("ag4_allocation")(lambda d: AG.allocation(d, R.items(d) + " i", f"(SELECT pkg, text || ' not if step' AS text FROM {R.spans(d)} s0 WHERE span_id = 's_003') s1", "pkg"))
 query("ag5_acceptance")(lambda d: f"SELECT target_section, count(*) AS attempted, {d.count_if('reason IS NULL')} AS promoted, {d.half_even(f"1 - {d.real(d.count_if("reason = 'language_mismatch'"))} / count(*)", 4)} AS language_fidelity, {d.half_even(f"{d.real(d.count_if('reason IS NULL'))} / count(*)", 4)} AS acceptance_rate FROM ({PM.gate(d, statements(d), 'pkg')}) g GROUP BY target_section")
+@plan("ag7_report", OR.inspected)
+def _inspected(spark, sf_dir):
+    """The inspection report of every package."""
+    full = hold(FE.filled(run(spark, sf_dir, f"SELECT * FROM {R.packages_json(SPARK)} p")))
+    found = IN.report(full, run(spark, sf_dir, f"SELECT * FROM {R.package_sources(SPARK)} s"))
+    return found.select("doc_id", *(F.coalesce(F.expr(v), F.lit("")).alias(k) if "array_join" in v else F.expr(v).alias(k) for k, v in OR.REPORT.items()))
+
+
 query("ag8_inventory")(lambda d: AG.inventory(d, R.items(d) + " i"))
 query("ag9_confidence")(lambda d: AG.confidence_buckets(d, R.items(d) + " i", "pkg"))
 query("ag10_worst_traced")(lambda d: AG.worst_traced(d, R.items(d) + " i", "pkg"))

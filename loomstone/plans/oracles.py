@@ -114,3 +114,40 @@ def ngram_languages() -> str:
     f AS (SELECT r.doc_id, l.lang, count(*) * 300 AS most, sum(coalesce(least(abs(rank - place), 300), 300)) AS far FROM r CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = r.gram GROUP BY r.doc_id, l.lang),
     b AS (SELECT doc_id, any_value(most) AS most, list(lang ORDER BY far, lang)[1] AS lang, list(far ORDER BY far, lang) AS fars FROM f GROUP BY doc_id)
     SELECT d.doc_id, CASE WHEN d.enough AND most > 0 AND fars[1] < most AND fars[2] - fars[1] >= 0.004 * most THEN b.lang ELSE 'und' END AS found, round(coalesce(1 - fars[1] / most, 0), 6) AS score FROM d LEFT JOIN b USING (doc_id)"""
+
+
+#: Columns of the inspection report as its query shows them, over report()'s structs.
+REPORT = {
+    "title": "cover.title", "domain": "cover.domain", "human_readability": "cover.human_readability", "total": "inventory.total", "empty_sections": "array_join(inventory.empty, ',')",
+    "types": "array_join(transform(inventory.types, t -> t.type || '=' || t.n), ',')", "buckets": "array_join(quality.buckets, ',')", "mean": "bround(quality.mean, 9)", "traced": "traceability.traced", "pct": "bround(traceability.pct, 9)",
+    "worst": "array_join(transform(traceability.worst, w -> w.section || '=' || w.traced || '/' || w.total), ',')", "orphans": "array_join(transform(traceability.orphans, o -> o.section || ':' || o.id || ':' || coalesce(o.title, '')), ',')", "n_orphans": "traceability.n_orphans",
+    "excerpts": "source_coverage.total", "located": "source_coverage.located", "failures": "array_join(transform(source_coverage.failures, f -> f.section || ':' || f.id || ':' || f.excerpt), ',')", "source_bytes": "compression.source_bytes", "package_tokens": "compression.package_tokens",
+    "decision_rules": "rules.decision_rules", "samples": "array_join(transform(rules.decision_rules_samples, r -> r.id || ':' || r.first), chr(10))", "missing_context": "array_join(limits.missing_context, ',')",
+}
+
+
+def inspected() -> str:
+    """The report worked out from the package's JSON item by item."""
+    traced = ", ".join(repr(s) for s in FE.LISTS if s != "source_traceability")
+    order = "list_position([" + ", ".join(D.lit(s) for s in FE.LISTS) + "], section)"
+    b = ", ".join(f"count(*) FILTER (WHERE conf >= {x} AND conf < {y} AND section <> 'source_traceability')" for x, y in ((0, 0.5), (0.5, 0.7), (0.7, 0.85), (0.85, 1.0001)))
+    return f"""WITH sections AS MATERIALIZED ({package_filled()}), item AS MATERIALIZED (SELECT doc_id, section, {order} AS o, unnest(range(json_array_length(value)::BIGINT)) AS n, unnest(cast(json_extract(value, '$[*]') AS json[])) AS i FROM sections WHERE value LIKE '[%'),
+    f AS MATERIALIZED (SELECT *, i->>'id' AS id, cast(i->>'confidence' AS double) AS conf, coalesce(json_array_length(i, '$.source_excerpts'), 0) > 0 OR coalesce(json_array_length(i, '$.source_refs'), 0) > 0 AS has, section IN ({traced}) AS t FROM item),
+    src AS MATERIALIZED (SELECT * FROM {R.package_sources(D)} s),
+    q AS (SELECT f.doc_id, o, n, k, section, coalesce(id, '—') AS id, e FROM (SELECT *, unnest(range(json_array_length(i, '$.source_excerpts')::BIGINT)) AS k, unnest(cast(i->'source_excerpts' AS varchar[])) AS e FROM f WHERE t) f WHERE trim(e) <> ''),
+    fo AS (SELECT q.*, contains(lower(regexp_replace(source, '\\s+', ' ', 'g')), lower(regexp_replace(e, '\\s+', ' ', 'g'))) OR contains(lower(source), lower(e)) AS ok FROM q JOIN src USING (doc_id)),
+    lost AS (SELECT doc_id, array_to_string(list(section || ':' || id || ':' || e ORDER BY o, n, k)[1:10], ',') AS failures FROM fo WHERE NOT ok GROUP BY doc_id),
+    cov AS (SELECT doc_id, count(*) AS excerpts, count(*) FILTER (WHERE ok) AS located FROM fo GROUP BY doc_id),
+    sec AS (SELECT doc_id, section, {order} AS o, json_array_length(value)::BIGINT AS n FROM sections WHERE value LIKE '[%'),
+    hs AS (SELECT doc_id, section, count(*) FILTER (WHERE has) AS k FROM f GROUP BY doc_id, section),
+    inv AS (SELECT doc_id, sum(n)::BIGINT AS total, coalesce(string_agg(section, ',' ORDER BY o) FILTER (WHERE n = 0), '') AS empty_sections FROM sec GROUP BY doc_id),
+    wst AS (SELECT doc_id, array_to_string(list(section || '=' || k || '/' || n ORDER BY k::DOUBLE / n, o)[1:5], ',') AS worst FROM sec JOIN hs USING (doc_id, section) WHERE section <> 'source_traceability' GROUP BY doc_id),
+    ty AS (SELECT doc_id, string_agg(x || '=' || c, ',' ORDER BY x) AS types FROM (SELECT doc_id, coalesce(nullif(i->>'type', ''), 'unknown') AS x, count(*) AS c FROM f WHERE section = 'atomic_units' GROUP BY ALL) y GROUP BY doc_id),
+    ag AS (SELECT doc_id, array_to_string([{b}], ',') AS buckets, round_even(avg(conf) FILTER (WHERE t), 9) AS mean, count(*) FILTER (WHERE has AND t) AS traced, round_even(count(*) FILTER (WHERE has AND t) / count(*) FILTER (WHERE t), 9) AS pct, count(*) FILTER (WHERE t AND NOT has AND id IS NOT NULL) AS n_orphans,
+        array_to_string(coalesce(list(section || ':' || id || ':' || coalesce(nullif(i->>'name', ''), nullif(i->>'label', ''), nullif(substr(i->>'statement', 1, 80), ''), '') ORDER BY o, n) FILTER (WHERE t AND NOT has AND id IS NOT NULL), [])[1:25], ',') AS orphans, count(*) FILTER (WHERE section = 'decision_rules') AS decision_rules,
+        array_to_string(coalesce(list(id || ':' || (i->>'condition') ORDER BY n) FILTER (WHERE section = 'decision_rules'), [])[1:5], chr(10)) AS samples FROM f GROUP BY doc_id),
+    me AS (SELECT doc_id, max(value) FILTER (WHERE section = 'metadata') AS m, max(value) FILTER (WHERE section = 'knowledge_limits') AS kl FROM sections GROUP BY doc_id)
+    SELECT inv.doc_id, m->>'source_title' AS title, m->>'domain' AS domain, cast(m->>'human_readability' AS double) AS human_readability, total, empty_sections, coalesce(types, '') AS types, coalesce(buckets, '0,0,0,0') AS buckets, mean, coalesce(traced, 0) AS traced, coalesce(pct, 0) AS pct, coalesce(worst, '') AS worst, coalesce(orphans, '') AS orphans,
+        coalesce(n_orphans, 0) AS n_orphans, coalesce(excerpts, 0) AS excerpts, coalesce(located, 0) AS located, coalesce(failures, '') AS failures, CASE WHEN length(source) > 0 AND length(packed) > 0 THEN strlen(source) END AS source_bytes, CASE WHEN length(source) > 0 AND length(packed) > 0 THEN floor(length(packed) / 4 + 0.5)::BIGINT END AS package_tokens,
+        coalesce(decision_rules, 0) AS decision_rules, coalesce(samples, '') AS samples, coalesce(array_to_string(cast(kl->'missing_context' AS varchar[]), ','), '') AS missing_context
+    FROM inv LEFT JOIN ty USING (doc_id) LEFT JOIN ag USING (doc_id) LEFT JOIN wst USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id) LEFT JOIN me USING (doc_id) LEFT JOIN src USING (doc_id)"""

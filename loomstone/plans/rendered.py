@@ -267,3 +267,9 @@ def cases_json(d: Dialect) -> str:
         "CASE WHEN p_size % 6 = 0 THEN '\"none\"' ELSE '\"low\"' END", "CASE WHEN p_partkey % 23 = 0 THEN '}' ELSE '}}' END",
     ]
     return f"(SELECT p_partkey, {' || '.join(parts)} AS value FROM part)"
+
+
+def package_sources(d: Dialect) -> str:
+    """The source text of each customer's package, spelling what the package quotes in four ways, and a text for the package."""
+    line = f"CASE o_orderkey % 4 WHEN 0 THEN 'An order ' || {d.text('o_orderkey')} || ' is on file.' WHEN 1 THEN 'ORDER ' || {d.text('o_orderkey')} || ' came.' WHEN 2 THEN 'no order' ELSE 'Order  ' || {d.text('o_orderkey')} || ' left.' END"
+    return f"(SELECT o_custkey AS doc_id, {d.join(d.gather(line, 'o_orderkey'), chr(10))} AS source, {d.join(d.gather('o_orderpriority', 'o_orderkey'), chr(10))} AS packed FROM orders WHERE o_custkey % 10 <> 0 GROUP BY o_custkey)"
