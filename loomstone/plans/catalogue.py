@@ -21,6 +21,7 @@ from loomstone.operators import promote as PM
 from loomstone.operators import provenance as TR
 from loomstone.operators import reduce as RE
 from loomstone.operators import report as AG
+from loomstone.operators import sanitize as SA
 from loomstone.operators import schema as SC
 from loomstone.operators import segment as SG
 from loomstone.plans import oracles as OR
@@ -303,6 +304,12 @@ def _near_copies(d):
     return f"SELECT pkg, section, ord, CASE WHEN near THEN 'near_duplicate' END AS reason FROM {DD.kept_apart(d, kept + ' j', 'pkg, section', 'ord', 'x', 'x')} k"
 
 
+@plan("sn1_package", OR.package_verdicts)
+def _verdicts(spark, sf_dir):
+    """The verdict on every item of every package, all sections and fields."""
+    return SA.judged(run(spark, sf_dir, f"SELECT * FROM {R.partial_sections(SPARK)} p")).drop("item")
+
+
 query("sn1_sanitize")(_sanitized)
 query("sn1_reject_counts")(lambda d: f"SELECT section, field, reason, count(*) AS n FROM ({_sanitized(d)}) s GROUP BY section, field, reason")
 

@@ -151,3 +151,26 @@ def inspected() -> str:
         coalesce(n_orphans, 0) AS n_orphans, coalesce(excerpts, 0) AS excerpts, coalesce(located, 0) AS located, coalesce(failures, '') AS failures, CASE WHEN length(source) > 0 AND length(packed) > 0 THEN strlen(source) END AS source_bytes, CASE WHEN length(source) > 0 AND length(packed) > 0 THEN floor(length(packed) / 4 + 0.5)::BIGINT END AS package_tokens,
         coalesce(decision_rules, 0) AS decision_rules, coalesce(samples, '') AS samples, coalesce(array_to_string(cast(kl->'missing_context' AS varchar[]), ','), '') AS missing_context
     FROM inv LEFT JOIN ty USING (doc_id) LEFT JOIN ag USING (doc_id) LEFT JOIN wst USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id) LEFT JOIN me USING (doc_id) LEFT JOIN src USING (doc_id)"""
+
+
+def package_verdicts() -> str:
+    """Fields by role from the JSON, the first failing text of an item, and near copies among what is kept."""
+    from loomstone.operators import promote as PM
+    from loomstone.operators import sanitize as SA
+
+    roles = D.rows(["section", "no", "field", "role"], [[D.lit(s), str(i), D.lit(f), D.lit(r)] for i, (s, f, r) in enumerate(P.FIELD_ROLES)])
+    keys = "CASE section " + " ".join(f"WHEN '{s}' THEN concat_ws(' ', {', '.join(f"i->>'{f}'" for f in fs)})" for s, fs in SA.COPY_FIELDS.items()) + " END"
+    b, c = "coalesce(i->>'compressed_knowledge', '')", "coalesce(i->>'standalone_context', '')"
+    title = PM.repaired_title(D, "coalesce(i->>'title', '')", b)
+    key = f"CASE WHEN fine THEN {title} || ' ' || {b} ELSE {keys} END"
+    return f"""WITH rows0 AS MATERIALIZED (SELECT * FROM {R.partial_sections(D)} p), lang AS (SELECT doc_id AS id, value->>'language' AS lang FROM rows0 WHERE section = 'metadata'),
+    item AS MATERIALIZED (SELECT doc_id, section, n, i, lang, section = 'retrieval_chunks' AND json_array_length(i, '$.source_refs') > 0 AND json_array_length(i, '$.source_excerpts') > 0 AND {PM.valid_chunk(D, b, c)} AS fine
+        FROM (SELECT doc_id, section, unnest(range(json_array_length(value)::BIGINT)) AS n, unnest(cast(json_extract(value, '$[*]') AS json[])) AS i FROM rows0 WHERE section IN ({', '.join(repr(s) for s in SA.SECTIONS)})) x LEFT JOIN lang ON id = doc_id),
+    field AS (SELECT doc_id, item.section, n, lang, no, field, role, json_extract(i, '$.' || field) AS x FROM item JOIN {roles} r USING (section) WHERE NOT fine),
+    txt AS (SELECT f.doc_id, f.section, f.n, f.lang, f.no, f.field, f.role, t.id AS pos, t.atom->>'$' AS t FROM field f, json_tree(f.x) t WHERE t.type = 'VARCHAR'),
+    bad AS MATERIALIZED (SELECT * FROM (SELECT *, {T.reject_reason(D, 't', 'role', 'lang')} AS reason FROM txt) y WHERE reason IS NOT NULL),
+    one AS (SELECT doc_id, section, n, arg_min({{'reason': reason, 'field': field, 'preview': substr({T.squeeze(D, 't')}, 1, 120)}}, no * 1000 + pos) AS v FROM bad GROUP BY doc_id, section, n),
+    judged AS MATERIALIZED (SELECT item.*, v.reason AS reason, v.field AS field, v.preview AS preview, {T.squeeze(D, key)} AS k FROM item LEFT JOIN one USING (doc_id, section, n)),
+    near AS (SELECT * FROM {DD.kept_apart(D, f"(SELECT doc_id, section, n, k AS x FROM judged WHERE reason IS NULL AND section IN ({', '.join(repr(s) for s in SA.COPY_FIELDS)})) w", 'doc_id, section', 'n', 'x', 'x')} k0)
+    SELECT j.doc_id, j.section, j.n::INT AS n, CASE WHEN fine THEN {title} END AS title, CASE WHEN near THEN 'duplicate' WHEN reason IS NULL THEN 'kept' ELSE 'removed' END AS status, CASE WHEN near THEN 'near_duplicate' ELSE reason END AS reason, CASE WHEN near THEN NULL ELSE field END AS field, CASE WHEN near THEN substr(k, 1, 120) ELSE preview END AS preview
+    FROM judged j LEFT JOIN near ON j.doc_id = near.doc_id AND j.section = near.section AND j.n = near.ord"""

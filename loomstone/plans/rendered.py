@@ -273,3 +273,17 @@ def package_sources(d: Dialect) -> str:
     """The source text of each customer's package, spelling what the package quotes in four ways, and a text for the package."""
     line = f"CASE o_orderkey % 4 WHEN 0 THEN 'An order ' || {d.text('o_orderkey')} || ' is on file.' WHEN 1 THEN 'ORDER ' || {d.text('o_orderkey')} || ' came.' WHEN 2 THEN 'no order' ELSE 'Order  ' || {d.text('o_orderkey')} || ' left.' END"
     return f"(SELECT o_custkey AS doc_id, {d.join(d.gather(line, 'o_orderkey'), chr(10))} AS source, {d.join(d.gather('o_orderpriority', 'o_orderkey'), chr(10))} AS packed FROM orders WHERE o_custkey % 10 <> 0 GROUP BY o_custkey)"
+
+
+def partial_sections(d: Dialect) -> str:
+    """The partial packages of customers as section rows (doc_id, section, value), items with their sections' own fields."""
+    from loomstone.operators.reduce import FIELDS
+
+    name = lambda i: "CASE section " + " ".join(f"WHEN '{s}' THEN '\"{f[i]}\":'" for s, f in FIELDS.items() if f[i]) + " END"
+    field = lambda i, x: f"{name(i)} || {d.json_quote(x)}"
+    many = lambda a: f"'[' || {d.join(d.each(a, lambda v: d.json_quote(v), 'q'), ',')} || ']'"
+    steps = f"CASE WHEN section = 'procedures' THEN '\"steps\":[{{\"step\":1,\"action\":' || {d.json_quote("CASE WHEN ord % 5 = 0 THEN 'Check it and' ELSE 'Check it.' END")} || '}}]' WHEN section = 'playbooks' THEN '\"steps\":' || {many('steps')} END"
+    body = f"concat_ws(',', '\"id\":' || {d.json_quote("substr(section, 1, 2) || '_' || " + d.text('ord'))}, {field(0, 'a')}, {field(1, 'b')}, {field(2, 'c')}, {steps}, '\"source_refs\":' || {many('refs')}, '\"source_excerpts\":' || CASE WHEN ord % 3 = 0 THEN '[]' ELSE {many('excerpts')} END)"
+    items = f"SELECT pkg AS doc_id, section, '[' || {d.join(d.gather(f"'{{' || {body} || '}}'", 'ord'), ',')} || ']' AS value FROM {partials(d)} ps GROUP BY pkg, section"
+    meta = f"SELECT c_custkey AS doc_id, 'metadata' AS section, '{{\"language\":\"' || CASE WHEN c_custkey % 4 = 0 THEN 'pt' ELSE 'en' END || '\"}}' AS value FROM customer WHERE c_custkey % 7 <> 0"
+    return f"(SELECT * FROM ({items}) p0 UNION ALL SELECT * FROM ({meta}) p1)"
