@@ -23,14 +23,16 @@ from loomstone.operators import reduce as RE
 from loomstone.operators import report as AG
 from loomstone.operators import sanitize as SA
 from loomstone.operators import schema as SC
+from loomstone.operators import search as SE
 from loomstone.operators import segment as SG
 from loomstone.plans import oracles as OR
 from loomstone.plans import rendered as R
-from loomstone.plans.compile import hold
+from loomstone.plans.compile import hold, scratch
 from loomstone.sources import fenced as FE
 from loomstone.sources import layout as LA
 from loomstone.sources import markup as IO
 from loomstone.sources import readable as RD
+from loomstone.streaming import judging as JU
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 BUILDERS: dict[str, Callable[[Dialect], str]] = {}
@@ -252,6 +254,18 @@ query("fl10_valid_chunks")(lambda d: f"SELECT pkg, ord, {PM.valid_chunk(d, 'body
 query("fl13_refusals")(lambda d: f"SELECT conv_id, turn, {BM.refusal(d, 'text')} AS refused, {BM.escalation(d, 'text')} AS escalates FROM conversations UNION ALL SELECT o_orderkey, 0, {BM.refusal(d, "CASE o_orderkey % 3 WHEN 0 THEN 'I cannot say.' WHEN 1 THEN 'Please consult the legal team.' ELSE 'The CEO said yes.' END")}, {BM.escalation(d, "CASE o_orderkey % 3 WHEN 0 THEN 'I cannot say.' WHEN 1 THEN 'Please consult the legal team.' ELSE 'The CEO said yes.' END")} FROM orders")
 query("fl15_search")(lambda d: f"SELECT pkg, section, ord FROM {R.items(d)} i WHERE contains(lower(title || ' ' || body), 'review order 1')")
 
+LITERALS = ["review order 1", "Courier", "vs.", "or", "signed contract that nobody has"]
+
+
+@plan("fl15_indexed_search", lambda: OR.literal_search(LITERALS))
+def _searched(spark, sf_dir):
+    """Several literals searched in the items of all packages by a posting table."""
+    items = run(spark, sf_dir, f"SELECT * FROM {R.partials(SPARK)} p")
+    path = scratch(spark)
+    SE.index(items, path)
+    return SE.search(items, path, LITERALS)
+
+
 # ---- similarity, dedup, merge ----
 query("dd3_jaccard_join")(lambda d: DD.shared_tokens(d, "(SELECT doc_id, text FROM documents)", "(SELECT item_id, text FROM benchmark)", "doc_id", "item_id", 0.2))
 query("dd4_turn_similarity")(lambda d: f"SELECT conv_id, turn, {d.half_even(T.jaccard(d, 'a', 'b'), 6)} AS similarity FROM (SELECT conv_id, turn, {T.plain_tokens(d, 'text')} AS a, {T.plain_tokens(d, 'coalesce(before, ' + d.lit('') + ')')} AS b FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) c) e")
@@ -434,6 +448,12 @@ def _schema(spark, sf_dir):
 query("bm13_parity")(lambda d: f"SELECT coalesce(a.case_id, b.case_id) AS case_id, CASE WHEN b.case_id IS NULL THEN 'missing_translation' ELSE 'extra_translation' END AS problem FROM (SELECT case_id FROM {R.cases(d)} c WHERE n_probes <> 1) a FULL OUTER JOIN (SELECT case_id FROM {R.cases(d)} c WHERE n_probes <> 2) b ON a.case_id = b.case_id WHERE a.case_id IS NULL OR b.case_id IS NULL")
 query("bm16_resume")(lambda d: f"SELECT t.task_key FROM ({BM.tasks(d, R.cases(d), ['mock:yes'], ['primary'], 2)}) t LEFT ANTI JOIN (SELECT task_key FROM {R.results(d)} r) p ON t.task_key = p.task_key" if d.name == "spark" else f"SELECT t.task_key FROM ({BM.tasks(d, R.cases(d), ['mock:yes'], ['primary'], 2)}) t ANTI JOIN (SELECT task_key FROM {R.results(d)} r) p ON t.task_key = p.task_key")
 query("bm17_export")(lambda d: f"SELECT case_id, {d.sha256('raw_text')} AS raw_sha256, {d.sha256('gold')} AS gold_sha256, length(raw_text) AS raw_chars FROM {R.cases(d)} c")
+@query("hp23_judge_prompt")
+def _judge_prompt(d):
+    few = lambda n: f"CASE n WHEN 0 THEN {d.empty()} WHEN 1 THEN {d.array('gold')} ELSE {d.array('gold', 'query', 'response', 'task_key')} END".replace("CASE n", f"CASE length(task_key) % {n}")
+    return f"SELECT task_key, {JU.prompt(d, 'query', 'gold', 'substr(gold, 1, 20)', {'composition_hallucination': few(2), 'wrong_escalation': few(3), 'refusal': few(4)}, 'response')} AS prompt FROM {R.results(d)} r"
+
+
 query("hp16_http_errors")(lambda d: f"SELECT o_orderkey, {BM.http_error(d, 'status', 'body')} AS error_class FROM (SELECT o_orderkey, cast(CASE o_orderkey % 7 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 429 WHEN 3 THEN 402 WHEN 4 THEN 400 WHEN 5 THEN 400 ELSE 503 END AS int) AS status, CASE o_orderkey % 4 WHEN 0 THEN 'Schema with lots of properties' WHEN 1 THEN 'Invalid JSON schema' WHEN 2 THEN 'schema too complex' ELSE 'bad request' END AS body FROM orders) o")
 
 

@@ -174,3 +174,11 @@ def package_verdicts() -> str:
     near AS (SELECT * FROM {DD.kept_apart(D, f"(SELECT doc_id, section, n, k AS x FROM judged WHERE reason IS NULL AND section IN ({', '.join(repr(s) for s in SA.COPY_FIELDS)})) w", 'doc_id, section', 'n', 'x', 'x')} k0)
     SELECT j.doc_id, j.section, j.n::INT AS n, CASE WHEN fine THEN {title} END AS title, CASE WHEN near THEN 'duplicate' WHEN reason IS NULL THEN 'kept' ELSE 'removed' END AS status, CASE WHEN near THEN 'near_duplicate' ELSE reason END AS reason, CASE WHEN near THEN NULL ELSE field END AS field, CASE WHEN near THEN substr(k, 1, 120) ELSE preview END AS preview
     FROM judged j LEFT JOIN near ON j.doc_id = near.doc_id AND j.section = near.section AND j.n = near.ord"""
+
+
+def literal_search(literals: list[str]) -> str:
+    """Every text compared with every literal."""
+    from loomstone.operators.search import SEARCHED
+
+    text = f"lower(CASE WHEN section IN ({', '.join(repr(s) for s in SEARCHED)}) THEN coalesce(a, '') ELSE concat_ws(' ', a, b) END)"
+    return f"SELECT literal, pkg, section, ord FROM (SELECT pkg, section, ord, {text} AS x FROM {R.partials(D)} p) i JOIN {D.rows(['literal'], [[D.lit(s)] for s in literals])} l ON contains(x, lower(literal))"
