@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.shipping import ship
 from loomstone.sources import fenced as FE
 
 #: Sections whose items carry a trace, in the report's order, and the buckets of confidence (from, below).
@@ -85,6 +86,7 @@ _FOUND = "total long, located long, failures array<struct<section: string, id: s
 
 def coverage(packages: DataFrame) -> DataFrame:
     """(doc_id, total, located, failures, places) of packages (doc_id, source, excerpts: structs of section, id, excerpt)."""
+    ship(packages.sparkSession)
     kind = packages.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

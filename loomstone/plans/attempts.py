@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import patterns as P
+from loomstone.shipping import ship
 from loomstone.sources.readers import slim_schema
 
 #: Classes for which another try is no use: the row is a dead letter until something else changes.
@@ -65,6 +66,7 @@ def attempt(call: Callable, text: str, schema, budget: int, wait: float, sleep=t
 def attempts(df: DataFrame, keys: list[str], text: str, call: Callable, schema=None, budget: int = 3, wait: float = 1.0) -> DataFrame:
     """(keys, result, tries, slim, error_class, error): each row's text through call, in Arrow batches. Null texts are not sent and have
     neither result nor error."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.shipping import ship
+
 CASE_SCHEMA = """case_id string, metadata struct<domain: string, relation_type: string, complexity_level: int, source_status: string>,
 representations struct<raw: string, annotated: string, compiled: string>, query string, gold_answer struct<full: string, minimal: string, required_relations: array<string>>,
 local_probes array<struct<fragment_id: string, probe: string, expected_answer: string>>,
@@ -41,6 +43,8 @@ def docx_text(raw: bytes) -> str | None:
 def office(spark: SparkSession, path: str) -> DataFrame:
     """IO1 for word-processor files: (filename, text); text is null for what cannot be read."""
 
+    ship(spark)
+
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             yield b.assign(text=[docx_text(bytes(x)) for x in b["content"]])[["filename", "text"]]
