@@ -29,6 +29,7 @@ from loomstone.plans import oracles as OR
 from loomstone.plans import rendered as R
 from loomstone.plans.compile import hold, scratch
 from loomstone.sources import fenced as FE
+from loomstone.sources import folders as FO
 from loomstone.sources import layout as LA
 from loomstone.sources import markup as IO
 from loomstone.sources import readable as RD
@@ -197,6 +198,42 @@ def _filled(spark, sf_dir):
     return FE.filled(FE.read(_packages(spark, sf_dir)[1]))
 
 
+@plan("io11_package_files", OR.package_sections)
+def _package_files(spark, sf_dir):
+    """Every package written as a file of its own and the folder read back."""
+    kind = "CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.json' ELSE '.yaml' END"
+    root = scratch(spark)
+    FO.write(_packages(spark, sf_dir)[1].select(F.lit("").alias("folder"), F.expr(f"doc_id || {kind}").alias("file"), "text"), root)
+    read = FO.packages(spark, root).where("error IS NULL")
+    return read.select(F.expr("cast(regexp_extract(doc_id, '^[0-9]+', 0) AS bigint)").alias("doc_id"), "section", "value")
+
+
+def _case_root(spark, sf_dir):
+    """The case folders of all parts, written: (root, cases read back)."""
+    root = scratch(spark)
+    FO.write(run(spark, sf_dir, f"SELECT * FROM {R.case_files(SPARK)} f"), root)
+    return root, FO.cases(spark, root)
+
+
+@plan("hp18_case_files", OR.case_files)
+def _case_files(spark, sf_dir):
+    """Every case file of two languages, with what is wrong with it."""
+    return _case_root(spark, sf_dir)[1].select("lang", "file", "stem", "case_id", "error", F.sha2("value", 256).alias("value_sha256"))
+
+
+@plan("hp19_case_index", OR.case_index)
+def _case_index(spark, sf_dir):
+    """The case of each id and language."""
+    return FO.index(_case_root(spark, sf_dir)[1]).select("lang", "case_id", "file")
+
+
+@plan("hp25_parity", OR.case_parity)
+def _case_parity(spark, sf_dir):
+    """Ids and names that the languages' folders and the packages do not share."""
+    root, found = _case_root(spark, sf_dir)
+    return FO.parity(spark, root, found)
+
+
 @plan("sn3_strings", OR.nested_strings)
 def _strings(spark, sf_dir):
     """Every text anywhere in the packages' values, with its path."""

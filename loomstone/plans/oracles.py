@@ -104,6 +104,31 @@ def case_violations() -> str:
     return f"WITH cases AS (SELECT * FROM {R.cases_json(D)} c), good AS (SELECT * FROM cases WHERE json_valid(value)) " + " UNION ALL ".join(tests)
 
 
+def _cases() -> str:
+    """Case files with their ids, as a WITH clause."""
+    return f"""WITH files AS MATERIALIZED (SELECT * FROM {R.case_files(D)} f),
+    found AS (SELECT CASE folder WHEN 'cases' THEN 'en' ELSE 'pt-br' END AS lang, file, split_part(file, '.', 1) AS stem, CASE WHEN json_valid(text) THEN json_extract_string(text, '$.case_id') END AS case_id,
+        CASE WHEN NOT json_valid(text) THEN 'json' END AS error, sha256(text) AS value_sha256 FROM files WHERE folder <> 'ckf/cases')"""
+
+
+def case_files() -> str:
+    """HP18, by the names and texts that were written."""
+    return f"{_cases()} SELECT * FROM found"
+
+
+def case_index() -> str:
+    """HP19: ids from the greatest name that states them."""
+    return f"{_cases()} SELECT lang, case_id, max(file) AS file FROM found WHERE case_id IS NOT NULL GROUP BY lang, case_id"
+
+
+def case_parity() -> str:
+    """HP25, BM13: differences of sets, both ways."""
+    own = "SELECT coalesce(case_id, stem) AS key FROM found WHERE lang = '{}'"
+    names = "SELECT replace(file, '{1}', '') AS key FROM files WHERE folder = '{0}'"
+    en, pt, case, pack = own.format("en"), own.format("pt-br"), names.format("cases", ".json"), names.format("ckf/cases", ".ckf.json")
+    return _cases() + " " + " UNION ALL ".join(f"SELECT key, '{p}' AS problem FROM (({a}) EXCEPT ({b})) x" for a, b, p in ((en, pt, "missing_translation"), (pt, en, "extra_translation"), (case, pack, "missing_package"), (pack, case, "extra_package")))
+
+
 def ngram_languages() -> str:
     """Ranks counted over unnested trigrams, profiles of the rows that are not held out."""
     s = "' ' || trim(regexp_replace(lower(substr(coalesce(text, ''), 1, 2048)), '[^\\p{L}]+', ' ', 'g')) || ' '"

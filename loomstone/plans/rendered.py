@@ -269,6 +269,17 @@ def cases_json(d: Dialect) -> str:
     return f"(SELECT p_partkey, {' || '.join(parts)} AS value FROM part)"
 
 
+def case_files(d: Dialect) -> str:
+    """Files (folder, file, text) of each part's case: one or two translations, some files without an id, some ids stated by two
+    files or in one language only, and a package for most cases."""
+    k, value = d.text("p_partkey"), f"{cases_json(d)} c"
+    unnamed = "CASE WHEN p_partkey % 6 = 0 THEN replace(value, '\"case_id\"', '\"case\"') ELSE value END"
+    return f"""(SELECT 'cases' AS folder, 'part_' || {k} || '.json' AS file, {unnamed} AS text FROM {value}
+    UNION ALL SELECT 'cases_pt-br', CASE WHEN p_partkey % 8 = 1 THEN 'peça_' ELSE 'part_' END || {k} || '.v1.json', replace(value, '_', CASE WHEN p_partkey % 19 = 0 THEN '-' ELSE '_' END) FROM {value}
+    UNION ALL SELECT 'cases_pt-br', 'part_' || {k} || '.v2.json', value FROM {value} WHERE p_partkey % 5 = 0
+    UNION ALL SELECT 'ckf/cases', CASE WHEN p_partkey % 16 = 3 THEN 'Part_' ELSE 'part_' END || {k} || '.ckf.json', '{{}}' FROM part)"""
+
+
 def package_sources(d: Dialect) -> str:
     """The source text of each customer's package, spelling what the package quotes in four ways, and a text for the package."""
     line = f"CASE o_orderkey % 4 WHEN 0 THEN 'An order ' || {d.text('o_orderkey')} || ' is on file.' WHEN 1 THEN 'ORDER ' || {d.text('o_orderkey')} || ' came.' WHEN 2 THEN 'no order' ELSE 'Order  ' || {d.text('o_orderkey')} || ' left.' END"
