@@ -117,6 +117,10 @@ class Spark(Dialect):
     def both(self, a, b):
         return f"size(array_intersect({a}, {b}))"
 
+    def less(self, a, b):
+        """The distinct items of a that b has not."""
+        return f"array_except({a}, {b})"
+
     def has_item(self, a, x):
         return f"array_contains({a}, {x})"
 
@@ -285,6 +289,9 @@ class Duck(Dialect):
     def both(self, a, b):
         return f"len(list_intersect({a}, {b}))"
 
+    def less(self, a, b):
+        return f"list_filter(list_distinct({a}), lambda xq: NOT list_contains({b}, xq))"
+
     def has_item(self, a, x):
         return f"list_contains({a}, {x})"
 

@@ -49,38 +49,35 @@ def json_array(d: Dialect, rel: str, key: str, x: str = "text") -> str:
 
 
 def _ancestors(d: Dialect, depth: str, title: str, part: str, order: str) -> str:
-    """Columns a1..a6: the latest heading of each depth that no shallower one has ended; a filler for skipped depths."""
-    cols = []
-    for k in range(1, 7):
-        w = f"OVER (PARTITION BY {part} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
-        cols.append(f"max(CASE WHEN {depth} = {k} THEN {order} END) {w} AS at{k}, max(CASE WHEN {depth} < {k} THEN {order} END) {w} AS up{k}")
-    return ", ".join(cols)
+    """Columns at1..at5, up2..up5 and last: the latest heading of each depth with its title, the place of the latest shallower one, and
+    the latest heading of all. A running maximum of (place, title) carries titles along, so that no heading is looked up again."""
+    w = f"OVER (PARTITION BY {part} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    cols = [f"max(CASE WHEN {depth} = {k} THEN {d.struct(place=order, title=title)} END) {w} AS at{k}" for k in range(1, 6)]
+    cols += [f"max(CASE WHEN {depth} < {k} THEN {order} END) {w} AS up{k}" for k in range(2, 6)]
+    return ", ".join([*cols, f"max(CASE WHEN {depth} IS NOT NULL THEN {d.struct(place=order, depth=depth, title=title)} END) {w} AS last"])
+
+
+def _crumbs() -> str:
+    """The path of the latest heading: above its own depth the latest heading of each depth that no shallower one has ended, or a filler."""
+    above = [f"CASE WHEN last.depth > {k} THEN " + (f"CASE WHEN at{k}.place > coalesce(up{k}, 0) THEN at{k}.title ELSE '…' END" if k > 1 else "coalesce(at1.title, '…')") + " END" for k in range(1, 6)]
+    return f"CASE WHEN last IS NULL THEN 'document' ELSE concat_ws(' > ', {', '.join(above)}, last.title) END"
 
 
 def sections(d: Dialect, rel: str, key: str, x: str = "text") -> str:
     """SG4: heading-scoped sections with their breadcrumb; a preamble without text is dropped.
 
-    The breadcrumb at a heading is, per depth above its own, the latest heading of that depth since the latest shallower
-    one, found by running maxima over line numbers (no fold over lines)."""
+    One window over the lines and one grouping of what it gives, both by document: lines move once."""
     ln = lines(d, rel, key, x)
     head = r"^(#{1,6})\s+(.+?)\s*\z"
     marked = f"(SELECT *, CASE WHEN {d.has('line', head)} THEN length({d.first('line', head, 1)}) END AS depth, CASE WHEN {d.has('line', head)} THEN {T.trim(d, d.first('line', head, 2))} END AS title FROM {ln} m0)"
     run = f"(SELECT *, count(depth) OVER (PARTITION BY {key} ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sec, {_ancestors(d, 'depth', 'title', key, 'line_no')} FROM {marked} m1)"
-    heads = f"(SELECT {key}, sec, line_no AS line_start, depth, title, {', '.join(f'at{k}, up{k}' for k in range(1, 7))} FROM run WHERE depth IS NOT NULL)"
-    body = f"(SELECT {key}, sec, min(line_no) AS first_line, {d.join(d.gather('line', 'line_no'), MARK)} AS joined FROM run WHERE depth IS NULL GROUP BY {key}, sec)"
-    crumb = []
-    for k in range(1, 7):
-        crumb.append(f"CASE WHEN h.depth = {k} THEN h.title" + (f" WHEN h.depth > {k} THEN coalesce(t{k}.title, '…')" if k < 6 else "") + " END")
-    joins = " ".join(f"LEFT JOIN heads t{k} ON t{k}.{key} = h.{key} AND t{k}.line_start = h.at{k} AND h.depth > {k} AND h.at{k} > coalesce(h.up{k}, 0)" for k in range(1, 6))
-    path = f"concat_ws(' > ', {', '.join(crumb)})"
+    joined = d.join(d.gather("CASE WHEN depth IS NULL THEN line ELSE '' END", "line_no"), MARK)
+    secs = f"""(SELECT {key}, sec, coalesce(max(CASE WHEN depth IS NOT NULL THEN line_no END), 1) AS line_start, max(title) AS title, max(path) AS path, {T.trim(d, f"replace({joined}, chr(30), chr(10))")} AS body
+        FROM (SELECT {key}, sec, line_no, line, depth, title, {_crumbs()} AS path FROM {run} m2) m3 GROUP BY {key}, sec)"""
     return f"""
-    WITH run AS {run}, heads AS {heads}, body AS {body},
-    crumbs AS (SELECT h.{key}, h.sec, h.line_start, h.title, {path} AS path FROM heads h {joins}),
-    secs AS (SELECT coalesce(c.{key}, b.{key}) AS {key}, coalesce(c.sec, b.sec) AS sec, coalesce(c.line_start, 1) AS line_start, c.title, coalesce(c.path, 'document') AS path,
-             {T.trim(d, "coalesce(replace(b.joined, chr(30), chr(10)), '')")} AS body FROM crumbs c FULL OUTER JOIN body b ON c.{key} = b.{key} AND c.sec = b.sec)
     SELECT {key}, {span_id(d, f'row_number() OVER (PARTITION BY {key} ORDER BY sec)')} AS span_id, 'markdown_section' AS source_type, path, title AS heading, line_start,
         text, {d.sha256('text')} AS text_sha256
-    FROM (SELECT *, CASE WHEN title IS NULL THEN body ELSE {T.trim(d, "title || chr(10) || chr(10) || body")} END AS text FROM secs WHERE title IS NOT NULL OR body <> '') s"""
+    FROM (SELECT *, CASE WHEN title IS NULL THEN body ELSE {T.trim(d, "title || chr(10) || chr(10) || body")} END AS text FROM {secs} s0 WHERE title IS NOT NULL OR body <> '') s"""
 
 
 def cut_before(d: Dialect, rel: str, key: str, marker: str, x: str = "text") -> str:
@@ -170,16 +167,12 @@ def headed_sections(d: Dialect, rel: str, key: str, x: str = "text") -> str:
     depth, title = heading(d, "line")
     marked = f"(SELECT {key}, line_no, line, cast({depth} AS int) AS depth, {title} AS title FROM {lines(d, f'(SELECT {key}, {flat} AS text FROM {rel}) n0', key)} n1)"
     own = "CASE WHEN depth < 7 THEN least(depth, 6) END"
-    w = f"OVER (PARTITION BY {key} ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
-    run = f"(SELECT *, count(depth) {w} AS sec, max(CASE WHEN own IS NOT NULL THEN line_no END) {w} AS head_at, {_ancestors(d, 'own', 'title', key, 'line_no')} FROM (SELECT *, {own} AS own FROM {marked} n2) n3)"
-    # Of each section its last line with a heading's state: what its own heading left, or the one before a rule.
-    secs = f"(SELECT {key}, sec, max(head_at) AS head_at, {d.join(d.gather("CASE WHEN depth = 7 THEN '' ELSE line END", 'line_no'), MARK)} AS joined FROM run GROUP BY {key}, sec)"
-    crumb = [f"CASE WHEN h.own = {k} THEN h.title" + (f" WHEN h.own > {k} THEN coalesce(t{k}.title, '…')" if k < 6 else "") + " END" for k in range(1, 7)]
-    joins = " ".join(f"LEFT JOIN heads t{k} ON t{k}.{key} = h.{key} AND t{k}.line_no = h.at{k} AND h.own > {k} AND h.at{k} > coalesce(h.up{k}, 0)" for k in range(1, 6))
-    return f"""WITH run AS {run}, heads AS (SELECT * FROM run WHERE own IS NOT NULL), secs AS {secs},
-    crumbs AS (SELECT h.{key}, h.line_no, h.title, concat_ws(' > ', {', '.join(crumb)}) AS path FROM heads h {joins})
-    SELECT s.{key}, s.sec, coalesce(c.path, 'document') AS path, c.title AS heading, {T.trim(d, "replace(s.joined, chr(30), chr(10))")} AS text
-    FROM secs s LEFT JOIN crumbs c ON s.{key} = c.{key} AND s.head_at = c.line_no WHERE {T.trim(d, "replace(s.joined, chr(30), chr(10))")} <> ''"""
+    run = f"(SELECT *, count(depth) OVER (PARTITION BY {key} ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sec, {_ancestors(d, 'own', 'title', key, 'line_no')} FROM (SELECT *, {own} AS own FROM {marked} n2) n3)"
+    # The latest heading is the same on all lines of a section: its own, or after a rule the one before it.
+    joined = d.join(d.gather("CASE WHEN depth = 7 THEN '' ELSE line END", "line_no"), MARK)
+    secs = f"""(SELECT {key}, sec, max(path) AS path, max(heading) AS heading, {T.trim(d, f"replace({joined}, chr(30), chr(10))")} AS text
+        FROM (SELECT {key}, sec, line_no, line, depth, {_crumbs()} AS path, last.title AS heading FROM {run} n4) n5 GROUP BY {key}, sec)"""
+    return f"SELECT {key}, sec, path, heading, text FROM {secs} s WHERE text <> ''"
 
 
 def chunks(d: Dialect, rel: str, key: str, most: int, x: str = "text") -> str:

@@ -214,3 +214,29 @@ def test_page_lines(spark):
     df = spark.createDataFrame([(1, 1, p, s, h, 11.0, w, x, y) for p, s, h, w, x, y in items], "doc_id int, page int, place int, str string, height double, scale double, width double, x double, y double")
     got = sorted((r["line_no"], r["text"], r["y"], r["height"]) for r in rows_of(spark, f"SELECT * FROM {L.page_lines(SPARK, 'words_in', 'doc_id')} p", "words_in", df))
     assert got == [(1, "a bc", 700.0, 12.0), (2, "d", 697.9, 11.0)]
+
+
+def test_sections_carry_their_path_in_one_pass(spark):
+    from loomstone.functions.dialect import SPARK
+    from loomstone.operators import segment
+
+    text = "before\n# A\none\n### C\ntwo\n## B\nthree\n# D\n## E\n\nfour"
+    spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string").createOrReplaceTempView("headed_in")
+    df = spark.sql(segment.sections(SPARK, "headed_in", "doc_id"))
+    got = [(r["path"], r["heading"], r["line_start"], r["text"]) for r in df.orderBy("doc_id", "span_id").collect()]
+    assert got == [("document", None, 1, "before"), ("A", "A", 2, "A\n\none"), ("A > … > C", "C", 4, "C\n\ntwo"), ("A > B", "B", 6, "B\n\nthree"), ("D", "D", 8, "D"), ("D > E", "E", 9, "E\n\nfour")]
+    ruled = spark.sql(segment.headed_sections(SPARK, "headed_in", "doc_id"))
+    for plan in (df, ruled):
+        steps = plan._jdf.queryExecution().executedPlan().toString()
+        assert steps.count("Exchange hashpartitioning") == 1 and "Join" not in steps
+
+
+def test_numeric_facts_of_a_kind_come_once_from_the_first_pattern(spark):
+    from loomstone.functions.dialect import SPARK
+    from loomstone.operators import extract
+
+    rows = [(1, "Pay $1,200.50 or $1,200.50 by 2024-05-06, that is 1,200.50."), (2, "Lei nº - is no number"), (3, "no number"), (4, None), (5, ""), (5, "10% twice, 10%")]
+    spark.createDataFrame(rows, "doc_id int, text string").createOrReplaceTempView("facts_once")
+    df = spark.sql(extract.numeric_facts(SPARK, "facts_once", "doc_id"))
+    assert sorted((r["doc_id"], r["kind"], r["value_text"]) for r in df.collect()) == [(1, "date", "2024-05-06"), (1, "money", "$1,200.50"), (1, "quantity", "1,200.50"), (2, "citation_reference", "Lei nº -"), (5, "percent", "10%")]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
