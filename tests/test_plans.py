@@ -39,6 +39,22 @@ def test_compile(out):
     assert {r["doc_id"] for r in out["quality"].collect()} == {r["doc_id"] for r in out["stats"].collect()} == {r["doc_id"] for r in items}
 
 
+def test_compile_keeps_confidence_and_reports(spark):
+    docs = [
+        ("a", "# Fees\n\nThe fee must be 12% of the price and it is due on 2024-05-06.\n\n## Refunds\n\nIf the buyer returns the goods, then the shop must pay the price back in full."),
+        ("b", "Q: What is it?\nA: It is a lamp that is sold in the shop.\nQ: Is it good?\nA: The lamp is not a replacement for daylight in a workshop."),
+    ]
+    got = C.compile_documents(spark.createDataFrame(docs, "doc_id string, text string"))
+    sure = {(r["section"], r["confidence"]) for r in got["items"].collect()}
+    assert {c for s, c in sure if s in ("retrieval_chunks", "atomic_units", "concepts")} == {1.0}
+    assert ("decision_rules", 0.95) in sure and all(c == 1.0 for s, c in sure if s == "anti_patterns")
+    cover = {r["doc_id"]: (r["spans_total"], r["spans_covered"]) for r in got["coverage"].collect()}
+    assert cover["a"][0] == 2 and cover["b"][0] == 2 and all(0 < c <= t for t, c in cover.values())
+    numbers = {(r["doc_id"], r["kind"], r["value_text"], r["outcome"]) for r in got["numbers"].collect()}
+    assert numbers == {("a", "percent", "12%", "exact"), ("a", "date", "2024-05-06", "exact")}
+    assert {r["reason"] for r in got["gate"].collect()} <= {"language_mismatch", "truncated", "incomplete_proposition"}
+
+
 def test_sanitize_partitions_items_and_is_idempotent(spark):
     found = C.hold(C.items(C.spans(spark.createDataFrame([(str(i), t) for i, t in DOCS], "doc_id string, text string"))))
     kept, bad = C.sanitized(found)
