@@ -153,7 +153,18 @@ query("io17_subsections")(lambda d: IO.subsections(d, R.report_md(d) + " m", "do
 
 
 query("io13_package_items")(lambda d: RD.package_items(d, R.package_md(d) + " m", "doc_id"))
-query("io15_section_keys")(lambda d: f"SELECT title, {RD.section_key(d, 'title')} AS section_key FROM {d.rows(['title'], [[d.lit(t)] for t in [*(k.title() + ' (12)' for k in RD.SECTION_TITLES), 'Unknown', '', 'Entities and more', ' PLAYBOOKS ( 3 ) ']])} t")
+
+
+@query("io15_section_keys")
+def _section_keys(d):
+    """The keys of titles as packages spell them: each known one, some unknown, and one with a count for each part."""
+    odd = [*(k.title() + " (12)" for k in RD.SECTION_TITLES), "Unknown", "", "Entities and more", " PLAYBOOKS ( 3 ) "]
+    known = list(RD.SECTION_TITLES)
+    counted = f"CASE p_partkey % {len(known)} " + " ".join(f"WHEN {i} THEN {d.lit(t)}" for i, t in enumerate(known)) + f" END || ' (' || {d.text('p_size')} || ')'"
+    titles = f"(SELECT title FROM {d.rows(['title'], [[d.lit(t)] for t in odd])} o UNION ALL SELECT {counted} AS title FROM part)"
+    return f"SELECT title, {RD.section_key(d, 'title')} AS section_key FROM {titles} t"
+
+
 query("io19_grouped_blocks")(lambda d: RD.grouped_blocks(d, R.package_md(d) + " m", "doc_id"))
 query("rp1_core_intent")(lambda d: RD.core_intent(d, R.package_md(d) + " m", "doc_id"))
 query("rp2_domain_map")(lambda d: RD.domain_map(d, R.package_md(d) + " m", "doc_id"))
