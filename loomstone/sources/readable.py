@@ -218,8 +218,23 @@ def grouped_blocks(d: Dialect, rel: str, key: str, x: str = "text") -> str:
     return f"SELECT {key}, section, group_key, items FROM (SELECT *, max(grp) OVER (PARTITION BY {key}, section, group_key) AS last_grp FROM {rows} g3) g4 WHERE grp = last_grp"
 
 
+def _labelled_blocks(d: Dialect, rel: str, key: str, x: str) -> str:
+    """(key, section, grp, group_key, items) of the grouped sections; what stands before the first label is grp 0."""
+    body = f"(SELECT * FROM {body_lines(d, rel, key, x)} g0 WHERE {among(list(GROUPS))})"
+    head, item = r"^\*\*(.+?)\*\*\s*\z", r"^\s*-\s+(.+)\z"
+    run = f"(SELECT *, count(CASE WHEN {d.has('line', head)} THEN 1 END) OVER (PARTITION BY {key}, section ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS grp FROM {body} g1)"
+    name = f"max(CASE WHEN {d.has('line', head)} THEN {d.sub(f'lower({T.trim(d, d.first("line", head, 1))})', r'\s+', '_')} END)"
+    got = d.keep(d.gather(f"CASE WHEN {d.has('line', head)} THEN '' WHEN {d.has('line', item)} THEN {T.trim(d, d.first('line', item, 1))} ELSE '' END", "line_no"), lambda v: f"{v} <> ''", "g")
+    return f"(SELECT {key}, section, grp, {name} AS group_key, {d.join(got, chr(10))} AS items FROM {run} g2 GROUP BY {key}, section, grp)"
+
+
 def group_lists(d: Dialect, rel: str, key: str, x: str = "text") -> str:
-    """RP21, RP22: the six lists of agent instructions and of knowledge limits, empty where absent; tool_usage is an alias."""
+    """RP21, RP22: the six lists of agent instructions and of knowledge limits, empty where absent; tool_usage is an alias.
+
+    Spark gathers a section's labelled blocks in one row and picks the lists there: lines look small to its planner, which would
+    broadcast all of them in a join."""
+    if d.name == "spark":
+        return _gathered_lists(d, rel, key, x)
     found = f"(SELECT {key}, section, group_key AS own, CASE WHEN group_key = 'tool_usage' THEN 'tool_usage_guidance' ELSE group_key END AS list_name, items FROM ({grouped_blocks(d, rel, key, x)}) k0)"
     first = f"(SELECT *, row_number() OVER (PARTITION BY {key}, section, list_name ORDER BY CASE WHEN own = 'tool_usage' THEN 0 ELSE 1 END) AS nth FROM {found} k1)"
     names = d.rows(["section", "list_name"], [[f"'{s}'", f"'{g}'"] for s, gs in GROUPS.items() for g in gs])
@@ -227,6 +242,13 @@ def group_lists(d: Dialect, rel: str, key: str, x: str = "text") -> str:
     return f"SELECT h.{key}, h.section, v.list_name, coalesce(f.items, '') AS items FROM {have} h JOIN {names} v ON h.section = v.section LEFT JOIN (SELECT * FROM {first} k3 WHERE nth = 1) f ON f.{key} = h.{key} AND f.section = v.section AND f.list_name = v.list_name"
 
 
+def _gathered_lists(d: Dialect, rel: str, key: str, x: str) -> str:
+    names = "CASE section " + " ".join(f"WHEN '{s}' THEN {d.words(gs)}" for s, gs in GROUPS.items()) + " END"
+    blocks = f"(SELECT {key}, section, collect_list(named_struct('alias', group_key = 'tool_usage', 'grp', grp, 'name', CASE WHEN group_key = 'tool_usage' THEN 'tool_usage_guidance' ELSE group_key END, 'items', items)) AS blocks FROM {_labelled_blocks(d, rel, key, x)} k0 GROUP BY {key}, section)"
+    own = d.top(d.keep("blocks", lambda v: f"{v}.grp > 0 AND {v}.name = list_name", "k"))[0]
+    return f"SELECT {key}, section, list_name, coalesce({own}.items, '') AS items FROM (SELECT {key}, section, blocks, explode({names}) AS list_name FROM {blocks} k1) k2"
+
+
 def traceability(d: Dialect, rel: str, key: str, x: str = "text") -> str:
     """RP23: item, location and quoted excerpt of each block; blocks without an excerpt are dropped."""
     body = f"(SELECT * FROM {body_lines(d, rel, key, x)} q0 WHERE section = 'source_traceability')"
