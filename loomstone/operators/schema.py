@@ -104,7 +104,7 @@ def _tests(schema: dict, v: str, kind: str, path: str, root, depth: int) -> list
         if k in schema:
             out.append(_hit(is_("object", f"size({keys}) {sign} {int(schema[k])}"), path, k))
     if schema.get("required"):
-        out.append(f"CASE WHEN {kind} = 'object' THEN transform(filter({D.words(schema['required'])}, r -> NOT array_contains({keys}, r)), r -> named_struct('path', concat({path}, '.', r), 'keyword', 'required')) ELSE {NONE} END")
+        out.append(f"CASE WHEN {kind} = 'object' THEN transform(array_except({D.words(schema['required'])}, {keys}), r -> named_struct('path', concat({path}, '.', r), 'keyword', 'required')) ELSE {NONE} END")
     known = schema.get("properties", {})
     for k, s in known.items():
         member = _let(f"CASE WHEN {kind} = 'object' THEN variant_get({v}, {_path(k)}, 'variant') END", lambda x, s=s, k=k: f"CASE WHEN {x} IS NULL THEN {NONE} ELSE {sub(s, x, f'concat({path}, {D.lit("." + k)})')} END")
@@ -133,7 +133,9 @@ def violations(df: DataFrame, key: str, value: str, schema: dict) -> DataFrame:
     """(key, path, keyword): a row for each violation of the JSON text in `value`; what is no JSON violates `json`."""
     rows = df.select(F.col(key), F.expr(f"try_parse_json({value})").alias("lm_v"))
     found = rows.select(key, F.expr(f"CASE WHEN lm_v IS NULL THEN array(named_struct('path', '$', 'keyword', 'json')) ELSE {compile(schema, 'lm_v')} END").alias("lm_f"))
-    return found.select(key, F.explode("lm_f").alias("lm_x")).select(key, "lm_x.path", "lm_x.keyword")
+    # Outer, and rows without a violation left out afterwards: an inner explode has the planner put a filter below, where every mention of a
+    # value parses it again. A violation is never null.
+    return found.select(key, F.explode_outer("lm_f").alias("lm_x")).where("lm_x IS NOT NULL").select(key, "lm_x.path", "lm_x.keyword")
 
 
 def _texts(*names: str) -> dict:

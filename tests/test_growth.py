@@ -10,3 +10,9 @@ def plan(spark, sf, name):
 def test_group_lists_broadcast_nothing(spark, sf):
     """A package's lines come from a small table and are many: no join may send them to the driver."""
     assert "Broadcast" not in plan(spark, sf, "rp21_group_lists")
+
+
+def test_a_case_is_parsed_once(spark, sf):
+    """A filter below the violations would parse a case's text at every mention."""
+    df = catalogue.queries()["bm12_schema"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
