@@ -36,14 +36,15 @@ KANA, HAN, LETTER = r"[぀-ヿ]", r"[㐀-䶿一-鿿]", r"\p{L}"
 def _grams(text: str) -> str:
     """The trigrams of a text, sorted: letters in lower case, all else a space, one at a time and at either end."""
     letters = f"' ' || trim(regexp_replace(lower(substring({text}, 1, {LONGEST})), '[^\\\\p{{L}}]+', ' ')) || ' '"
-    return f"transform(array({letters}), s -> CASE WHEN length(s) > 2 THEN sort_array(transform(sequence(1, length(s) - 2), i -> substring(s, i, 3))) ELSE cast(array() AS array<string>) END)[0]"
+    return f"sort_array(regexp_extract_all({letters}, '(?=(...)).', 1))"
 
 
 def _counted(grams: str) -> str:
-    """Runs of a sorted array as (minus their length, value): sorted, the most frequent come first and ties by value."""
-    starts = f"filter(sequence(1, size({grams})), i -> i = 1 OR element_at({grams}, i) <> element_at({grams}, i - 1))"
-    runs = f"transform(array({starts}), st -> transform(st, (a, j) -> struct(a - CASE WHEN j + 1 < size(st) THEN element_at(st, j + 2) ELSE size({grams}) + 1 END AS minus, element_at({grams}, a) AS gram)))[0]"
-    return f"CASE WHEN size({grams}) > 0 THEN array_sort({runs}) ELSE cast(array() AS array<struct<minus: int, gram: string>>) END"
+    """Sorted trigrams as (minus their number, trigram): sorted, the most frequent come first and ties by trigram.
+
+    Equal ones stand side by side, so one pattern over all of them in a row cuts them to runs; a function of each would be interpreted."""
+    runs = f"regexp_extract_all(array_join({grams}, ''), '(...)\\\\1*', 0)"
+    return f"sort_array(transform({runs}, r -> struct(-cast(length(r) / 3 AS int) AS minus, substring(r, 1, 3) AS gram)))"
 
 
 def profiles(labelled: DataFrame) -> DataFrame:
@@ -63,15 +64,18 @@ def detect(df: DataFrame, key: str, text: str, known: DataFrame | None = None) -
 
     Rows that share a key are one text's; known: profiles(), else those of SAMPLES. Undetermined are texts under SHORTEST characters,
     without letters, without a trigram of any profile, or with two languages nearly as near. A null text is undetermined."""
-    known = sample_profiles(df.sparkSession) if known is None else known
+    from loomstone.plans.compile import hold
+
+    known = hold(sample_profiles(df.sparkSession) if known is None else known)  # worked out once, though looked at twice
     langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     wide = known.groupBy("gram").agg(*(F.max(F.when(F.col("lang") == lang, F.col("place"))).alias(f"p{i}") for i, lang in enumerate(langs)))  # MOST rows a language at most
     t = f"coalesce({text}, '')"
-    script = f"CASE WHEN regexp_count({t}, '{KANA}') * 10 >= regexp_count({t}, '{LETTER}') AND regexp_count({t}, '{KANA}') > 0 THEN 'ja' WHEN regexp_count({t}, '{HAN}') * 2 >= regexp_count({t}, '{LETTER}') AND regexp_count({t}, '{HAN}') > 0 THEN 'zh' END"
+    mostly = lambda p, times: f"({t} RLIKE '{p}' AND regexp_count({t}, '{p}') * {times} >= regexp_count({t}, '{LETTER}'))"
+    script = f"CASE WHEN {mostly(KANA, 10)} THEN 1 WHEN {mostly(HAN, 2)} THEN 2 ELSE 0 END"  # a number, which is aggregated without sorting
     rows = df.select(F.col(key), F.expr(f"length({t}) >= {SHORTEST}").alias("enough"), F.expr(script.replace(chr(92), chr(92) * 2)).alias("script"), F.expr(_grams(t)).alias("g"))
     ranked = rows.select(key, "enough", "script", F.expr(f"posexplode_outer(slice({_counted('g')}, 1, {MOST}))").alias("at", "c")).select(key, "enough", "script", (F.col("at") + 1).alias("rank"), F.col("c.gram").alias("gram"))
     far = lambda i: F.sum(F.coalesce(F.least(F.abs(F.col("rank") - F.col(f"p{i}")), F.lit(MOST)), F.lit(MOST))).alias(f"d{i}")
-    sums = ranked.join(F.broadcast(wide), "gram", "left").groupBy(key).agg(F.first("enough").alias("enough"), F.first("script").alias("script"), F.count("rank").alias("n"), *map(far, range(len(langs))))
+    sums = ranked.join(F.broadcast(wide), "gram", "left").groupBy(key).agg(F.first("enough").alias("enough"), F.expr("CASE first(script) WHEN 1 THEN 'ja' WHEN 2 THEN 'zh' END").alias("script"), F.count("rank").alias("n"), *map(far, range(len(langs))))
     order = F.array_sort(F.array(*(F.struct(F.col(f"d{i}").alias("d"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)))) if langs else F.lit(None).cast("array<struct<d: long, lang: string>>")
     found = sums.select(key, "enough", "script", (F.col("n") * MOST).alias("most"), order.alias("o"))
     clear = F.expr(f"enough AND most > 0 AND o[0].d < most AND (size(o) = 1 OR o[1].d - o[0].d >= {MARGIN} * most)") if langs else F.lit(False)

@@ -16,3 +16,16 @@ def test_a_case_is_parsed_once(spark, sf):
     """A filter below the violations would parse a case's text at every mention."""
     df = catalogue.queries()["bm12_schema"](spark, sf)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_trigrams_are_counted_by_patterns(spark):
+    """No function runs for each trigram of a text, which the planner could only interpret."""
+    from loomstone.operators import language
+
+    text = "Ab ab, ABA\U00020000\U00020000 é1é"
+    got = spark.createDataFrame([(text,), ("",), ("a",)], "t string").selectExpr(f"{language._grams('t')} AS g").selectExpr("g", f"{language._counted('g')} AS c").collect()
+    whole = " ab ab aba\U00020000\U00020000 é é "
+    want = sorted(whole[i : i + 3] for i in range(len(whole) - 2))
+    assert sorted(got[0]["g"]) == want and {(r["gram"], -r["minus"]) for r in got[0]["c"]} == {(w, want.count(w)) for w in want}
+    assert [r["minus"] for r in got[0]["c"]] == sorted(r["minus"] for r in got[0]["c"]) and got[2]["g"] == [" a "]
+    assert "->" not in language._grams("t") and "sequence" not in language._counted("g")
