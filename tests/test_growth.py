@@ -29,3 +29,34 @@ def test_trigrams_are_counted_by_patterns(spark):
     assert sorted(got[0]["g"]) == want and {(r["gram"], -r["minus"]) for r in got[0]["c"]} == {(w, want.count(w)) for w in want}
     assert [r["minus"] for r in got[0]["c"]] == sorted(r["minus"] for r in got[0]["c"]) and got[2]["g"] == [" a "]
     assert "->" not in language._grams("t") and "sequence" not in language._counted("g")
+
+
+def test_block_lines_are_looked_at_once():
+    """Reading a block strips each of its lines once, however often it is looked at."""
+    from loomstone.sources import blocks
+
+    class Line(str):
+        strips = 0
+
+        def strip(self, *a):
+            Line.strips += 1
+            return str.strip(self, *a)
+
+    text = "a:\n  - b: 1\n    c: 'x'\n  - b: 2\n    c:\n      - 3\n"
+    split, blocks.re.split = blocks.re.split, lambda p, t: [Line(x) for x in split(p, t)]
+    try:
+        got = blocks.load(text)
+    finally:
+        blocks.re.split = split
+    assert got == {"a": [{"b": 1, "c": "x"}, {"b": 2, "c": [3]}]} and Line.strips <= 3 * len(text.split("\n"))
+
+
+def test_packages_are_parsed_in_one_pass(spark):
+    """Blocks with an error must not cost another reading of all texts; they are kept one by one."""
+    from loomstone.sources import fenced
+
+    bad = "# P\n\n---\n```yaml\na: [\n```\n```yaml\na: [\n```\n"
+    df = fenced.read(spark.createDataFrame([("x", bad, "a.md"), ("x", bad, "a.md"), ("y", "", "b.md")], "doc_id string, text string, filename string"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r["doc_id"], r["section"], r["error"] is None) for r in df.where("section IS NULL").collect())
+    assert got == [("x", None, False)] * 4 + [("x", None, True)] * 2 + [("y", None, True)]
