@@ -48,7 +48,7 @@ def test_block_lines_are_looked_at_once():
         got = blocks.load(text)
     finally:
         blocks.re.split = split
-    assert got == {"a": [{"b": 1, "c": "x"}, {"b": 2, "c": [3]}]} and Line.strips <= 3 * len(text.split("\n"))
+    assert got == {"a": [{"b": 1, "c": "x"}, {"b": 2, "c": [3]}]} and Line.strips <= 2 * len(text.split("\n"))
 
 
 def test_packages_are_parsed_in_one_pass(spark):
