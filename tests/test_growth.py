@@ -60,3 +60,32 @@ def test_packages_are_parsed_in_one_pass(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     got = sorted((r["doc_id"], r["section"], r["error"] is None) for r in df.where("section IS NULL").collect())
     assert got == [("x", None, False)] * 4 + [("x", None, True)] * 2 + [("y", None, True)]
+
+
+def test_lines_are_not_trimmed_by_patterns(spark, sf):
+    """A line is trimmed by a built-in, once, and no alternative of a word list is tried where another has failed on the same letter."""
+    plan_ = plan(spark, sf, "ch2_headings")
+    assert plan_.count("trim(line") == 1 and "^\\s+|" not in plan_
+    from loomstone.functions.dialect import SPARK
+
+    got = spark.sql(f"SELECT {SPARK.trim(SPARK.lit(chr(11) + chr(12) + ' f x f ' + chr(9)))} AS t, {SPARK.squeeze(SPARK.lit('a  b' + chr(10) + 'c d' + chr(10)))} AS s").first()
+    assert got == ("f x f", "a b c d ")
+
+
+def test_parts_of_a_text_are_worked_out_once(spark, sf):
+    """Chunks take the paths of their sections along instead of working out the sections a second time."""
+    assert "Join" not in plan(spark, sf, "ch3_chunks")
+
+
+def test_whole_words_keep_their_boundaries(spark):
+    """Boundaries as single looks to one side find what those spelt out do."""
+    import itertools
+
+    from loomstone.functions.dialect import SPARK, _EDGE
+
+    texts = ["".join(x) for x in itertools.product(["não", "está", "É", "é", "de", "des", "x", "1", "_", " ", "-"], repeat=3)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in (r"(?i)\b(?:não|está|é|de|des|do)\b", r"(?i)\b(?:de|des)\b", r"(?i)\b(de|x\s?)\b|\b\d", r"(?i)\b(?:est|está)\b"):
+        plain = SPARK.lit(p.replace(r"\b", _EDGE).replace("(?i)", "(?iu)"))
+        assert df.where(f"{SPARK.all('t', p)} <> regexp_extract_all(t, {plain}, 0)").count() == 0 < df.where(SPARK.has("t", p)).count()
+    assert r"(?=\w)|" not in SPARK.pat(r"(?i)\b(?:de|des)\b") and "de|des" not in SPARK.pat(r"(?i)\b(?:de|des)\b")
