@@ -89,3 +89,13 @@ def test_whole_words_keep_their_boundaries(spark):
         plain = SPARK.lit(p.replace(r"\b", _EDGE).replace("(?i)", "(?iu)"))
         assert df.where(f"{SPARK.all('t', p)} <> regexp_extract_all(t, {plain}, 0)").count() == 0 < df.where(SPARK.has("t", p)).count()
     assert r"(?=\w)|" not in SPARK.pat(r"(?i)\b(?:de|des)\b") and "de|des" not in SPARK.pat(r"(?i)\b(?:de|des)\b")
+
+
+def test_verdicts_are_compiled(spark, sf):
+    """Completeness and truncation of a text are no function of an array, which the planner interprets; a text is trimmed once."""
+    from loomstone.functions import text
+    from loomstone.functions.dialect import SPARK
+
+    assert all("->" not in f(SPARK, "x") for f in (text.complete, text.truncated)) and "->" not in text.wrong_language(SPARK, "x", "'en'")
+    df = catalogue.queries()["sn1_sanitize"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(fs") + df._jdf.queryExecution().optimizedPlan().toString().count("trim(item") <= 1
