@@ -1,16 +1,22 @@
 """FL15: items that hold a literal, found by a trigram posting table before any text is read.
 
-index() writes a row for each distinct trigram of an item's searched text, dealt to folders by the trigram, so a search reads the
-folders of its own trigrams only. An item is a candidate if it is in the lists of all of a literal's trigrams; candidates' texts are
-then compared. Which fields of an item are searched depends on its section. Literals under three characters have no trigram: for
-them all texts are compared.
+index() numbers the items, keeps their searched texts beside the table, and writes a row for each distinct trigram of a block of items (a
+batch of a task) with the places of those that hold it: two bytes an item and trigram, of which alone are shuffled. Rows are dealt to
+folders by the trigram, so a search reads the folders of its own trigrams only. An item is a candidate if it is in the lists of all of
+a literal's trigrams, which are intersected block by block; candidates' texts are then compared. Which fields of an item are searched
+depends on its section. Literals under three characters have no trigram: for them all texts are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.shipping import ship
+
 #: ---- fixed values: the searched fields of each section, as columns of items ----
 SEARCHED = {"procedures": "a", "principles": "a", "atomic_units": "a", "playbooks": "a"}
 BOTH = "concat_ws(' ', a, b)"
@@ -18,6 +24,8 @@ BOTH = "concat_ws(' ', a, b)"
 #: Folders that the posting table is dealt to.
 BUCKETS = 256
 KEYS = ["pkg", "section", "ord"]
+#: Bits of an item's number that tell its place in a block.
+PLACE = 14
 
 
 def searched(items: DataFrame) -> DataFrame:
@@ -30,16 +38,32 @@ def _bucket(gram) -> F.Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of (id, x): block, part, gram, at. A block may reach over batches, so part tells its pieces apart."""
+    for batch in batches:
+        held: dict[tuple[int, str], list[int]] = {}
+        ids = batch.column("id").to_pylist()
+        for n, x in zip(ids, batch.column("x").to_pylist(), strict=True):
+            block, at = n >> PLACE, n & ((1 << PLACE) - 1)
+            for gram in {x[i : i + 3] for i in range(len(x) - 2)}:
+                held.setdefault((block, gram), []).append(at)
+        blocks, grams = zip(*held, strict=True) if held else ((), ())
+        cols = [pa.array(blocks, pa.int64()), pa.array([ids[0]] * len(held) if ids else [], pa.int64()), pa.array(grams, pa.string()), pa.array(held.values(), pa.list_(pa.int16()))]
+        yield pa.RecordBatch.from_arrays(cols, ["block", "part", "gram", "at"])
+
+
 def index(items: DataFrame, path: str) -> None:
-    """Write the posting table of items to folder path."""
-    grams = "CASE WHEN length(x) > 2 THEN array_distinct(transform(sequence(1, length(x) - 2), i -> substring(x, i, 3))) ELSE cast(array() AS array<string>) END"
-    rows = searched(items).select(*KEYS, F.explode(F.expr(grams)).alias("gram")).withColumn("bucket", _bucket("gram"))
+    """Write the posting table of items to folder path, and their numbered texts beside it."""
+    ship(items.sparkSession)
+    searched(items).withColumn("id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}_items")
+    texts = items.sparkSession.read.parquet(f"{path}_items").select("id", "x")
+    rows = texts.mapInArrow(_postings, "block long, part long, gram string, at array<smallint>").withColumn("bucket", _bucket("gram"))
     # Within a folder rows are sorted by trigram, so that files and row groups are skipped by their statistics as well.
     rows.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
-def candidates(spark: SparkSession, path: str, literals: list[str]) -> DataFrame:
-    """(literal, pkg, section, ord) of items that hold all trigrams of a literal of three characters or more."""
+def _held(spark: SparkSession, path: str, literals: list[str]) -> DataFrame:
+    """(literal, pkg, section, ord, x) of items that hold all trigrams of a literal of three characters or more."""
     grams = [(s, s.lower()[i : i + 3]) for s in literals for i in range(len(s.lower()) - 2)]
     asked = spark.createDataFrame(sorted(set(grams)), "literal string, gram string")  # as many as the literals are long
     sizes = asked.groupBy("literal").agg(F.count("*").alias("n"))
@@ -47,8 +71,16 @@ def candidates(spark: SparkSession, path: str, literals: list[str]) -> DataFrame
     folders = [r[0] for r in asked.select(_bucket("gram").alias("b")).distinct().collect()]
     wanted = [g for _, g in sorted(set(grams))]
     postings = spark.read.parquet(path).where(F.col("bucket").isin(folders) & F.col("gram").isin(wanted))
-    held = postings.join(F.broadcast(asked), "gram").groupBy("literal", *KEYS).agg(F.count("*").alias("have"))
-    return held.join(F.broadcast(sizes), "literal").where("have = n").select("literal", *KEYS)
+    # All trigrams of an item are in one part of its block, each once.
+    lists = postings.join(F.broadcast(asked), "gram").groupBy("literal", "block", "part").agg(F.collect_list("at").alias("ats")).join(F.broadcast(sizes), "literal").where("size(ats) = n")
+    both = "aggregate(slice(ats, 2, size(ats)), ats[0], (a, b) -> array_intersect(a, b))"
+    found = lists.select("literal", "block", F.explode(F.expr(both)).alias("at")).select("literal", F.expr(f"shiftleft(block, {PLACE}) + at").alias("id"))
+    return found.join(spark.read.parquet(f"{path}_items"), "id").select("literal", *KEYS, "x")
+
+
+def candidates(spark: SparkSession, path: str, literals: list[str]) -> DataFrame:
+    """(literal, pkg, section, ord) of items that hold all trigrams of a literal of three characters or more."""
+    return _held(spark, path, literals).select("literal", *KEYS)
 
 
 def search(items: DataFrame, path: str, literals: list[str]) -> DataFrame:
@@ -57,7 +89,7 @@ def search(items: DataFrame, path: str, literals: list[str]) -> DataFrame:
     literals = sorted(set(literals))
     rows, found = searched(items), None
     if long := [s for s in literals if len(s.lower()) > 2]:
-        found = candidates(spark, path, long).join(rows, KEYS).where(F.contains("x", F.lower("literal"))).select("literal", *KEYS)
+        found = _held(spark, path, long).where(F.contains("x", F.lower("literal"))).select("literal", *KEYS)
     for s in (s for s in literals if len(s.lower()) <= 2):
         part = rows.where(F.contains("x", F.lit(s.lower()))).select(F.lit(s).alias("literal"), *KEYS)
         found = part if found is None else found.unionByName(part)

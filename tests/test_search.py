@@ -33,3 +33,12 @@ def test_a_search_reads_its_own_folders(spark, tmp_path):
     assert 0 < len(scanned) and spark.read.parquet(path).count() > 3000
     explained = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in explained and "bucket" in explained.split("PartitionFilters")[1][:200] and "PushedFilters: [In(gram" in explained
+
+
+def test_postings_are_lists_of_a_block(spark, tmp_path):
+    """A row for each item and trigram would be shuffled and written: here 200 items alike share theirs."""
+    items = spark.createDataFrame([(i, "concepts", 1, "the same words", "") for i in range(200)], "pkg long, section string, ord long, a string, b string").coalesce(1)
+    path = str(tmp_path / "postings")
+    S.index(items, path)
+    assert spark.read.parquet(path).count() == len({"the same words "[i : i + 3] for i in range(13)})
+    assert S.search(items, path, ["SAME w"]).count() == 200 and S.search(items, path, ["samew"]).count() == 0
