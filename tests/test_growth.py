@@ -99,3 +99,29 @@ def test_verdicts_are_compiled(spark, sf):
     assert all("->" not in f(SPARK, "x") for f in (text.complete, text.truncated)) and "->" not in text.wrong_language(SPARK, "x", "'en'")
     df = catalogue.queries()["sn1_sanitize"](spark, sf)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(fs") + df._jdf.queryExecution().optimizedPlan().toString().count("trim(item") <= 1
+
+
+def test_a_fold_moves_its_rows_once(spark, sf):
+    """Rows are dealt by package and section; merging and numbering them must not write them to disk again."""
+    from loomstone.operators import reduce
+    from loomstone.plans import rendered
+    from loomstone.functions.dialect import SPARK
+
+    items = catalogue.run(spark, sf, f"SELECT * FROM {rendered.partials(SPARK)} p")
+    assert reduce.fold(items)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+    assert "ENSURE_REQUIREMENTS" not in reduce.fold(items)._jdf.queryExecution().executedPlan().toString() and "Window" not in plan(spark, sf, "dd17_reduce")
+
+
+def test_what_is_held_is_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from loomstone.plans.compile import hold
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    assert hold(spark.range(10).select(counted("id").alias("n"))).count() == 10 and seen.value == 10
