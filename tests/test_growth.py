@@ -125,3 +125,16 @@ def test_what_is_held_is_worked_out_once(spark):
         return x
 
     assert hold(spark.range(10).select(counted("id").alias("n"))).count() == 10 and seen.value == 10
+
+
+def test_overlap_finds_the_words_of_a_text_once(spark, sf):
+    """Both words lists of a response and its gold are found once a row, however often their likeness is mentioned."""
+    from loomstone.functions.dialect import SPARK
+    from loomstone.operators import harness
+
+    assert harness.overlap(SPARK, "a", "b").count("regexp_extract_all(") == 2
+    df = catalogue.queries()["bm4_scored"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+    pairs = [("Pay $5.50 the the fee now", "the fee of 5.50 is due, fee"), ("", "of the"), ("a b", ""), (None, "fee"), ("fee", None)]
+    rows = spark.createDataFrame(pairs, "a string, b string").selectExpr(f"{harness.overlap(SPARK, 'a', 'b')} AS o")
+    assert [None if r["o"] is None else round(r["o"], 6) for r in rows.collect()] == [0.666667, 0.0, 0.0, None, None]
