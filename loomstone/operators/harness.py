@@ -13,11 +13,15 @@ def normal(d: Dialect, x: str) -> str:
 
 def polarity(d: Dialect, x: str) -> str:
     """BM5: yes or no among the first 5 words, or null."""
-    head = d.sub(f"substr({normal(d, x)}, 1, 200)", P.PREAMBLE)
+    return _polarity(d, normal(d, x))
+
+
+def _polarity(d: Dialect, n: str) -> str:
+    head = d.sub(f"substr({n}, 1, 200)", P.PREAMBLE)
     toks = d.take(d.all(f"substr({head}, 1, 80)", P.POLARITY_TOKEN, 0), 5)
     known = d.keep(toks, lambda t: f"{d.has_item(d.words(P.YES_TOKENS + P.NO_TOKENS), t)}", "t")
-    first = d.at(known, 1)
-    return f"CASE WHEN {d.has_item(d.words(P.YES_TOKENS), first)} THEN 'yes' WHEN {d.has_item(d.words(P.NO_TOKENS), first)} THEN 'no' END"
+    told = lambda first: f"CASE WHEN {d.has_item(d.words(P.YES_TOKENS), first)} THEN 'yes' WHEN {d.has_item(d.words(P.NO_TOKENS), first)} THEN 'no' END"
+    return d.let(d.at(known, 1), told, "pol") if d.name == "spark" else told(d.at(known, 1))
 
 
 def content_tokens(d: Dialect, x: str) -> str:
@@ -45,7 +49,10 @@ def overlap(d: Dialect, response: str, target: str) -> str:
 
 def refusal(d: Dialect, x: str) -> str:
     """FL13."""
-    n = normal(d, x)
+    return _refusal(d, normal(d, x))
+
+
+def _refusal(d: Dialect, n: str) -> str:
     pats = " OR ".join(d.has(n, p) for p in P.REFUSALS)
     short = " OR ".join(f"contains({n}, {d.lit(t)})" for t in P.REFUSAL_TOKENS)
     return f"({pats} OR (length({n}) < 40 AND ({short})))"
@@ -53,18 +60,25 @@ def refusal(d: Dialect, x: str) -> str:
 
 def escalation(d: Dialect, x: str) -> str:
     """FL14."""
-    return "(" + " OR ".join(f"contains({normal(d, x)}, {d.lit(t)})" for t in P.ESCALATIONS) + ")"
+    return _escalation(d, normal(d, x))
+
+
+def _escalation(d: Dialect, n: str) -> str:
+    return "(" + " OR ".join(f"contains({n}, {d.lit(t)})" for t in P.ESCALATIONS) + ")"
 
 
 def classify(d: Dialect, rel: str, key: str, response: str = "response", gold: str = "gold") -> str:
     """BM7: label and confidence of each response."""
+    said = normal(d, response)
+    if d.name == "spark":
+        rel, said = d.once(f"(SELECT * FROM {rel})", said_=said), "said_"
     return f"""
     SELECT {key}, pol_gold, pol_resp, overlap, CASE WHEN refused THEN 'refusal' WHEN pol_gold IS NOT NULL AND pol_gold = pol_resp AND overlap > 0.25 THEN 'correct'
             WHEN pol_gold <> pol_resp THEN CASE WHEN esc THEN 'wrong_escalation' ELSE 'composition_hallucination' END
             WHEN overlap > 0.45 AND NOT esc THEN 'correct' WHEN esc THEN 'wrong_escalation' ELSE 'other' END AS label,
         CASE WHEN refused THEN 'medium' WHEN pol_gold IS NOT NULL AND pol_gold = pol_resp AND overlap > 0.25 THEN CASE WHEN overlap > 0.45 THEN 'high' ELSE 'medium' END
             WHEN pol_gold <> pol_resp THEN 'medium' ELSE 'low' END AS confidence
-    FROM (SELECT *, {refusal(d, response)} AS refused, {polarity(d, gold)} AS pol_gold, {polarity(d, response)} AS pol_resp, {overlap(d, response, gold)} AS overlap, {escalation(d, response)} AS esc FROM {rel}) a"""
+    FROM (SELECT *, {_refusal(d, said)} AS refused, {polarity(d, gold)} AS pol_gold, {_polarity(d, said)} AS pol_resp, {overlap(d, response, gold)} AS overlap, {_escalation(d, said)} AS esc FROM {rel}) a"""
 
 
 def judged(d: Dialect, rel: str, key: str, x: str = "raw") -> str:

@@ -138,3 +138,9 @@ def test_overlap_finds_the_words_of_a_text_once(spark, sf):
     pairs = [("Pay $5.50 the the fee now", "the fee of 5.50 is due, fee"), ("", "of the"), ("a b", ""), (None, "fee"), ("fee", None)]
     rows = spark.createDataFrame(pairs, "a string, b string").selectExpr(f"{harness.overlap(SPARK, 'a', 'b')} AS o")
     assert [None if r["o"] is None else round(r["o"], 6) for r in rows.collect()] == [0.666667, 0.0, 0.0, None, None]
+
+
+def test_a_response_is_normalised_once(spark, sf):
+    """Refusal, escalation and polarity look at one normalised text instead of making it at every mention."""
+    plan_ = catalogue.queries()["bm7_classify"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_.count("lower(CASE model_spec") + plan_.count("lower(response") <= 2
