@@ -144,3 +144,15 @@ def test_a_response_is_normalised_once(spark, sf):
     """Refusal, escalation and polarity look at one normalised text instead of making it at every mention."""
     plan_ = catalogue.queries()["bm7_classify"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan_.count("lower(CASE model_spec") + plan_.count("lower(response") <= 2
+
+
+def test_text_that_is_no_object_is_not_parsed(spark):
+    """Lines of prose never reach the parser, whose errors are slow; what may be an object still does."""
+    from loomstone.functions.dialect import SPARK
+
+    texts = ['{"a": "b"}', ' \t\r\n{"a": "c"}', '{"a": 1}', "{a", "", "[1]", '"{"', "prose {x}", ' {"a": "d"}', '﻿{"a": "e"}', "null", None]
+    plain = "coalesce(schema_of_variant(try_parse_json(t)) LIKE 'OBJECT%', false)"
+    value = "CASE WHEN schema_of_variant(try_variant_get(try_parse_json(t), '$.a', 'variant')) = 'STRING' THEN get_json_object(t, '$.a') END"
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(f"{SPARK.json_object('t')} AS o", f"{plain} AS po", f"{SPARK.json_text('t', 'a')} AS v", f"{value} AS pv")
+    assert all((r["o"], r["v"]) == (r["po"], r["pv"]) for r in df.collect()) and df.where("o").count() >= 3
+    assert all("RLIKE" in x[: x.index("try_parse_json")] for x in (SPARK.json_object("t"), SPARK.json_text("t", "a")))
