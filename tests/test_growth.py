@@ -161,3 +161,35 @@ def test_text_that_is_no_object_is_not_parsed(spark):
 def test_candidates_are_judged_once(spark, sf):
     """What was kept is compared with candidates that are written down, not judged a second time from the tables."""
     assert "customer" not in plan(spark, sf, "pm5_promoted") and "c_custkey" not in plan(spark, sf, "pm5_promoted")
+
+
+def test_a_case_of_the_index_is_parsed_once(spark, sf):
+    """Filters below must not parse a file again, and the texts of files are not shuffled where their names are asked for."""
+    df = catalogue.queries()["hp19_case_index"](spark, sf)
+    plan_ = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_.count("parseJson") == 1 and "value" not in plan_[: plan_.index("parseJson")].split("Project")[0]
+
+
+def test_a_folder_gets_one_entry_for_each_file(spark, tmp_path):
+    """Files of a task are put together apart from the folder that all tasks share, and nothing of that is left."""
+    import os
+
+    import pyarrow as pa
+
+    from loomstone.sources import folders
+
+    moved, fs = [], folders.pafs.LocalFileSystem
+
+    class Seen(fs):
+        def move(self, a, b):
+            moved.append((os.path.dirname(a), os.path.dirname(b)))
+            super().move(a, b)
+
+    batch = pa.RecordBatch.from_pydict({"folder": ["a", "a", None], "file": ["x", "y", "z"], "text": ["1", None, "é"]})
+    given, folders.file_system = folders.file_system, lambda p: (Seen(), p)
+    try:
+        assert folders.FolderWriter({"path": str(tmp_path)}).write(iter([batch])).files == 3
+    finally:
+        folders.file_system = given
+    assert len(moved) == 3 and all(a != b for a, b in moved)
+    assert sorted(os.listdir(tmp_path)) == ["a", "z"] and sorted(os.listdir(tmp_path / "a")) == ["x", "y"] and (tmp_path / "z").read_text() == "é"
