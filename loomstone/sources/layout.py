@@ -39,11 +39,43 @@ def page_lines(d: Dialect, rel: str, key: str, tolerance: float = 2) -> str:
     return f"(SELECT {key}, page, line_no, {T.squeeze(d, d.join(d.gather("CASE WHEN gap > 1 THEN ' ' ELSE '' END || str", 'nth'), ''))} AS text, max(y) AS y, max(height) AS height FROM {gap} p6 GROUP BY {key}, page, line_no)"
 
 
+def _head_key(d: Dialect) -> str:
+    return T.trim(d, d.sub("lower(text)", r"\d+", "#"))
+
+
+def _heading_shape(d: Dialect) -> str:
+    return f"length(text) BETWEEN 1 AND 90 AND NOT {d.has('text', r'[.!?:;,]\z')} AND NOT {d.has('text', r'^\d+\z')} AND {d.has('text', r'\p{L}')}"
+
+
+def _measured_in_windows(d: Dialect, rel: str, key: str, share: float) -> str:
+    """markdown() without a join: pages of a document and of a running head are counted by their first lines, the upper middle of
+    values is the one at its place among them. Lines without a document or page share no measure, as in a join."""
+    has = f"{key} IS NOT NULL"
+    upper = lambda part, value, nth, many: f"max(CASE WHEN {nth} = floor({many} / 2) + 1 THEN {value} END) OVER (PARTITION BY {part})"
+    chrome = f"{has} AND length(k) BETWEEN 1 AND 100 AND on_pages >= greatest(2, ceil(pages * {d.real(str(share))}))"
+    return f"""WITH ln AS (SELECT *, {_head_key(d)} AS k FROM {page_lines(d, rel, key)} l0),
+    firsts AS (SELECT *, page IS NOT NULL AND row_number() OVER (PARTITION BY {key}, page ORDER BY line_no) = 1 AS of_page, page IS NOT NULL AND row_number() OVER (PARTITION BY {key}, k, page ORDER BY line_no) = 1 AS of_head FROM ln),
+    seen AS (SELECT *, count_if(of_page) OVER (PARTITION BY {key}) AS pages, count_if(of_head) OVER (PARTITION BY {key}, k) AS on_pages FROM firsts),
+    free AS (SELECT *, coalesce(height > 0, false) AS high FROM seen WHERE NOT coalesce({chrome}, false)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY {key}, high ORDER BY height) AS h_nth, count(*) OVER (PARTITION BY {key}, high) AS h_many FROM free),
+    body AS (SELECT {key}, page, line_no, text, y, height, CASE WHEN {has} THEN {upper(key, 'height', 'high AND h_nth', 'h_many')} END AS body FROM ranked),
+    kept AS (SELECT *, greatest(0, (lag(y) OVER w) - y) AS gap, (lag(y) OVER w) - y AS dy FROM body WHERE text <> '' WINDOW w AS (PARTITION BY {key}, page ORDER BY line_no)),
+    gaps AS (SELECT *, row_number() OVER (PARTITION BY {key}, page, gap IS NOT NULL ORDER BY gap) AS g_nth, count(*) OVER (PARTITION BY {key}, page, gap IS NOT NULL) AS g_many FROM kept),
+    mid AS (SELECT *, CASE WHEN {has} AND page IS NOT NULL THEN {upper(f'{key}, page', 'gap', 'gap IS NOT NULL AND g_nth', 'g_many')} END AS mid FROM gaps),
+    judged AS (SELECT *, greatest(coalesce(mid, 0) * 1.6, coalesce(body, 10) * 1.4) AS apart, height > coalesce(body, 10) * 1.15 AND {_heading_shape(d)} AS heading FROM mid),
+    outs AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY page, line_no) AS o, CASE WHEN dy IS NOT NULL AND (dy >= apart OR heading) THEN chr(10) ELSE '' END || CASE WHEN heading THEN '## ' ELSE '' END || text
+               || CASE WHEN lead(page) OVER (PARTITION BY {key} ORDER BY page, line_no) <> page THEN chr(10) ELSE '' END AS piece FROM judged)
+    SELECT {key}, {T.trim(d, d.sub(d.join(d.gather('piece', 'o'), chr(10)), r'\n{3,}', chr(10) + chr(10)))} AS markdown, count(*) AS n_lines FROM outs GROUP BY {key}"""
+
+
 def markdown(d: Dialect, rel: str, key: str, share: float = 0.6) -> str:
-    """IO6, IO7: a document's lines as Markdown: running heads dropped, large short lines as headings, paragraphs apart by their gaps."""
-    k = f"{T.trim(d, d.sub('lower(text)', r'\d+', '#'))}"
+    """IO6, IO7: a document's lines as Markdown: running heads dropped, large short lines as headings, paragraphs apart by their gaps.
+
+    Spark deals the words out by document once and measures the lines in windows: joins would work them out, and ship them, for each side."""
+    if d.name == "spark":
+        return _measured_in_windows(d, f"(SELECT /*+ REPARTITION({key}) */ * FROM {rel})", key, share)
+    k, shape = _head_key(d), _heading_shape(d)
     upper = lambda part, value, rel_: f"(SELECT {part}, {value} AS middle FROM (SELECT {part}, {value}, row_number() OVER (PARTITION BY {part} ORDER BY {value}) AS nth, count(*) OVER (PARTITION BY {part}) AS many FROM {rel_}) u WHERE nth = floor(many / 2) + 1)"
-    shape = f"length(text) BETWEEN 1 AND 90 AND NOT {d.has('text', r'[.!?:;,]\z')} AND NOT {d.has('text', r'^\d+\z')} AND {d.has('text', r'\p{L}')}"
     return f"""WITH ln AS (SELECT *, {k} AS k FROM {page_lines(d, rel, key)} l0),
     tot AS (SELECT {key}, count(DISTINCT page) AS pages FROM ln GROUP BY {key}),
     seen AS (SELECT {key}, k, count(DISTINCT page) AS n FROM ln WHERE length(k) BETWEEN 1 AND 100 GROUP BY {key}, k),

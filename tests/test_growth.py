@@ -193,3 +193,36 @@ def test_a_folder_gets_one_entry_for_each_file(spark, tmp_path):
         folders.file_system = given
     assert len(moved) == 3 and all(a != b for a, b in moved)
     assert sorted(os.listdir(tmp_path)) == ["a", "z"] and sorted(os.listdir(tmp_path / "a")) == ["x", "y"] and (tmp_path / "z").read_text() == "é"
+
+
+def test_lines_of_a_layout_are_shipped_once(spark, sf):
+    """Lines are measured where their document lies: the table by order, then its words by document, and no join."""
+    p = plan(spark, sf, "io7_layout_markdown")
+    assert p.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in p and "HashJoin" not in p
+
+
+def test_layout_in_windows_is_that_of_joins(spark, tmp_path):
+    """Also for words without a document, without a size, running heads, lines twice and equal lines of a table."""
+    import random
+
+    import oracle
+
+    from loomstone.functions.dialect import DUCK, SPARK
+    from loomstone.plans import rendered
+    from loomstone.sources import layout
+
+    r = random.Random(5)
+    pages = [(d, p) for d in (1, 2, 3, None) for p in (1, 2, 3)]
+    rows = [(d, p, i, r.choice(["Head 7", "Head 8", " ", "Body text", "of it.", "Title", "\t"]), r.choice([10.0, 14.0, 0.0, None]), r.choice([9.0, None]), 20.0, r.choice([10.0, 40.0, None]), r.choice([700.0, 690.0, 689.0, 600.0, None])) for d, p in pages for i in range(r.randint(1, 14))]
+    df = spark.createDataFrame(rows, "doc_id bigint, page int, place int, str string, height double, scale double, width double, x double, y double")
+    df.write.parquet(f"{tmp_path}/words")
+    df.createOrReplaceTempView("layout_words")
+    con = oracle.duck("/root/testdata/sf0.001")
+    con.execute(f"CREATE VIEW layout_words AS SELECT * FROM read_parquet('{tmp_path}/words/*.parquet')")
+    assert oracle.differences(spark.sql(layout.markdown(SPARK, "layout_words", "doc_id")), con, layout.markdown(DUCK, "layout_words", "doc_id")) == ""
+    lines = spark.sql("SELECT * FROM VALUES (1, 1, 5, 2, 9.5D, 50, 0D, 0D, 'R'), (1, 1, 5, 2, 9.5D, 50, 0D, 0D, 'R'), (1, 2, 6, 3, 1D, 4, 0D, 0D, 'N'), (2, 1, 6, 4, 1D, 2, 0D, 0D, 'N') t(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag)")
+    lines.write.parquet(f"{tmp_path}/lines")
+    lines.createOrReplaceTempView("lineitem")
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lines/*.parquet')")
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").createOrReplaceTempView("orders")
+    assert oracle.differences(spark.sql(f"SELECT * FROM {rendered.placed_words(SPARK)} w"), con, f"SELECT * FROM {rendered.placed_words(DUCK)} w") == ""
