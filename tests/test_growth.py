@@ -226,3 +226,17 @@ def test_layout_in_windows_is_that_of_joins(spark, tmp_path):
     con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lines/*.parquet')")
     spark.read.parquet("/root/testdata/sf0.001/orders.parquet").createOrReplaceTempView("orders")
     assert oracle.differences(spark.sql(f"SELECT * FROM {rendered.placed_words(SPARK)} w"), con, f"SELECT * FROM {rendered.placed_words(DUCK)} w") == ""
+
+
+def test_many_words_are_tried_where_one_may_begin(spark):
+    """Words of a list are tried only at a letter that one begins with, in either case; a letter beyond ASCII begins none."""
+    from loomstone.functions import patterns, text
+    from loomstone.functions.dialect import SPARK, _EDGE
+
+    texts = ["Kelvin Key key xkey key1", "ſee SEE see. asee", "one two, THREE\tfour", "Não não, está É", "", "zz " * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in (text.any_word(["key", "see", "one", "three"]), text.any_word(patterns.PT_STOPWORDS), r"\b(?:key|see|one|three)\b"):
+        plain = SPARK.lit(p.replace(r"\b", _EDGE).replace("(?i)", "(?iu)"))
+        assert SPARK.pat(p).count("(?-i:[") == 1 and df.where(f"{SPARK.all('t', p)} <> regexp_extract_all(t, {plain}, 0)").count() == 0 < df.where(SPARK.has("t", p)).count()
+    words = text.profile_language(SPARK, "t")
+    assert "array_contains" not in words and words.count(" IN (") == len(patterns.PROFILE_WORDS)
