@@ -240,3 +240,9 @@ def test_many_words_are_tried_where_one_may_begin(spark):
         assert SPARK.pat(p).count("(?-i:[") == 1 and df.where(f"{SPARK.all('t', p)} <> regexp_extract_all(t, {plain}, 0)").count() == 0 < df.where(SPARK.has("t", p)).count()
     words = text.profile_language(SPARK, "t")
     assert "array_contains" not in words and words.count(" IN (") == len(patterns.PROFILE_WORDS)
+
+
+def test_what_a_statement_is_cut_at_is_found_once(spark, sf):
+    """Promotion cuts at a decision, a condition and an exception; each is found once a statement, however often the cuts mention it."""
+    df = catalogue.queries()["pm2_promote"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 12
