@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Trigrams of a profile and of a text that count; a trigram that a profile lacks is that far out of place.
 MOST = 300
-#: Characters of a text that are looked at, and the fewest that are judged.
-LONGEST, SHORTEST = 2048, 30
+#: The fewest characters of a text that are judged.
+SHORTEST = 30
 #: A text is undetermined where the best language leads by less than this share of the largest distance.
 MARGIN = 0.004
 UNDETERMINED = "und"
@@ -34,8 +34,8 @@ KANA, HAN, LETTER = r"[぀-ヿ]", r"[㐀-䶿一-鿿]", r"\p{L}"
 
 
 def _grams(text: str) -> str:
-    """The trigrams of a text, sorted: letters in lower case, all else a space, one at a time and at either end."""
-    letters = f"' ' || trim(regexp_replace(lower(substring({text}, 1, {LONGEST})), '[^\\\\p{{L}}]+', ' ')) || ' '"
+    """The trigrams of a whole text, sorted: letters in lower case, all else a space, one at a time and at either end."""
+    letters = f"' ' || trim(regexp_replace(lower({text}), '[^\\\\p{{L}}]+', ' ')) || ' '"
     return f"sort_array(regexp_extract_all({letters}, '(?=(...)).', 1))"
 
 

@@ -38,6 +38,14 @@ def test_source_language(spark):
     assert got == {"a": "pt-BR", "b": "en", "c": "es", "d": "unknown", "e": "pt-BR", "f": "en", "g": "unknown", "h": "pt-BR"}
 
 
+def test_whole_texts_count(spark):
+    """What a text says after its first page counts, in its own trigrams and in the profiles."""
+    long = spark.createDataFrame([("k", L.SAMPLES["de"] * 8 + L.SAMPLES["en"] * 40)], "k string, t string")
+    assert [r["lang"] for r in L.detect(long, "k", "t").collect()] == ["en"]
+    labelled = spark.createDataFrame([("a", "abc " * 1000 + "qwx " * 2000), ("b", SAID["en"])], "lang string, text string")
+    assert {r["gram"]: r["place"] for r in L.profiles(labelled).where("lang = 'a'").collect()}["qwx"] <= 4
+
+
 @pytest.mark.parametrize("size", ["sf0.01"])
 def test_held_out_documents(spark, size):
     docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
