@@ -246,3 +246,37 @@ def test_what_a_statement_is_cut_at_is_found_once(spark, sf):
     """Promotion cuts at a decision, a condition and an exception; each is found once a statement, however often the cuts mention it."""
     df = catalogue.queries()["pm2_promote"](spark, sf)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 12
+
+
+def test_numeric_patterns_are_tried_where_they_can_match(spark):
+    """What a pattern needs is looked for first: what it finds, in either case and odd letters as well, is found as without that."""
+    from loomstone.functions import patterns as P
+    from loomstone.functions.dialect import SPARK as D
+    from loomstone.operators import extract as E
+
+    texts = [
+        "US$ 5,000.10 R$3 €7 12 USD 1.5EUR 7% 2024-05-06 1/2/2024 1-2-24 Jan. 5, 2024 ſEPT 3 2021 5 DE MarçO de 2020 3 de mayo", "10:30 pm 5h 7h30min 3 DIAS 4anos 12 wee\u212as 5 Öre", "Decreto nº 12.3 LEİ 55 lei - Resolução Federal 9 Medıda Provisória 77",
+        "art. 5º §7 ARTÍCULO 12 Section 4.2 ſection 7 CAPÍTULO 3 Sec. 9 cap. 1", "RFC 2119 ISO-9001:2015 W3C 5 10.1234/ab.c ISBN 978-3-16-148410-0 İSBN: 3-16-148410-X 1.234,5 1,234,567", "", "no digits here", "lei .", "7 d\u00eda 7\u2009%",
+    ]
+    texts = [t.replace("\\\u212a", "\u212a").replace("\\\u00eda", "\u00eda").replace("\\\u2009", "\u2009") for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "k int, text string").createOrReplaceTempView("odd_texts")
+    got = {(r["k"], r["kind"], r["value_text"], r["first_rank"]) for r in spark.sql(E.numeric_facts(D, "odd_texts", "k", context=False)).collect()}
+    want, seen = set(), set()
+    for n, (kind, p) in enumerate(P.NUMERIC):
+        for r in spark.sql(f"SELECT k, explode({D.all('text', p, 0)}) AS v FROM odd_texts").collect():
+            if (r["k"], kind, r["v"]) not in seen:
+                want.add((r["k"], kind, r["v"], n))
+            seen.add((r["k"], kind, r["v"]))
+    assert got == want and {w[3] for w in want} == set(range(len(P.NUMERIC)))
+    counts = spark.sql(E.kind_counts(D, "odd_texts")).first().asDict()
+    for kind in dict.fromkeys(k for k, _ in P.NUMERIC):
+        every = spark.sql("SELECT sum(" + " + ".join(D.count("text", p) for k, p in P.NUMERIC if k == kind) + ") AS n FROM odd_texts").first()["n"]
+        assert counts[f"{kind}_literals"] == every
+
+
+def test_numeric_patterns_are_gated(spark, sf):
+    """A text without what a pattern needs is not searched by it."""
+    spark.conf.set("spark.sql.maxToStringFields", "200")
+    shown = catalogue.queries()["ex11_numeric_facts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.maxToStringFields")
+    assert all(f", {code})" in shown for code in ("USD", "RFC", "isbn")) and "ontains(low_" in shown
