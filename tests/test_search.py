@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from loomstone.operators import search as S
 
 
@@ -42,3 +44,16 @@ def test_postings_are_lists_of_a_block(spark, tmp_path):
     S.index(items, path)
     assert spark.read.parquet(path).count() == len({"the same words "[i : i + 3] for i in range(13)})
     assert S.search(items, path, ["SAME w"]).count() == 200 and S.search(items, path, ["samew"]).count() == 0
+
+
+def test_common_trigrams_take_little_room(spark, tmp_path):
+    """Lists are not shuffled, and those that all items are in are not written number by number."""
+    items = spark.createDataFrame([(i, "concepts", 1, "the same words", "") for i in range(9000)], "pkg long, section string, ord long, a string, b string").coalesce(1)
+    path = str(tmp_path / "postings")
+    S.index(items, path)
+    files = [f for f in (tmp_path / "postings").rglob("*.parquet")]
+    assert sum(f.stat().st_size for f in files) < 9000 * 12 * 2 / 5
+    assert S.search(items, path, ["SAME w"]).count() == 9000
+    lists = [[0], [0, 1, 2], [5, 300, 16383], list(range(0, 16384, 3)), [7]]
+    packed = S._packed(np.array(sum(lists, [])), np.array([len(x) for x in lists]))
+    assert [S._places(p).tolist() for p in packed.to_pylist()] == lists
